@@ -75,24 +75,34 @@ class _Target:
 
 
 def _resolve_small(df: DataFrame, targets: list[_Target]) -> None:
-    """Collect (value, count) pairs of small brackets and pick the ranks."""
-    cells = [F.when(t.inside(F.col(t.col).cast("double")),
-                    F.struct(F.lit(i).alias("t"), F.col(t.col).cast("double").alias("v")))
-             for i, t in enumerate(targets)]
+    """Collect (value, count) pairs of small brackets and pick the ranks.
+
+    Targets sharing a column and bracket (e.g. the two middle ranks, or all
+    quartiles of a small column) are served by one cell of the unpivot.
+    """
+    brackets: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        brackets.setdefault((t.col, t.lo, t.lo_incl, t.hi, t.hi_incl, t.below), []).append(t)
+    keys = list(brackets)
+    cells = [F.when(brackets[k][0].inside(F.col(k[0]).cast("double")),
+                    F.struct(F.lit(i).alias("t"), F.col(k[0]).cast("double").alias("v")))
+             for i, k in enumerate(keys)]
     pairs = (df.select(F.explode(F.array(*cells)).alias("p")).where(F.col("p").isNotNull())
                .select("p.t", "p.v").groupBy("t", "v").count())
-    by_target: dict[int, list[tuple[float, int]]] = {}
+    by_bracket: dict[int, list[tuple[float, int]]] = {}
     for r in pairs.collect():            # bounded: every bracket holds <= COLLECT_CAP rows
-        by_target.setdefault(r["t"], []).append((r["v"], r["count"]))
-    for i, t in enumerate(targets):
-        seen = t.below
-        for v, cnt in sorted(by_target.get(i, [])):
-            seen += cnt
-            if seen > t.rank:
-                t.value, t.done = v, True
-                break
-        if not t.done:
-            raise RuntimeError(f"median bracket lost rank {t.rank} of {t.col}")
+        by_bracket.setdefault(r["t"], []).append((r["v"], r["count"]))
+    for i, k in enumerate(keys):
+        values = sorted(by_bracket.get(i, []))
+        for t in brackets[k]:
+            seen = t.below
+            for v, cnt in values:
+                seen += cnt
+                if seen > t.rank:
+                    t.value, t.done = v, True
+                    break
+            if not t.done:
+                raise RuntimeError(f"quantile bracket lost rank {t.rank} of {t.col}")
 
 
 def _narrow(df: DataFrame, targets: list[_Target], accuracy: int) -> None:
@@ -133,26 +143,33 @@ def _narrow(df: DataFrame, targets: list[_Target], accuracy: int) -> None:
             t.below, t.n_in = t.below + leb, t.n_in - leb
 
 
-def exact_medians(df: DataFrame, cols: list[str], nonnull: dict[str, int] | None = None,
-                  collect_cap: int = COLLECT_CAP, accuracy: int = GK_ACCURACY) -> dict[str, float | None]:
-    """Exact median (mean of the two middle values) of each column.
+def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float],
+                    nonnull: dict[str, int] | None = None, collect_cap: int = COLLECT_CAP,
+                    accuracy: int = GK_ACCURACY) -> dict[str, list[float | None]]:
+    """Exact, linearly interpolated quantiles (pandas/numpy 'linear' rule).
 
-    Equal to ``median``/``percentile(0.5)`` but distributed: no task ever
-    holds more than a bounded summary or ``collect_cap`` rows of a column.
+    For ``n`` values, quantile ``q`` sits at position ``(n-1)*q`` between the
+    sorted values ``lo`` and ``hi`` and equals ``lo*(1-d) + hi*d``.  Only the
+    needed ranks are located, with the distributed bracketing described in
+    the module docstring: no task holds more than a bounded summary or
+    ``collect_cap`` rows of a column.
     """
     if not cols:
         return {}
     if nonnull is None:
         nonnull = {c: v for c, (_, v) in null_and_value_counts(df, cols).items()}
-    targets: list[_Target] = []
+    targets: dict[tuple[str, int], _Target] = {}
     for c in cols:
         n = nonnull[c]
-        if n == 0:
-            continue
-        for r in sorted({(n - 1) // 2, n // 2}):
-            targets.append(_Target(col=c, rank=r, n_in=n))
+        for q in qs:
+            if n == 0:
+                continue
+            pos = (n - 1) * q
+            for r in {int(pos // 1), min(n - 1, int(-(-pos // 1)))}:
+                targets.setdefault((c, r), _Target(col=c, rank=r, n_in=n))
+    pending_all = list(targets.values())
     for _ in range(64):
-        pending = [t for t in targets if not t.done]
+        pending = [t for t in pending_all if not t.done]
         if not pending:
             break
         small = [t for t in pending if t.n_in <= collect_cap]
@@ -161,14 +178,29 @@ def exact_medians(df: DataFrame, cols: list[str], nonnull: dict[str, int] | None
             _resolve_small(df, small)
         if large:
             _narrow(df, large, accuracy)
-    out: dict[str, float | None] = {c: None for c in cols}
+    out: dict[str, list[float | None]] = {}
     for c in cols:
-        vals = [t.value for t in targets if t.col == c]
-        if vals:
-            out[c] = sum(vals) / len(vals)
+        n = nonnull[c]
+        vals: list[float | None] = []
+        for q in qs:
+            if n == 0:
+                vals.append(None)
+                continue
+            pos = (n - 1) * q
+            lo_r, hi_r = int(pos // 1), min(n - 1, int(-(-pos // 1)))
+            lo, hi = targets[(c, lo_r)].value, targets[(c, hi_r)].value
+            d = pos - lo_r
+            vals.append(lo if lo_r == hi_r else lo * (1.0 - d) + hi * d)
+        out[c] = vals
     return out
 
 
+def exact_medians(df: DataFrame, cols: list[str], nonnull: dict[str, int] | None = None,
+                  collect_cap: int = COLLECT_CAP, accuracy: int = GK_ACCURACY) -> dict[str, float | None]:
+    """Exact median (mean of the two middle values) of each column."""
+    return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5], nonnull, collect_cap, accuracy).items()}
+
+
 # ------------------------------------------------------------------ modes ---
 
 def column_modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:

@@ -47,3 +47,7 @@ FROM feat GROUP BY classe""",
 def cohort_summary_by_class(spark, sf_dir):
     """Flagship: cohort -> row mean -> clean -> clocks -> features -> A12 by class."""
     return cohort_summary(prepared_cohort(spark, sf_dir), K.TARGET_REG, K.PASS_THRESHOLD, by=["classe"])
+
+
+# Further catalogue sections register themselves on import.
+from . import catalogue_profile  # noqa: E402,F401
