@@ -64,3 +64,25 @@ def cut_lineage(df):
     """Reliable checkpoint (survives executor loss; never ``localCheckpoint``)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``gradelens`` importable in Python workers (once per SparkContext).
+
+    Code that runs Python inside tasks (pandas UDFs, ``mapInPandas``) pickles
+    references to this package's functions; executors import them from the
+    zip that ``addPyFile`` distributes with the job.
+    """
+    import shutil
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="gradelens-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "gradelens"), "zip", os.path.dirname(pkg), "gradelens")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
