@@ -75,7 +75,7 @@ def _spark_model(family: str, params: dict, label: str, weight_col: str | None):
 
 
 def spark_search(train: DataFrame, label: str, family: str, exclude: list[str], n: int = K.SEARCH_CANDIDATES,
-                 folds: int = K.CV_FOLDS, parallelism: int = 4, fold_col: str = "fold",
+                 folds: int = K.CV_FOLDS, parallelism: int = 8, fold_col: str = "fold",
                  grid: dict | None = None) -> SearchResult:
     """M6 (boosted trees, R²) and M7 (balanced random forest, accuracy) via CrossValidator."""
     task, default_grid = FAMILIES[family]
@@ -99,7 +99,7 @@ def spark_search(train: DataFrame, label: str, family: str, exclude: list[str],
     evaluator = (RegressionEvaluator(labelCol=label, metricName="r2") if task == "regression"
                  else MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"))
     cv = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds,
-                        foldCol=fold_col, parallelism=parallelism, seed=K.SEED)
+                        foldCol=fold_col, parallelism=min(parallelism, len(maps)), seed=K.SEED)
     cvm = cv.fit(train.where(F.col(label).isNotNull()))
     scores = list(zip(candidates, cvm.avgMetrics))
     best = max(range(len(scores)), key=lambda i: scores[i][1])

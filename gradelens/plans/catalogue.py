@@ -52,3 +52,4 @@ def cohort_summary_by_class(spark, sf_dir):
 # Further catalogue sections register themselves on import.
 from . import catalogue_profile  # noqa: E402,F401
 from . import catalogue_scores  # noqa: E402,F401
+from . import catalogue_models  # noqa: E402,F401
