@@ -39,7 +39,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         v = F.col(c)
         aggs += [F.count_if(v.isNotNull() & ~v.rlike(INTEGER_TEXT)).alias(f"i{i}"),
                  F.count_if(v.isNotNull() & ~v.rlike(NUMERIC_TEXT)).alias(f"n{i}"),
-                 F.count_if(v.isNotNull() & ~v.isin("True", "False")).alias(f"b{i}"),
+                 F.count_if(v.isNotNull() & ~F.lower(v).isin("true", "false")).alias(f"b{i}"),
                  F.count(v).alias(f"c{i}")]
     r = df.agg(*aggs).first()
     cols = []
@@ -52,7 +52,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         elif r[f"n{i}"] == 0:
             cols.append(v.try_cast("double").alias(c))
         elif r[f"b{i}"] == 0:
-            cols.append((F.col(c) == "True").alias(c))
+            cols.append((F.lower(F.col(c)) == "true").alias(c))
         else:
             cols.append(F.col(c))
     return df.select(*cols)
