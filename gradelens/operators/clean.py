@@ -30,13 +30,26 @@ GK_ACCURACY = 10_000
 
 def null_and_value_counts(df: DataFrame, cols: list[str] | None = None) -> dict[str, tuple[int, int]]:
     """{column: (nulls, non-nulls)} from one aggregation."""
+    return {c: v[:2] for c, v in column_counts(df, cols, distinct_of=()).items()}
+
+
+def column_counts(df: DataFrame, cols: list[str] | None = None,
+                  distinct_of=None) -> dict[str, tuple[int, int, int | None]]:
+    """{column: (nulls, non-nulls, approximate distinct or None)} from ONE aggregation.
+
+    ``distinct_of`` lists the columns that also get an HLL distinct estimate
+    (default: the numeric ones, which may need a median)."""
     cols = list(cols if cols is not None else df.columns)
     if not cols:
         return {}
+    if distinct_of is None:
+        distinct_of = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     aggs = [F.count(F.col(c)).alias(f"v{i}") for i, c in enumerate(cols)]
+    aggs += [F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols) if c in distinct_of]
     row = df.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
     n = row["n"]
-    return {c: (n - row[f"v{i}"], row[f"v{i}"]) for i, c in enumerate(cols)}
+    return {c: (n - row[f"v{i}"], row[f"v{i}"], row[f"d{i}"] if c in distinct_of else None)
+            for i, c in enumerate(cols)}
 
 
 def all_null_columns(df: DataFrame, counts: dict | None = None) -> list[str]:
@@ -145,14 +158,18 @@ def _narrow(df: DataFrame, targets: list[_Target], accuracy: int) -> None:
 
 def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float],
                     nonnull: dict[str, int] | None = None, collect_cap: int = COLLECT_CAP,
-                    accuracy: int = GK_ACCURACY) -> dict[str, list[float | None]]:
+                    accuracy: int = GK_ACCURACY,
+                    distinct: dict[str, int] | None = None) -> dict[str, list[float | None]]:
     """Exact, linearly interpolated quantiles (pandas/numpy 'linear' rule).
 
     For ``n`` values, quantile ``q`` sits at position ``(n-1)*q`` between the
     sorted values ``lo`` and ``hi`` and equals ``lo*(1-d) + hi*d``.  Only the
     needed ranks are located, with the distributed bracketing described in
     the module docstring: no task holds more than a bounded summary or
-    ``collect_cap`` rows of a column.
+    ``collect_cap`` rows of a column.  ``distinct`` (approximate distinct
+    counts, e.g. from ``approx_count_distinct`` in an earlier pass) lets
+    low-cardinality columns skip the bracketing: their (value, count) table
+    is small whatever the row count.
     """
     if not cols:
         return {}
@@ -172,8 +189,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float],
         pending = [t for t in pending_all if not t.done]
         if not pending:
             break
-        small = [t for t in pending if t.n_in <= collect_cap]
-        large = [t for t in pending if t.n_in > collect_cap]
+        few = {c for c, k in (distinct or {}).items() if k is not None and k <= collect_cap // 2}
+        small = [t for t in pending if t.n_in <= collect_cap or (t.col in few and t.lo is None and t.hi is None)]
+        large = [t for t in pending if t not in small]
         if small:
             _resolve_small(df, small)
         if large:
@@ -259,14 +277,16 @@ def fit_clean(df: DataFrame, only_missing: bool = True) -> CleanModel:
     a NULL in ``df`` get a fill value; ``False`` fits every column, for use on
     later batches or streams.
     """
-    counts = null_and_value_counts(df)
+    stats = column_counts(df)
+    counts = {c: v[:2] for c, v in stats.items()}
     dropped = all_null_columns(df, counts)
     kept = df.drop(*dropped)
     num, txt = columns_by_type(kept)
     need = (lambda c: counts[c][0] > 0) if only_missing else (lambda c: True)
     num = [c for c in num if need(c)]
     txt = [c for c in txt if need(c)]
-    medians = exact_medians(kept, num, {c: counts[c][1] for c in num})
+    medians = {c: v[0] for c, v in exact_quantiles(kept, num, [0.5], {c: counts[c][1] for c in num},
+                                                    distinct={c: stats[c][2] for c in num}).items()}
     modes = column_modes(kept, txt)
     return CleanModel(dropped=dropped, numeric_fill=medians,
                       text_fill={c: (m if m is not None else "") for c, m in modes.items()})

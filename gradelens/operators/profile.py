@@ -50,9 +50,10 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    mom = df.agg(*aggs).first()                       # one row: 5 numbers per column
-    qs = exact_quantiles(df, cols, [0.25, 0.5, 0.75], {c: mom[f"n{i}"] for i, c in enumerate(cols)})
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.approx_count_distinct(x).alias(f"d{i}")]
+    mom = df.agg(*aggs).first()                       # one row: 6 numbers per column
+    qs = exact_quantiles(df, cols, [0.25, 0.5, 0.75], {c: mom[f"n{i}"] for i, c in enumerate(cols)},
+                         distinct={c: mom[f"d{i}"] for i, c in enumerate(cols)})
     rows = [(c, mom[f"n{i}"], mom[f"m{i}"], mom[f"s{i}"], mom[f"lo{i}"], *qs[c], mom[f"hi{i}"])
             for i, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(rows, DESCRIBE_SCHEMA)
