@@ -1,10 +1,10 @@
 """The reference's preprocessing chain as one reusable plan.
 
 cohort -> row mean of the grades (``note_moyenne``) -> clean -> clock
-features -> derived features.  The raw cohort is checkpointed once (reliable
-checkpoint in ``spark.checkpoint.dir``) because fitting the cleaner makes
+features -> derived features.  The raw cohort is materialised once as a
+Parquet table in ``spark.checkpoint.dir`` because fitting the cleaner makes
 several passes over it; at scale this turns two shuffling joins per pass into
-one file scan per pass.
+one pruned columnar scan per pass.
 """
 from __future__ import annotations
 

@@ -60,10 +60,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df):
-    """Reliable checkpoint (survives executor loss; never ``localCheckpoint``)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df, name: str | None = None):
+    """Materialise ``df`` as a Parquet table under the shared checkpoint folder.
+
+    Survives executor loss (never ``localCheckpoint``) and, unlike an RDD
+    checkpoint, later passes read it with column pruning, filter pushdown and
+    size statistics.
+    """
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name or uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 _SHIPPED: set[str] = set()
