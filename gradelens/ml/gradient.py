@@ -210,6 +210,13 @@ def to_training_frame(df: DataFrame, features_col: str, label_col: str, fold_col
     return df.where(F.col(label_col).isNotNull()).select(*cols)
 
 
+def spread(data: DataFrame) -> DataFrame:
+    """At least one partition per core: every step's gradient pass then uses the
+    whole cluster (a small input can arrive as a single file split)."""
+    par = data.sparkSession.sparkContext.defaultParallelism
+    return data.repartition(par) if data.rdd.getNumPartitions() < par else data
+
+
 def train_many(data: DataFrame, specs: list[Spec], folds: list[int | None], steps: int = 1000,
                tol: float = 1e-5, patience: int = 20) -> list[_Job]:
     """Train every (spec, held-out fold) pair jointly; one Spark job per step.
@@ -225,7 +232,7 @@ def train_many(data: DataFrame, specs: list[Spec], folds: list[int | None], step
         j.m, j.v = np.zeros_like(j.theta), np.zeros_like(j.theta)
     counts = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
     n_of = [sum(c for f, c in counts.items() if j.held_out is None or f != j.held_out) for j in jobs]
-    cached = data.persist(StorageLevel.MEMORY_AND_DISK)
+    cached = spread(data).persist(StorageLevel.MEMORY_AND_DISK)
     b1, b2, eps = 0.9, 0.999, 1e-8
     try:
         for step in range(1, steps + 1):

@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..operators.metrics import with_class_weight
-from .gradient import Spec, make_model, to_training_frame, train_many, forward
+from pyspark import StorageLevel
+
+from .gradient import Spec, forward, make_model, spread, to_training_frame, train_many
 from .preprocess import ImportanceSelector, feature_columns, preprocessing_stages
 
 FAMILIES = {
@@ -176,8 +178,12 @@ def gradient_search(train: DataFrame, label: str, family: str, exclude: list[str
     d = len(data.select("x").first()["x"])
     candidates = sample_grid(grid or default_grid, n)
     specs = [_spec(family, c, y_std) for c in candidates]
-    jobs = train_many(data, specs, list(range(folds)) + [None], steps=steps)
-    cv = _cv_scores(data, jobs, d, task)
+    data = spread(data).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        jobs = train_many(data, specs, list(range(folds)) + [None], steps=steps)
+        cv = _cv_scores(data, jobs, d, task)
+    finally:
+        data.unpersist()
     scores = [(c, cv.get(id(s), float("nan"))) for c, s in zip(candidates, specs)]
     best = max(range(len(specs)), key=lambda i: (scores[i][1], -i))
     full = next(j for j in jobs if j.spec is specs[best] and j.held_out is None)
