@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,20 +104,16 @@ def _resolve_small(df: DataFrame, targets: list[_Target]) -> None:
              for i, k in enumerate(keys)]
     pairs = (df.select(F.explode(F.array(*cells)).alias("p")).where(F.col("p").isNotNull())
                .select("p.t", "p.v").groupBy("t", "v").count())
-    by_bracket: dict[int, list[tuple[float, int]]] = {}
-    for r in pairs.collect():            # bounded: every bracket holds <= COLLECT_CAP rows
-        by_bracket.setdefault(r["t"], []).append((r["v"], r["count"]))
+    # Bounded: every bracket holds <= COLLECT_CAP rows (or few distinct values); Arrow transfer.
+    table = pairs.toPandas()
     for i, k in enumerate(keys):
-        values = sorted(by_bracket.get(i, []))
+        part = table[table["t"] == i].sort_values("v")
+        values, cum = part["v"].to_numpy(), part["count"].to_numpy().cumsum()
         for t in brackets[k]:
-            seen = t.below
-            for v, cnt in values:
-                seen += cnt
-                if seen > t.rank:
-                    t.value, t.done = v, True
-                    break
-            if not t.done:
+            pos = int(np.searchsorted(cum, t.rank - t.below, side="right"))
+            if pos >= len(values):
                 raise RuntimeError(f"quantile bracket lost rank {t.rank} of {t.col}")
+            t.value, t.done = float(values[pos]), True
 
 
 def _narrow(df: DataFrame, targets: list[_Target], accuracy: int) -> None:
