@@ -139,3 +139,7 @@ SVC_GRID = {"C": [0.1, 1, 10], "kernel": ["rbf", "linear"]}
 MLP_MAX_ITER = 1000
 SHAP_MAX_ROWS = 50
 SHAP_MAX_BACKGROUND = 20
+
+# Display names of the model families in reports (this library's own wording, not a reference value).
+FAMILY_NAMES = {"gbt_reg": "Boosted trees", "rf_clf": "Random forest", "mlp_reg": "Neural network",
+                "mlp_clf": "Neural network", "svr": "SVM (SVR)", "svc": "SVM (SVC)"}

@@ -14,8 +14,9 @@ The training rows (feature array, label, fold) are persisted once.  Each
 step is ONE Spark job: ``mapInPandas`` computes, in every partition and for
 every model being trained (all search candidates x all CV folds + the full
 refit), the gradient sum over that partition's rows; the per-partition
-gradients are summed by ``groupBy(model).agg(Summarizer.sum)``, a partial
-aggregation, so the shuffle carries one vector per model per partition.
+gradients are summed by ``Summarizer.sum`` in a two-level tree (by model and
+partition bucket, then by model), so no reducer receives more than about
+sqrt(partitions) vectors.
 Only the summed vectors (model-sized) reach the driver, which applies Adam.
 So a whole random search costs one job per step instead of one per fit.
 
@@ -210,6 +211,22 @@ def to_training_frame(df: DataFrame, features_col: str, label_col: str, fold_col
     return df.where(F.col(label_col).isNotNull()).select(*cols)
 
 
+def tree_sum(per_part: DataFrame, fan_in: int) -> DataFrame:
+    """Sum one gradient row per (partition, model) in two levels.
+
+    A single ``groupBy(model)`` would send every partition's vector of a
+    model to one reducer (fan-in = number of partitions).  Grouping first by
+    (model, bucket of partitions) with ~sqrt(partitions) buckets and then by
+    model bounds the fan-in of every reducer by ~sqrt(partitions), like
+    MLlib's tree aggregation."""
+    vec = array_to_vector(F.col("g"))
+    level1 = (per_part.withColumn("__bucket", F.spark_partition_id() % F.lit(fan_in))
+              .groupBy("model", "__bucket")
+              .agg(Summarizer.sum(vec).alias("g"), F.sum("loss").alias("loss"), F.sum("n").alias("n")))
+    return level1.groupBy("model").agg(Summarizer.sum(F.col("g")).alias("g"), F.sum("loss").alias("loss"),
+                                       F.sum("n").alias("n"))
+
+
 def spread(data: DataFrame) -> DataFrame:
     """At least one partition per core: every step's gradient pass then uses the
     whole cluster (a small input can arrive as a single file split)."""
@@ -233,6 +250,7 @@ def train_many(data: DataFrame, specs: list[Spec], folds: list[int | None], step
     counts = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
     n_of = [sum(c for f, c in counts.items() if j.held_out is None or f != j.held_out) for j in jobs]
     cached = spread(data).persist(StorageLevel.MEMORY_AND_DISK)
+    fan_in = max(1, int(cached.rdd.getNumPartitions() ** 0.5))
     b1, b2, eps = 0.9, 0.999, 1e-8
     try:
         for step in range(1, steps + 1):
@@ -264,9 +282,7 @@ def train_many(data: DataFrame, specs: list[Spec], folds: list[int | None], step
                 yield pd.DataFrame(rows, columns=["model", "g", "loss", "n"])
 
             per_part = cached.mapInPandas(partial, "model int, g array<double>, loss double, n long")
-            summed = per_part.groupBy("model").agg(
-                Summarizer.sum(array_to_vector(F.col("g"))).alias("g"),
-                F.sum("loss").alias("loss"), F.sum("n").alias("n")).collect()
+            summed = tree_sum(per_part, fan_in).collect()
             bc.unpersist()
             for r in summed:
                 j = jobs[r["model"]]

@@ -23,8 +23,7 @@ from ..operators.sampling import with_folds, with_split
 
 REG_FAMILIES = ["gbt_reg", "mlp_reg", "svr"]           # selection order for M14
 CLF_FAMILIES = ["rf_clf", "mlp_clf", "svc"]
-FAMILY_NAMES = {"gbt_reg": "Boosted trees", "rf_clf": "Random forest", "mlp_reg": "Neural network",
-                "mlp_clf": "Neural network", "svr": "SVM (SVR)", "svc": "SVM (SVC)"}
+FAMILY_NAMES = K.FAMILY_NAMES
 
 
 @dataclass
