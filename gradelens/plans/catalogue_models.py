@@ -15,7 +15,7 @@ from ..functions import constants as K
 from ..ml import explain as E
 from ..ml import scoring as SC
 from ..ml.persist import load_models, save_models
-from ..ml.preprocess import selected_features
+from ..ml.preprocess import feature_columns, selected_features
 from ..ml.search import FAMILIES, train_family
 from ..operators import metrics as M
 from ..session import ensure_checkpoint_dir
@@ -23,7 +23,7 @@ from ..sources.csv_io import read_table_csv, write_table_csv
 from .prepare import prepared_cohort, raw_cohort
 from .registry import query
 from .report import build_report
-from .sql import BASE, COHORT_DOUBLE, RAW_ORDER
+from .sql import BASE, COHORT_DOUBLE, PREP, RAW_ORDER
 from .training import (CLF_FAMILIES, REG_FAMILIES, choose_best, excluded_columns, model_frame, test_metrics,
                        train_subject_models)
 
@@ -63,10 +63,10 @@ def subjects(spark, sf_dir):
     return _CACHE[k]
 
 
-def metrics_rows(spark, sf_dir):
+def metrics_rows(spark, sf_dir, families=None):
     fr = frame(spark, sf_dir)
     rows = []
-    for fam in REG_FAMILIES + CLF_FAMILIES:
+    for fam in families or REG_FAMILIES + CLF_FAMILIES:
         res = trained(spark, sf_dir, fam)
         label = K.TARGET_REG if res.task == "regression" else K.TARGET_CLF
         rows.append(test_metrics(res, fr.where("is_test"), label))
@@ -125,7 +125,7 @@ def selected_features_q(spark, sf_dir):
 @query("predict_all")
 def predict_all_q(spark, sf_dir):
     """M17 (M13, M15): batch predictions of the best regressor and every subject model, with the gap."""
-    best = choose_best(metrics_rows(spark, sf_dir))["regression"]
+    best = choose_best(metrics_rows(spark, sf_dir, REG_FAMILIES))["regression"]
     subj = {s: r.model for s, r in subjects(spark, sf_dir).items()}
     return SC.predict_all(frame(spark, sf_dir), trained(spark, sf_dir, best).model, subj)
 
@@ -133,7 +133,7 @@ def predict_all_q(spark, sf_dir):
 @query("pass_probability")
 def pass_probability_q(spark, sf_dir):
     """Pass probability (x100) of the best classifier for the test students."""
-    best = choose_best(metrics_rows(spark, sf_dir))["classification"]
+    best = choose_best(metrics_rows(spark, sf_dir, CLF_FAMILIES))["classification"]
     test = frame(spark, sf_dir).where("is_test")
     return SC.pass_probability(trained(spark, sf_dir, best).model, test).select("id", K.TARGET_CLF, "proba_reussite")
 
@@ -153,12 +153,24 @@ def what_if_models(spark, sf_dir):
     return out.select("id", "scenario", "note_predite", "proba_reussite", "band", "at_risk")
 
 
-@query("numeric_defaults")
+_DEF_NUM = ["interet_maths", "heures_jeux_video", "heures_reseaux_sociaux", "heures_streaming",
+            "heures_etude_soir", "heures_sommeil", "heure_coucher_num", "heure_lever_num", "temps_ecrans_total",
+            "score_equilibre", "ratio_etude_ecrans", "stress_total", "indice_motivation"]
+_DEF_TXT = ["classe", "activite_sportive", "stress_personnel"]
+_DEFAULTS_SQL = f"{PREP} " + " UNION ALL ".join(
+    [f"SELECT '{c}' AS feature, 'number' AS kind, coalesce(CAST(median({c}) AS DOUBLE), 0.0) AS default_value, "
+     f"CAST(NULL AS VARCHAR) AS option FROM feat" for c in _DEF_NUM]
+    + [f"SELECT DISTINCT '{c}' AS feature, 'option' AS kind, CAST(NULL AS DOUBLE) AS default_value, "
+       f"CAST({c} AS VARCHAR) AS option FROM feat WHERE {c} IS NOT NULL AND CAST({c} AS VARCHAR) <> ''"
+       for c in _DEF_TXT])
+
+
+@query("numeric_defaults", sql=_DEFAULTS_SQL, doubles=["default_value"])
 def numeric_defaults_q(spark, sf_dir):
-    """Scenario defaults: exact median per numeric feature, options per text feature."""
-    res = trained(spark, sf_dir, "gbt_reg")
-    num, cat = res.feature_cols
-    return SC.numeric_defaults(frame(spark, sf_dir), list(num) + list(cat))
+    """Scenario defaults of every model input: exact median per number, options per text."""
+    fr = frame(spark, sf_dir)
+    num, cat = feature_columns(fr, excluded_columns(fr))
+    return SC.numeric_defaults(fr, num + cat)
 
 
 def _shap(spark, sf_dir, failing_only: bool):
@@ -207,12 +219,19 @@ def csv_round_trip(spark, sf_dir):
     return read_table_csv(spark, path)
 
 
-@query("model_bundle_round_trip")
+_TEST_IDS = ("SELECT id FROM feat WHERE CAST(CAST(('0x' || substr(md5('42:' || CAST(id AS VARCHAR)), 1, 8)) "
+             f"AS BIGINT) AS DOUBLE) < {0.2 * 2 ** 32!r}")
+
+
+@query("model_bundle_round_trip",
+       sql=f"{PREP}, t AS ({_TEST_IDS}) SELECT m.model, (SELECT count(*) FROM t) AS n, (SELECT count(*) FROM t) AS n_equal "
+           "FROM (VALUES ('nn_reg'), ('svm_reg')) AS m(model)")
 def model_bundle_round_trip(spark, sf_dir):
     """Save the tuned models and reload them; predictions must agree on the test rows."""
     path = ensure_checkpoint_dir(spark).rstrip("/") + "/bundle"
-    models = {"reg": trained(spark, sf_dir, "gbt_reg").model, "nn_reg": trained(spark, sf_dir, "mlp_reg").model}
-    num, cat = trained(spark, sf_dir, "gbt_reg").feature_cols
+    # Both pipelines mix Java stages (scaler, encoders, slicer) with a Python model stage.
+    models = {"nn_reg": trained(spark, sf_dir, "mlp_reg").model, "svm_reg": trained(spark, sf_dir, "svr").model}
+    num, cat = trained(spark, sf_dir, "mlp_reg").feature_cols
     save_models(spark, path, models, {"feature_columns": list(num) + list(cat), "target": K.TARGET_REG})
     loaded = load_models(spark, path)
     test = frame(spark, sf_dir).where("is_test")
