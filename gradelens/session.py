@@ -95,3 +95,52 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(os.path.join(out, "gradelens"), "zip", os.path.dirname(pkg), "gradelens")
     sc.addPyFile(archive)
     _SHIPPED.add(key)
+
+
+MB = 1 << 20
+
+
+def scale_conf(input_bytes: int, total_cores: int, split_bytes: int = 256 * MB,
+               max_shuffle_partitions: int = 100_000) -> dict[str, str]:
+    """Session settings sized for the input: every task handles ~``split_bytes``.
+
+    * scans: ``maxPartitionBytes`` = split size, so a 100 TB input becomes
+      ~400k scan tasks of 256 MB;
+    * shuffles: one partition per split of input (at least 2 per core, at most
+      ``max_shuffle_partitions``); AQE then coalesces partitions that the
+      projections and partial aggregations made small, and splits skewed
+      join partitions (> 5x the median and > 4 splits);
+    * broadcast joins only for sides Spark measures under 64 MB.
+    """
+    parts = max(2 * total_cores, min(max_shuffle_partitions, -(-input_bytes // split_bytes)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(split_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * split_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * MB),
+    }
+
+
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Total size of the files under ``paths`` (through the cluster's file system)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        total += path.getFileSystem(conf).getContentSummary(path).getLength()
+    return total
+
+
+def apply_scale_conf(spark: SparkSession, paths: list[str], total_cores: int | None = None) -> dict[str, str]:
+    """Size the session for the tables under ``paths`` (runtime SQL settings only)."""
+    cores = total_cores or spark.sparkContext.defaultParallelism
+    conf = scale_conf(input_bytes(spark, paths), cores)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf

@@ -49,3 +49,13 @@ def test_numeric_defaults(spark):
     df = spark.createDataFrame([(1.0, "a"), (3.0, "b"), (None, None)], "x double, t string")
     rows = {(r["feature"], r["option"]): r["default_value"] for r in numeric_defaults(df, ["x", "t"]).collect()}
     assert rows == {("x", None): 2.0, ("t", "a"): None, ("t", "b"): None}
+
+
+def test_scale_conf_sizes_partitions(spark):
+    from gradelens.session import MB, apply_scale_conf, scale_conf
+    big = scale_conf(100 * (1 << 40), 8000)
+    assert big["spark.sql.shuffle.partitions"] == "100000"
+    assert scale_conf(10 * MB, 8)["spark.sql.shuffle.partitions"] == "16"
+    conf = apply_scale_conf(spark, ["/root/testdata/sf0.001/orders.parquet"], 4)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == conf["spark.sql.shuffle.partitions"] == "8"
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
