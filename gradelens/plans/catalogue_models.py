@@ -149,7 +149,8 @@ def what_if_models(spark, sf_dir):
         F.struct(F.lit("no_games").alias("scenario"), none.alias("heures_sommeil"),
                  F.lit(0.0).alias("heures_jeux_video")))).alias("s")).select("id", "s.*")
     reg, clf = trained(spark, sf_dir, "gbt_reg"), trained(spark, sf_dir, "rf_clf")
-    out = SC.what_if_predict(fr, scen, reg.model, clf.model)
+    feats = list(reg.feature_cols[0]) + list(reg.feature_cols[1])
+    out = SC.what_if_predict(fr, scen, reg.model, clf.model, feature_cols=feats)
     return out.select("id", "scenario", "note_predite", "proba_reussite", "band", "at_risk")
 
 

@@ -91,7 +91,7 @@ def null_report(spark, sf_dir):
 @query("missing_columns",
        sql=f"{BASE} SELECT * FROM ({_NULLS_SQL}) AS n WHERE nulls > 0")
 def missing_columns(spark, sf_dir):
-    """only the columns that have NULLs, readable label attached by X16 later."""
+    """A1 + F3: only the cohort columns that have NULLs, with their NULL counts."""
     return missing_only(P.null_counts(raw_cohort(spark, sf_dir, materialize=False)))
 
 
