@@ -117,30 +117,6 @@ def clip(c, lo: float = K.GRADE_MIN, hi: float = K.GRADE_MAX) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
 
 
-def weighted_score(columns: Iterable[str], base: float,
-                   weights: Mapping[str, float] = K.SCORE_WEIGHTS,
-                   sport_col: str = "activite_sportive",
-                   commute_col: str = "duree_trajet_ar_min") -> Column:
-    """X11: the deterministic grade signal on a base grade, clipped to [0, 20].
-
-    Sum of weight*column over the weighted columns that exist, +1 for sport
-    'oui', -1 for a commute over 60 minutes, minus the centre 7.5, plus
-    ``base``.  Missing columns contribute nothing; a NULL present value gives
-    NULL.  Stress text goes through the guarded numeric cast.
-    """
-    present = set(columns)
-    terms = [to_number(name) * F.lit(w) for name, w in weights.items() if name in present]
-    if sport_col in present:
-        terms.append(F.when(F.col(sport_col) == "oui", F.lit(K.SCORE_SPORT_BONUS)).otherwise(F.lit(0.0)))
-    if commute_col in present:
-        terms.append(F.when(F.col(commute_col) > K.SCORE_COMMUTE_LIMIT,
-                            F.lit(K.SCORE_COMMUTE_PENALTY)).otherwise(F.lit(0.0)))
-    total = F.lit(0.0)
-    for t in terms:
-        total = total + t
-    return clip(F.lit(base) + total - F.lit(K.SCORE_CENTRE))
-
-
 def map_literal(mapping: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
 

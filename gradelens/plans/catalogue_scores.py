@@ -19,7 +19,7 @@ from ..operators.sampling import fold_of, is_test, with_split
 from ..sources.tables import read_table
 from .prepare import prepared_cohort, raw_cohort
 from .registry import query
-from .sql import (BASE, COHORT_WEIGHTS, PREP, feat_ctes, grades_sql, linear_sql, pred_mean_sql,
+from .sql import (BASE, COHORT_WEIGHTS, PREP, feat_ctes, grades_sql, pred_mean_sql,
                   RAW_ORDER, COHORT_GRADES, sql_str)
 
 PRED_COLS = [f"pred_{s.replace('note_', '')}" for s in K.SUBJECT_BASES]

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import constants as K
 from ..functions import expr as X
 from ..operators.clean import clean
+from ..operators.columns import nan_to_null
 from ..operators.features import add_clock_features, add_features
 from ..session import cut_lineage
 from ..sources.cohort import cohort
@@ -24,7 +25,8 @@ def with_row_mean(df: DataFrame, target: str = K.TARGET_REG) -> DataFrame:
 
 
 def raw_cohort(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
-    raw = with_row_mean(cohort(spark, sf_dir))
+    """The cohort view with NaN normalised to NULL and the row-mean grade."""
+    raw = with_row_mean(nan_to_null(cohort(spark, sf_dir)))
     return cut_lineage(raw) if materialize else raw
 
 

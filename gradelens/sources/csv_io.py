@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import NUMERIC_TEXT
-from ..operators.columns import lower_names
+from ..operators.columns import lower_names, nan_to_null
 
 log = logging.getLogger(__name__)
 
@@ -72,7 +72,7 @@ def read_table_csv(spark: SparkSession, path: str) -> DataFrame | None:
         tokens = F.array(*[F.lit(t) for t in NA_TOKENS])
         raw = raw.select(*[F.when(F.array_contains(tokens, F.col(c)), F.lit(None).cast("string"))
                             .otherwise(F.col(c)).alias(c) for c in raw.columns])
-        return infer_types(raw)
+        return nan_to_null(infer_types(raw))
     except Exception as ex:  # noqa: BLE001 - the reference returns None on any error
         log.error("cannot load %s: %s", path, ex)
         return None
