@@ -1,6 +1,10 @@
 """Random search with 3-fold CV (M12) and the six model families.
 
-Tree families use Spark ML estimators inside a full ``Pipeline``
+Boosted trees (``gbt_search``) share the candidate-independent work:
+preprocessing and selector once per fold, one GBT per (depth, rate) group
+scored at every prefix with ``evaluateEachIteration`` (same scores as the
+plain cross-validation, about a third faster).  The forest family uses
+Spark ML estimators inside a full ``Pipeline``
 (preprocessing + importance selector + model) under ``CrossValidator`` with
 the hash fold column, so scaling, encoding and selection are refitted per
 fold as in the reference; candidates run ``parallelism`` at a time.
@@ -13,6 +17,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -108,6 +113,69 @@ def spark_search(train: DataFrame, label: str, family: str, exclude: list[str],
     return SearchResult(family, task, cvm.bestModel, candidates[best], scores, (num, cat))
 
 
+def gbt_search(train: DataFrame, label: str, exclude: list[str], n: int = K.SEARCH_CANDIDATES,
+               folds: int = K.CV_FOLDS, parallelism: int = 8, fold_col: str = "fold",
+               grid: dict | None = None) -> SearchResult:
+    """M6 + M12 with shared work; same candidates, folds and scores as ``spark_search``.
+
+    * Preprocessing and the importance selector do not depend on the
+      candidate: they are fitted once per fold (not once per candidate).
+    * Boosting is deterministic here (no subsampling), so a 50- or 100-tree
+      model is a prefix of the 200-tree model with the same depth and rate:
+      one ``GBTRegressor`` per (depth, rate) group is fitted with the
+      group's largest ``maxIter`` and ``evaluateEachIteration`` gives the
+      held-out MSE of every prefix; R² = 1 - MSE / var_pop(held-out label).
+    The best candidate is refitted on all training rows.
+    """
+    from pyspark.ml.regression import GBTRegressor as _GBT
+    train = train.where(F.col(label).isNotNull())
+    num, cat = feature_columns(train, exclude + [label, fold_col])
+    candidates = sample_grid(grid or K.GBT_GRID, n)
+    groups: dict[tuple, int] = {}
+    for c in candidates:
+        key = (c["maxDepth"], c["stepSize"])
+        groups[key] = max(groups.get(key, 0), c["maxIter"])
+
+    def prepare(f):
+        pre = Pipeline(stages=[*preprocessing_stages(num, cat),
+                               ImportanceSelector(featuresCol="features", labelCol=label, outputCol="selected",
+                                                  task="regression")]).fit(train.where(F.col(fold_col) != f))
+        cols = ["selected", F.col(label).cast("double").alias("label")]
+        fit_rows = pre.transform(train.where(F.col(fold_col) != f)).select(*cols).cache()
+        val_rows = pre.transform(train.where(F.col(fold_col) == f)).select(*cols).cache()
+        var = val_rows.agg(F.var_pop("label")).first()[0]
+        return f, fit_rows, val_rows, var
+
+    with ThreadPoolExecutor(max_workers=folds) as pool:
+        prepared = list(pool.map(prepare, range(folds)))
+
+    def fit_group(job):
+        (f, fit_rows, val_rows, var), (depth, rate), iters = job
+        model = _GBT(featuresCol="selected", labelCol="label", seed=K.SEED, maxIter=iters, maxDepth=depth,
+                     stepSize=rate).fit(fit_rows)
+        mse = model.evaluateEachIteration(val_rows, "squared")
+        return f, depth, rate, mse, var
+
+    jobs = [(p, key, iters) for p in prepared for key, iters in groups.items()]
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(jobs)))) as pool:
+        curves = list(pool.map(fit_group, jobs))
+    for _, fit_rows, val_rows, _ in prepared:
+        fit_rows.unpersist()
+        val_rows.unpersist()
+    scores = []
+    for c in candidates:
+        per_fold = [1.0 - mse[c["maxIter"] - 1] / var if var else 0.0
+                    for f, depth, rate, mse, var in curves if (depth, rate) == (c["maxDepth"], c["stepSize"])]
+        scores.append((c, float(np.mean(per_fold))))
+    best = max(range(len(scores)), key=lambda i: (scores[i][1], -i))
+    b = candidates[best]
+    final = Pipeline(stages=[*preprocessing_stages(num, cat),
+                             ImportanceSelector(featuresCol="features", labelCol=label, outputCol="selected",
+                                                task="regression"),
+                             _spark_model("gbt_reg", b, label, None)]).fit(train)
+    return SearchResult("gbt_reg", "regression", final, b, scores, (num, cat))
+
+
 def _spec(family: str, c: dict, y_std: float = 1.0) -> Spec:
     if family.startswith("mlp"):
         return Spec(family, hidden=tuple(c["hidden"]), activation=c["activation"], lr=c["learningRate"])
@@ -200,6 +268,8 @@ def gradient_search(train: DataFrame, label: str, family: str, exclude: list[str
 
 def train_family(train: DataFrame, label: str, family: str, exclude: list[str], **kw) -> SearchResult:
     """Dispatch to the right search for ``family`` (see ``FAMILIES``)."""
-    if family in ("gbt_reg", "rf_clf"):
+    if family == "gbt_reg":
+        return gbt_search(train, label, exclude, **kw)
+    if family == "rf_clf":
         return spark_search(train, label, family, exclude, **kw)
     return gradient_search(train, label, family, exclude, **kw)
