@@ -3,8 +3,9 @@
 Boosted trees (``gbt_search``) share the candidate-independent work:
 preprocessing and selector once per fold, one GBT per (depth, rate) group
 scored at every prefix with ``evaluateEachIteration`` (same scores as the
-plain cross-validation, about a third faster).  The forest family uses
-Spark ML estimators inside a full ``Pipeline``
+plain cross-validation, about a third faster); the forest search
+(``rf_search``) shares the per-fold preprocessing the same way.
+``spark_search`` is the plain form: Spark ML estimators inside a full ``Pipeline``
 (preprocessing + importance selector + model) under ``CrossValidator`` with
 the hash fold column, so scaling, encoding and selection are refitted per
 fold as in the reference; candidates run ``parallelism`` at a time.
@@ -176,6 +177,57 @@ def gbt_search(train: DataFrame, label: str, exclude: list[str], n: int = K.SEAR
     return SearchResult("gbt_reg", "regression", final, b, scores, (num, cat))
 
 
+def rf_search(train: DataFrame, label: str, exclude: list[str], n: int = K.SEARCH_CANDIDATES,
+              folds: int = K.CV_FOLDS, parallelism: int = 8, fold_col: str = "fold",
+              grid: dict | None = None) -> SearchResult:
+    """M7 + M12 with shared work; same candidates, folds and scores as ``spark_search``.
+
+    Balanced weights (A18) are attached once; preprocessing and the importance
+    selector are fitted once per fold; every (candidate, fold) forest is then
+    fitted on the prepared rows and scored by accuracy on the held-out fold,
+    all fits submitted concurrently.  The best candidate is refitted on all
+    training rows.
+    """
+    train = with_class_weight(train.where(F.col(label).isNotNull()), label, "class_weight")
+    num, cat = feature_columns(train, exclude + [label, fold_col, "class_weight"])
+    candidates = sample_grid(grid or K.RF_GRID, n)
+    evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
+
+    def prepare(f):
+        pre = Pipeline(stages=[*preprocessing_stages(num, cat),
+                               ImportanceSelector(featuresCol="features", labelCol=label, outputCol="selected",
+                                                  task="classification")]).fit(train.where(F.col(fold_col) != f))
+        cols = ["selected", label, "class_weight"]
+        return (f, pre.transform(train.where(F.col(fold_col) != f)).select(*cols).cache(),
+                pre.transform(train.where(F.col(fold_col) == f)).select(*cols).cache())
+
+    with ThreadPoolExecutor(max_workers=folds) as pool:
+        prepared = list(pool.map(prepare, range(folds)))
+
+    def fit_score(job):
+        ci, (f, fit_rows, val_rows) = job
+        model = _spark_model("rf_clf", candidates[ci], label, "class_weight").fit(fit_rows)
+        return ci, evaluator.evaluate(model.transform(val_rows))
+
+    jobs = [(ci, p) for ci in range(len(candidates)) for p in prepared]
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(jobs)))) as pool:
+        results = list(pool.map(fit_score, jobs))
+    for _, fit_rows, val_rows in prepared:
+        fit_rows.unpersist()
+        val_rows.unpersist()
+    per = {ci: [] for ci in range(len(candidates))}
+    for ci, score in results:
+        per[ci].append(score)
+    scores = [(candidates[ci], float(np.mean(per[ci]))) for ci in range(len(candidates))]
+    best = max(range(len(scores)), key=lambda i: (scores[i][1], -i))
+    b = candidates[best]
+    final = Pipeline(stages=[*preprocessing_stages(num, cat),
+                             ImportanceSelector(featuresCol="features", labelCol=label, outputCol="selected",
+                                                task="classification"),
+                             _spark_model("rf_clf", b, label, "class_weight")]).fit(train)
+    return SearchResult("rf_clf", "classification", final, b, scores, (num, cat))
+
+
 def _spec(family: str, c: dict, y_std: float = 1.0) -> Spec:
     if family.startswith("mlp"):
         return Spec(family, hidden=tuple(c["hidden"]), activation=c["activation"], lr=c["learningRate"])
@@ -271,5 +323,5 @@ def train_family(train: DataFrame, label: str, family: str, exclude: list[str],
     if family == "gbt_reg":
         return gbt_search(train, label, exclude, **kw)
     if family == "rf_clf":
-        return spark_search(train, label, family, exclude, **kw)
+        return rf_search(train, label, exclude, **kw)
     return gradient_search(train, label, family, exclude, **kw)
