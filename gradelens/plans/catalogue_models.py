@@ -203,8 +203,8 @@ def report_markdown(spark, sf_dir):
     best = choose_best(rows)
     sel = selected_features(trained(spark, sf_dir, "gbt_reg").model, frame(spark, sf_dir).limit(1))
     kept = [r["feature"] for r in sel.where("kept").orderBy("position").collect()]
-    text = build_report(prepared_cohort(spark, sf_dir), rows, kept,
-                        f"{best.get('regression')} / {best.get('classification')}")
+    names = [K.FAMILY_NAMES.get(best.get(k), str(best.get(k))) for k in ("regression", "classification")]
+    text = build_report(prepared_cohort(spark, sf_dir), rows, kept, " / ".join(names))
     return spark.createDataFrame([(i, line) for i, line in enumerate(text.split("\n"))], "line int, text string")
 
 

@@ -47,7 +47,8 @@ def run(spark, out: str, sf_dir: str | None = None, csv: str | None = None) -> s
         "best_reg": t.results[t.best["regression"]].model, "best_clf": t.results[t.best["classification"]].model,
     }, {"feature_columns": feats, "target": K.TARGET_REG, "threshold": K.PASS_THRESHOLD, "metrics": t.metrics})
     kept = [r["feature"] for r in selected_features(reg.model, t.frame.limit(1)).where("kept").collect()]
-    text = build_report(df, t.metrics, kept, f"{t.best['regression']} / {t.best['classification']}")
+    names = [K.FAMILY_NAMES.get(t.best[k], t.best[k]) for k in ("regression", "classification")]
+    text = build_report(df, t.metrics, kept, " / ".join(names))
     return write_report(spark, text, f"{out}/report")
 
 
