@@ -5,11 +5,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from gradelens.plans import registry
 from gradelens.sources.tables import TABLES
 
 from conftest import SF_SMOKE
 
-SQL = E.oracle_sql()
+SQL = registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
