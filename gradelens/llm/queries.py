@@ -38,3 +38,76 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
     return pack(read_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"),
                 vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op3_decontamination", sql="""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
+  FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS size, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS win
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) AS i FROM b WHERE len(ws) > 0)
+), sizes AS (SELECT DISTINCT size FROM bw),
+dw AS (
+  SELECT doc_id, i, size, array_to_string(ws[i:i + size - 1], ' ') AS win
+  FROM (SELECT doc_id, ws, size, unnest(range(1, greatest(len(ws) - size + 2, 1))) AS i FROM w, sizes)
+), hits AS (SELECT doc_id, i, dw.size, item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.size = bw.size),
+n AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + size)) AS pos FROM hits) GROUP BY doc_id
+), it AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
+""")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark windows of 10 words."""
+    from .decontam import report
+    return report(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole document; huge documents by spliced overlapping chunks."""
+    from .token_count import count
+    return count(read_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("word_bpe_49k.json"))
+
+
+@query("op10_fingerprints", sql=None)
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of all documents and of their edited texts."""
+    from .fingerprint import edit_report
+    return edit_report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op9_substring_dedup", sql="""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS t
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 18, 1))) AS i FROM w)
+), f AS (SELECT t, min(struct_pack(d := doc_id, i := i)) AS first FROM win GROUP BY t HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos
+  FROM win JOIN f USING (t) WHERE struct_pack(d := doc_id, i := i) > first
+), words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept
+  FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+       CAST(coalesce((SELECT count(*) FROM gone WHERE gone.doc_id = w.doc_id), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+""")
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of passages of 20 words or more that occurred earlier."""
+    from .substrings import deduplicate
+    return deduplicate(read_table(spark, sf_dir, "documents", "doc_id", "text"))
