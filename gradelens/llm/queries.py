@@ -111,3 +111,26 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the words of passages of 20 words or more that occurred earlier."""
     from .substrings import deduplicate
     return deduplicate(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op6_near_duplicates", sql="""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+r AS (
+  WITH RECURSIVE reach(doc_id, other) AS (SELECT a, b FROM e UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON reach.other = e.a)
+  SELECT doc_id, min(other) AS least FROM reach GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(r.least, w.doc_id)) AS component_id,
+       least(w.doc_id, coalesce(r.least, w.doc_id)) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id)
+""")
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents whose 5-word shingle sets are alike to 85 % or more."""
+    from .near_dup import classes
+    return classes(read_table(spark, sf_dir, "documents", "doc_id", "text"))
