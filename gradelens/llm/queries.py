@@ -134,3 +134,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of all documents whose 5-word shingle sets are alike to 85 % or more."""
     from .near_dup import classes
     return classes(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document; learned from labelled documents that are not held out."""
+    from .toxicity import report
+    return report(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
