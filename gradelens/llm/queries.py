@@ -141,3 +141,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole document; learned from labelled documents that are not held out."""
     from .toxicity import report
     return report(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+@query("op4_language")
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole document; learned from all documents that are not held out."""
+    from .language import report
+    return report(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
