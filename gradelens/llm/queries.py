@@ -148,3 +148,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole document; learned from all documents that are not held out."""
     from .language import report
     return report(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole document: base patterns and the spans that the network adds."""
+    from .pii import report
+    return report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
