@@ -155,3 +155,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole document: base patterns and the spans that the network adds."""
     from .pii import report
     return report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op2_url_filter")
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's url: the fixed rules, else mined association rules."""
+    from .url_rules import judge
+    return judge(read_table(spark, sf_dir, "pages", "page_id", "url"))
