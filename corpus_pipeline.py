@@ -1,14 +1,65 @@
-"""A cleaning pipeline for training data: toxicity, near copies, benchmark passages, personal data, packing."""
+"""A cleaning pipeline for training data: toxicity, near copies, benchmark passages, personal data, packing.
+
+Each stage works on all that its predecessor kept, calls one operator of
+``gradelens.llm`` with its production parameters and returns the columns of
+``documents``; the last one returns packed pieces.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gradelens.llm import decontam, near_dup, packing, pii, toxicity
+from gradelens.session import cut_lineage
+from gradelens.sources.tables import read_table
 
-STAGES: list = []
+#: The tokenizers are not a part of any SQL, nor are the trained models.
 ORACLE_SQL = None
 
 
+def _known_id(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the toxicity model rejects; learned from all labelled documents."""
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.reject(_known_id(docs), model)
+
+
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return near_dup.deduplicate(_known_id(docs))
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a benchmark window."""
+    return decontam.remove(_known_id(docs), read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """With personal data replaced by its kind in brackets."""
+    return pii.mask(_known_id(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2048 ids."""
+    import public_tokenizers
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("near_copies", remove_near_copies),
+    ("decontamination", remove_benchmark),
+    ("personal_data", mask_personal_data),
+    ("packing", pack),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages on ``documents``; every stage's result but the last is a table in the shared checkpoint folder."""
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -253,8 +253,8 @@ def _known(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit((1 << 63) - 1))
 
 
-def classes(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES, size: int = SHINGLE) -> DataFrame:
-    """Per row: ``doc_id, n_shingles, component_id, kept``."""
+def rooted(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES, size: int = SHINGLE) -> DataFrame:
+    """Per row: ``doc_id, rk`` (a hash of the text), ``n_shingles`` and ``root``, the name of its class (null for an empty set)."""
     spark = prepare(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.hash("text").alias("rk"))
@@ -276,8 +276,27 @@ def classes(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES, siz
     links = _confirmed(grouped.repartition(parts, "root", "bi", "bj").sortWithinPartitions("root", "bi", "bj", "node"), percent)
     linked = components(cut_lineage(links.distinct()))
 
-    rows = signed.join(linked, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root"))
-    least = rows.where("node is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return signed.join(linked, "node", "left").select("doc_id", "rk", "n_shingles", F.coalesce("root", "node").alias("root"))
+
+
+def classes(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES, size: int = SHINGLE) -> DataFrame:
+    """Per row: ``doc_id, n_shingles, component_id, kept``."""
+    rows = rooted(docs, percent, matches, size)
+    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "root", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")) \
+        "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")) \
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicate(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES, size: int = SHINGLE) -> DataFrame:
+    """One document of each class, with its columns: the one of the smallest id.
+
+    Documents without a word are kept, rows equal in id and text once.
+    """
+    rows = rooted(docs, percent, matches, size).select("root", _known("doc_id").alias("k"), "rk")
+    first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("k", "rk")).alias("x")).select("x.k", "x.rk")
+    keep = first.unionByName(rows.where("root is null").select("k", "rk")).distinct()
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(_known("doc_id").alias("k"), F.hash("text").alias("rk"), F.struct(*names).alias("row"))
+    once = keyed.join(keep.hint("shuffle_hash"), ["k", "rk"]).groupBy("k", "rk").agg(F.first("row").alias("row"))
+    return once.select("row.*")
