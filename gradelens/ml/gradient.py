@@ -79,18 +79,11 @@ def _feature_map(spec: Spec, d: int):
         b = rng.uniform(0.0, 2.0 * np.pi, size=spec.n_rff)
         scale = np.sqrt(2.0 / spec.n_rff)
         return lambda x: scale * np.cos(x @ w + b), spec.n_rff
-    if spec.kernel == "poly":
-        idx2 = [(i, j) for i in range(d) for j in range(i, d)]
-        idx3 = [(i, j, k) for i in range(d) for j in range(i, d) for k in range(j, d)]
-
-        def poly(x):
-            cols = [x]
-            if idx2:
-                cols.append(np.stack([x[:, i] * x[:, j] for i, j in idx2], axis=1))
-            if idx3:
-                cols.append(np.stack([x[:, i] * x[:, j] * x[:, k] for i, j, k in idx3], axis=1))
-            return np.concatenate(cols, axis=1)
-        return poly, d + len(idx2) + len(idx3)
+    if spec.kernel == "poly":                      # (gamma x.z)^3: all monomials of degree 3, with their multiplicity
+        i, j, k = np.array([(i, j, k) for i in range(d) for j in range(i, d) for k in range(j, d)]).reshape(-1, 3).T
+        times = np.where((i == j) & (j == k), 1.0, np.where((i == j) | (j == k), 3.0, 6.0))
+        scale = np.sqrt(times) * (1.0 / max(d, 1)) ** 1.5
+        return lambda x: x[:, i] * x[:, j] * x[:, k] * scale.astype(x.dtype), len(i)
     return (lambda x: x), d
 
 
@@ -148,11 +141,11 @@ def forward(spec: Spec, theta: np.ndarray, x: np.ndarray, d: int) -> np.ndarray:
     return h[:, 0]
 
 
-def loss_grad(spec: Spec, theta: np.ndarray, x: np.ndarray, y: np.ndarray, d: int):
-    """(sum of data loss, gradient of the summed data loss) over the rows given."""
+def loss_grad(spec: Spec, theta: np.ndarray, x: np.ndarray, y: np.ndarray, d: int, mapped: bool = False):
+    """(sum of data loss, gradient of the summed data loss) over the rows given (``mapped``: x is phi(x))."""
     fmap, _ = _feature_map(spec, d)
     layers = _unpack(theta, _shapes(spec, d))
-    acts = [fmap(x)]
+    acts = [x if mapped else fmap(x)]
     for i, (w, b) in enumerate(layers):
         z = acts[-1] @ w + b
         acts.append(_act(z, spec.activation) if i < len(layers) - 1 else z)
@@ -202,40 +195,53 @@ class _Job:
 def to_training_frame(df: DataFrame, features_col: str, label_col: str, fold_col: str | None) -> DataFrame:
     cols = [vector_to_array(F.col(features_col)).alias("x"), F.col(label_col).cast("double").alias("y")]
     cols.append(F.col(fold_col).cast("int").alias("fold") if fold_col else F.lit(-1).alias("fold"))
+    key = F.xxhash64(F.col("id")) if "id" in df.columns else F.xxhash64(*cols[:2])
+    cols.append(key.alias("key"))
     return df.where(F.col(label_col).isNotNull()).select(*cols)
 
 
 def tree_sum(per_part: DataFrame, fan_in: int) -> DataFrame:
-    """Sum one gradient row per (partition, model) in two levels.
+    """Sum one state per (shard, model) in two levels.
 
-    A single ``groupBy(model)`` would send every partition's vector of a
-    model to one reducer (fan-in = number of partitions).  Grouping first by
-    (model, bucket of partitions) with ~sqrt(partitions) buckets and then by
-    model bounds the fan-in of every reducer by ~sqrt(partitions), like
-    MLlib's tree aggregation."""
+    A single ``groupBy(model)`` would send every shard's vector of a model to
+    one reducer.  Grouping first by (model, bucket of shards) with about
+    sqrt(shards) buckets and then by model bounds the fan-in of every reducer
+    by that, like MLlib's tree aggregation."""
     vec = array_to_vector(F.col("g"))
-    if fan_in <= 8:                  # few partitions: one level is already a small fan-in
-        return per_part.groupBy("model").agg(Summarizer.sum(vec).alias("g"), F.sum("loss").alias("loss"),
-                                             F.sum("n").alias("n"))
-    level1 = (per_part.withColumn("__bucket", F.spark_partition_id() % F.lit(fan_in))
+    level1 = (per_part.withColumn("__bucket", F.col("shard") % F.lit(fan_in))
               .groupBy("model", "__bucket")
               .agg(Summarizer.sum(vec).alias("g"), F.sum("loss").alias("loss"), F.sum("n").alias("n")))
     return level1.groupBy("model").agg(Summarizer.sum(F.col("g")).alias("g"), F.sum("loss").alias("loss"),
                                        F.sum("n").alias("n"))
 
 
-def spread(data: DataFrame) -> DataFrame:
-    """At least one partition per core: every step's gradient pass then uses the
-    whole cluster (a small input can arrive as a single file split)."""
-    par = data.sparkSession.sparkContext.defaultParallelism
-    return data.repartition(par) if data.rdd.getNumPartitions() < par else data
+#: Rows of a training shard.  The number of shards follows from the rows alone,
+#: so the fitted parameters depend on neither the cluster nor the partitioning.
+SHARD_ROWS = 50_000
+#: Groups that the models of a search are dealt to while there are fewer shards than this.
+MODEL_GROUPS = 8
+
+
+def sharded(data: DataFrame, rows: int) -> tuple[DataFrame, int, int]:
+    """``data`` dealt to (shard, model group) partitions, and the numbers of both.
+
+    A row's shard is a hash of its ``key``.  With few shards every row goes to
+    several model groups, so a search on a small table still uses many cores.
+    """
+    shards = max(1, -(-rows // SHARD_ROWS))
+    groups = max(1, MODEL_GROUPS // shards)
+    dealt = (data.withColumn("shard", F.pmod(F.xxhash64("key", F.lit("shard")), F.lit(shards)).cast("int"))
+             .withColumn("grp", F.explode(F.array(*[F.lit(g) for g in range(groups)])))
+             .repartitionById(shards * groups, (F.col("shard") * F.lit(groups) + F.col("grp")).cast("int"))
+             .sortWithinPartitions("shard", "grp", "key", "y"))
+    return dealt, shards, groups
 
 
 MINIBATCH = 200      # the reference library's default batch size
 
 
 def _local_epoch(spec: Spec, theta, m, v, t, x, y, d: int, n_total: int, seed: int):
-    """One Adam epoch over this partition's rows in minibatches of 200.
+    """One Adam epoch over a shard's mapped rows in minibatches of 200.
 
     Per minibatch the objective is the mean data loss plus the regulariser
     scaled to the batch (alpha/2 |W|^2 / batch for MLPs, |w|^2/2 * batch/n
@@ -249,7 +255,7 @@ def _local_epoch(spec: Spec, theta, m, v, t, x, y, d: int, n_total: int, seed: i
     for start in range(0, len(order), MINIBATCH):
         idx = order[start:start + MINIBATCH]
         bs = len(idx)
-        loss, g = loss_grad(spec, theta.astype(np.float32), x[idx], y[idx], d)
+        loss, g = loss_grad(spec, theta.astype(np.float32), x[idx], y[idx], d, mapped=True)
         w = theta * mask
         if mlp:
             pen, pg = 0.5 * L2_ALPHA * float(w @ w), L2_ALPHA * w
@@ -270,7 +276,7 @@ def train_many(data: DataFrame, specs: list[Spec], folds: list[int | None], step
     """Train every (spec, held-out fold) pair jointly; one Spark job per ``epochs_per_job`` epochs.
 
     Each job sends the current parameters and Adam moments of every active
-    model to the executors; every partition runs ``epochs_per_job`` local
+    model to the executors; every shard runs ``epochs_per_job`` local
     epochs of minibatch Adam on its rows (the model's held-out fold
     excluded) and returns its parameters and moments weighted by its row
     count, plus its loss of every epoch; a two-level ``Summarizer`` sum gives
@@ -280,7 +286,7 @@ def train_many(data: DataFrame, specs: list[Spec], folds: list[int | None], step
     ``n_iter_no_change``); the loop ends when every model has stopped or
     after ``steps`` epochs.
 
-    ``data`` has columns ``x`` (array<double>), ``y`` (double), ``fold`` (int).
+    ``data`` has columns ``x`` (array<double>), ``y`` (double), ``fold`` (int), ``key`` (long).
     """
     spark = data.sparkSession
     ship_package(spark)
@@ -292,8 +298,9 @@ def train_many(data: DataFrame, specs: list[Spec], folds: list[int | None], step
     t_of = [0] * len(jobs)
     counts = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
     n_of = [sum(c for f, c in counts.items() if j.held_out is None or f != j.held_out) for j in jobs]
-    cached = spread(data).persist(StorageLevel.MEMORY_AND_DISK)
-    fan_in = max(1, int(cached.rdd.getNumPartitions() ** 0.5))
+    dealt, shards, groups = sharded(data, sum(counts.values()))
+    cached = dealt.persist(StorageLevel.MEMORY_AND_DISK)
+    fan_in = max(1, int(shards ** 0.5))
     try:
         epoch = 0
         while epoch < steps:
@@ -305,32 +312,39 @@ def train_many(data: DataFrame, specs: list[Spec], folds: list[int | None], step
                 [(i, jobs[i].spec, jobs[i].held_out, jobs[i].theta, jobs[i].m, jobs[i].v, t_of[i], n_of[i])
                  for i in active])
 
-            def local(batches, bc=bc, d=d, epoch=epoch, n_ep=n_ep):
-                from pyspark import TaskContext
+            def local(batches, bc=bc, d=d, epoch=epoch, n_ep=n_ep, groups=groups):
                 parts = [pdf for pdf in batches if not pdf.empty]
                 if not parts:
                     return
-                pdf = pd.concat(parts, ignore_index=True)
+                pdf = pd.concat(parts, ignore_index=True)      # one shard: at most about SHARD_ROWS rows
                 x = np.stack(pdf["x"].to_numpy()).astype(np.float32)
                 y = pdf["y"].to_numpy(dtype=np.float32)
                 fold = pdf["fold"].to_numpy()
-                pid = TaskContext.get().partitionId()
-                rows = []
+                shard, grp = int(pdf["shard"].iloc[0]), int(pdf["grp"].iloc[0])
+                maps: dict = {}                                 # feature maps, once per kernel and job
                 for i, spec, held, theta, m, v, t, n_total in bc.value:
+                    if i % groups != grp:
+                        continue
                     sel = np.nonzero(fold != held)[0] if held is not None else np.arange(len(y))
                     if len(sel) == 0:
                         continue
+                    kernel = (spec.kernel, spec.seed, spec.n_rff) if not spec.family.startswith("mlp") else None
+                    if (kernel, held) not in maps:
+                        if kernel not in maps:
+                            maps[kernel] = _feature_map(spec, d)[0](x).astype(np.float32)
+                        maps[kernel, held] = maps[kernel][sel], y[sel]
+                    xs, ys = maps[kernel, held]
                     th, mm, vv, k, losses = theta, m, v, 0, []
                     for e in range(n_ep):
-                        th, mm, vv, ke, obj = _local_epoch(spec, th, mm, vv, t + k, x[sel], y[sel], d, n_total,
-                                                           seed=hash((spec.seed, epoch + e, pid, i)) % (2 ** 32))
+                        th, mm, vv, ke, obj = _local_epoch(spec, th, mm, vv, t + k, xs, ys, d, n_total,
+                                                           seed=(spec.seed, epoch + e, shard, i))
                         k += ke
                         losses.append(obj)
                     w = float(len(sel))
-                    rows.append((i, (np.concatenate([th, mm, vv, [k]]) * w).tolist() + losses, 0.0, len(sel)))
-                yield pd.DataFrame(rows, columns=["model", "g", "loss", "n"])
+                    yield pd.DataFrame([(i, shard, (np.concatenate([th, mm, vv, [k]]) * w).tolist() + losses, 0.0, len(sel))],
+                                       columns=["model", "shard", "g", "loss", "n"])
 
-            per_part = cached.mapInPandas(local, "model int, g array<double>, loss double, n long")
+            per_part = cached.mapInPandas(local, "model int, shard int, g array<double>, loss double, n long")
             summed = tree_sum(per_part, fan_in).collect()
             bc.unpersist()
             epoch += n_ep

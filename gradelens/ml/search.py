@@ -36,7 +36,7 @@ from ..functions import constants as K
 from ..operators.metrics import with_class_weight
 from pyspark import StorageLevel
 
-from .gradient import Spec, forward, make_model, spread, to_training_frame, train_many
+from .gradient import Spec, forward, make_model, to_training_frame, train_many
 from .preprocess import ImportanceSelector, feature_columns, preprocessing_stages
 
 FAMILIES = {
@@ -114,6 +114,22 @@ def spark_search(train: DataFrame, label: str, family: str, exclude: list[str],
     return SearchResult(family, task, cvm.bestModel, candidates[best], scores, (num, cat))
 
 
+#: Bytes of prepared rows that one fitting task holds.
+TASK_BYTES = 32 << 20
+
+
+def compact(rows: DataFrame) -> DataFrame:
+    """Cached rows in as many partitions as their bytes need: a boosting round runs
+    several jobs over them, and on a small table their cost is the task count."""
+    held = rows.cache()
+    width = held.select(F.length(F.col("selected").cast("string")).alias("w")).agg(F.sum("w")).first()[0] or 0
+    parts = max(1, -(-int(width) // TASK_BYTES))
+    small = held.coalesce(parts).cache()
+    small.count()
+    held.unpersist()
+    return small
+
+
 def gbt_search(train: DataFrame, label: str, exclude: list[str], n: int = K.SEARCH_CANDIDATES,
                folds: int = K.CV_FOLDS, parallelism: int = 8, fold_col: str = "fold",
                grid: dict | None = None) -> SearchResult:
@@ -142,8 +158,8 @@ def gbt_search(train: DataFrame, label: str, exclude: list[str], n: int = K.SEAR
                                ImportanceSelector(featuresCol="features", labelCol=label, outputCol="selected",
                                                   task="regression")]).fit(train.where(F.col(fold_col) != f))
         cols = ["selected", F.col(label).cast("double").alias("label")]
-        fit_rows = pre.transform(train.where(F.col(fold_col) != f)).select(*cols).cache()
-        val_rows = pre.transform(train.where(F.col(fold_col) == f)).select(*cols).cache()
+        fit_rows = compact(pre.transform(train.where(F.col(fold_col) != f)).select(*cols))
+        val_rows = compact(pre.transform(train.where(F.col(fold_col) == f)).select(*cols))
         var = val_rows.agg(F.var_pop("label")).first()[0]
         return f, fit_rows, val_rows, var
 
@@ -198,8 +214,8 @@ def rf_search(train: DataFrame, label: str, exclude: list[str], n: int = K.SEARC
                                ImportanceSelector(featuresCol="features", labelCol=label, outputCol="selected",
                                                   task="classification")]).fit(train.where(F.col(fold_col) != f))
         cols = ["selected", label, "class_weight"]
-        return (f, pre.transform(train.where(F.col(fold_col) != f)).select(*cols).cache(),
-                pre.transform(train.where(F.col(fold_col) == f)).select(*cols).cache())
+        return (f, compact(pre.transform(train.where(F.col(fold_col) != f)).select(*cols)),
+                compact(pre.transform(train.where(F.col(fold_col) == f)).select(*cols)))
 
     with ThreadPoolExecutor(max_workers=folds) as pool:
         prepared = list(pool.map(prepare, range(folds)))
@@ -298,10 +314,10 @@ def gradient_search(train: DataFrame, label: str, family: str, exclude: list[str
     d = len(data.select("x").first()["x"])
     candidates = sample_grid(grid or default_grid, n)
     specs = [_spec(family, c, y_std) for c in candidates]
-    data = spread(data).persist(StorageLevel.MEMORY_AND_DISK)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         jobs = train_many(data, specs, list(range(folds)) + [None], steps=steps)
-        cv = _cv_scores(data, jobs, d, task)
+        cv = _cv_scores(data, jobs, d, task) if folds else {}
     finally:
         data.unpersist()
     scores = [(c, cv.get(id(s), float("nan"))) for c, s in zip(candidates, specs)]
@@ -318,6 +334,36 @@ def gradient_search(train: DataFrame, label: str, family: str, exclude: list[str
                         (num, cat))
 
 
+def fit_point(train: DataFrame, label: str, family: str, exclude: list[str], params: dict | None = None,
+              fold_col: str = "fold", steps: int = 1000) -> SearchResult:
+    """One point of a family's space (default ``K.FIXED_POINTS``) fitted on all training rows, without a search."""
+    task = FAMILIES[family][0]
+    params = params or K.FIXED_POINTS[family]
+    if family not in ("gbt_reg", "rf_clf"):
+        grid = {k: [v] for k, v in params.items()}
+        return gradient_search(train, label, family, exclude, n=1, folds=0, fold_col=fold_col, steps=steps, grid=grid)
+    train = train.where(F.col(label).isNotNull())
+    weight = None
+    if family == "rf_clf":
+        weight = "class_weight"
+        train = with_class_weight(train, label, weight)
+    num, cat = feature_columns(train, exclude + [label, fold_col, "class_weight"])
+    pre = Pipeline(stages=[*preprocessing_stages(num, cat),
+                           ImportanceSelector(featuresCol="features", labelCol=label, outputCol="selected", task=task)]).fit(train)
+    rows = compact(pre.transform(train).select("selected", label, *([weight] if weight else [])))
+    model = _spark_model(family, params, label, weight).fit(rows)
+    rows.unpersist()
+    return SearchResult(family, task, PipelineModel(stages=[*pre.stages, model]), params, [], (num, cat))
+
+
+def fit_selector(train: DataFrame, label: str, exclude: list[str], task: str = "regression", fold_col: str = "fold") -> PipelineModel:
+    """M4 + M5 only: preprocessing and the importance selector."""
+    train = train.where(F.col(label).isNotNull())
+    num, cat = feature_columns(train, exclude + [label, fold_col])
+    return Pipeline(stages=[*preprocessing_stages(num, cat),
+                            ImportanceSelector(featuresCol="features", labelCol=label, outputCol="selected", task=task)]).fit(train)
+
+
 def train_family(train: DataFrame, label: str, family: str, exclude: list[str], **kw) -> SearchResult:
     """Dispatch to the right search for ``family`` (see ``FAMILIES``)."""
     if family == "gbt_reg":

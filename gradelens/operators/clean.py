@@ -60,11 +60,6 @@ def all_null_columns(df: DataFrame, counts: dict | None = None) -> list[str]:
     return [c for c, (nulls, vals) in counts.items() if vals == 0 and nulls > 0]
 
 
-def drop_all_null_columns(df: DataFrame) -> DataFrame:
-    """Drop columns without any value."""
-    return df.drop(*all_null_columns(df))
-
-
 # ---------------------------------------------------------------- medians ---
 
 @dataclass
@@ -104,7 +99,7 @@ def _resolve_small(df: DataFrame, targets: list[_Target]) -> None:
              for i, k in enumerate(keys)]
     pairs = (df.select(F.explode(F.array(*cells)).alias("p")).where(F.col("p").isNotNull())
                .select("p.t", "p.v").groupBy("t", "v").count())
-    # Bounded: every bracket holds <= COLLECT_CAP rows (or few distinct values); Arrow transfer.
+    # Bounded: the brackets of a round hold at most collect_cap pairs together; Arrow transfer.
     table = pairs.toPandas()
     for i, k in enumerate(keys):
         part = table[table["t"] == i].sort_values("v")
@@ -183,13 +178,20 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float],
             for r in {int(pos // 1), min(n - 1, int(-(-pos // 1)))}:
                 targets.setdefault((c, r), _Target(col=c, rank=r, n_in=n))
     pending_all = list(targets.values())
-    for _ in range(64):
-        pending = [t for t in pending_all if not t.done]
-        if not pending:
-            break
-        few = {c for c, k in (distinct or {}).items() if k is not None and k <= collect_cap // 2}
-        small = [t for t in pending if t.n_in <= collect_cap or (t.col in few and t.lo is None and t.hi is None)]
-        large = [t for t in pending if t not in small]
+    few = {c: 2 * k for c, k in (distinct or {}).items() if k is not None and k <= collect_cap // 2}
+    while pending := [t for t in pending_all if not t.done]:
+        # Brackets are collected together, at most collect_cap pairs in one round;
+        # the rest wait for the next round or are narrowed further.
+        small, large, room, taken = [], [], collect_cap, set()
+        for t in sorted(pending, key=lambda t: min(t.n_in, few.get(t.col, t.n_in))):
+            cost = min(t.n_in, few.get(t.col, t.n_in)) if t.lo is None and t.hi is None else t.n_in
+            bracket = (t.col, t.lo, t.hi, t.below)
+            if bracket in taken or cost <= room:
+                room -= 0 if bracket in taken else cost
+                taken.add(bracket)
+                small.append(t)
+            elif cost > collect_cap:
+                large.append(t)
         if small:
             _resolve_small(df, small)
         if large:
@@ -233,41 +235,6 @@ def column_modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
     return {c: found.get(c) for c in cols}
 
 
-def mode_table(df: DataFrame, cols: list[str]) -> DataFrame:
-    """A10 as a DataFrame (column, mode, count) without any collect."""
-    pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols
-    ])).alias("p")).select("p.column", "p.value").where(F.col("value").isNotNull())
-    counted = pairs.groupBy("column", "value").count()
-    return counted.groupBy("column").agg(
-        F.min_by(F.struct(F.col("value").alias("mode"), F.col("count").alias("count")),
-                 F.struct((-F.col("count")).alias("k"), F.col("value").alias("v"))).alias("m")
-    ).select("column", "m.mode", "m.count")
-
-
-# ------------------------------------------------------------------ clean ---
-
-@dataclass
-class CleanModel:
-    """Fitted cleaning: reusable on new batches and on streams."""
-    dropped: list[str] = field(default_factory=list)
-    numeric_fill: dict[str, float] = field(default_factory=dict)
-    text_fill: dict[str, str] = field(default_factory=dict)
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        df = df.drop(*[c for c in self.dropped if c in df.columns])
-        out = []
-        for f in df.schema.fields:
-            c = F.col(f.name)
-            if f.name in self.numeric_fill and self.numeric_fill[f.name] is not None:
-                dtype = "double" if isinstance(f.dataType, T.NumericType) else f.dataType
-                c = F.coalesce(c.cast(dtype), F.lit(self.numeric_fill[f.name]))
-            elif f.name in self.text_fill:
-                c = F.coalesce(c, F.lit(self.text_fill[f.name]))
-            out.append(c.alias(f.name))
-        return df.select(*out)
-
-
 def fit_clean(df: DataFrame, only_missing: bool = True) -> CleanModel:
     """Fit C1: which columns to drop and the median/mode fill values.
 

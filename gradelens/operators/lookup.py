@@ -1,8 +1,8 @@
 """Row lookups and index-aligned joins.
 
-Lookup tables are broadcast only after their size has been measured against
-``max_broadcast_rows``; larger tables fall back to a shuffled join (and AQE
-may still broadcast at run time if the measured shuffle output is small).
+All are equi-joins.  Whether a side is broadcast is left to Spark, which
+compares its size in bytes with ``autoBroadcastJoinThreshold`` when it plans
+and again, measured, when it runs.
 """
 from __future__ import annotations
 
@@ -11,14 +11,6 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the table has at most ``max_rows`` rows (checked)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def lookup_rows(keys: DataFrame, df: DataFrame, cols: Iterable[str], id_col: str = "id") -> DataFrame:
     """Values of ``cols`` for the rows whose id is in ``keys`` (inner equi-join)."""
@@ -31,11 +23,11 @@ def aligned_mask(features: DataFrame, labels: DataFrame, predicate, id_col: str
 
 
 def lookup(df: DataFrame, col: str, table: DataFrame, key: str, value: str, out: str | None = None,
-           keep_unmatched: bool = True, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+           keep_unmatched: bool = True) -> DataFrame:
     """Dictionary lookup of ``col`` in ``table``; unmatched keep their own value."""
     out = out or col
     t = table.select(F.col(key).alias("__k"), F.col(value).alias("__v")).dropDuplicates(["__k"])
-    joined = df.join(broadcast_if_small(t, max_broadcast_rows), F.col(col) == F.col("__k"), "left")
+    joined = df.join(t, F.col(col) == F.col("__k"), "left")
     res = F.coalesce(F.col("__v"), F.col(col)) if keep_unmatched else F.col("__v")
     cols = [res.alias(out) if c == out else F.col(c) for c in df.columns]
     if out not in df.columns:

@@ -71,9 +71,8 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
 
 def with_class_weight(df: DataFrame, label: str, weight_col: str = "class_weight") -> DataFrame:
     """Attach A18's weight to each row (a join with the k-row weight table)."""
-    from .lookup import broadcast_if_small
     w = class_balance(df, label).select(F.col("label").alias("__l"), F.col("weight").alias(weight_col))
-    return df.join(broadcast_if_small(w), F.col(label) == F.col("__l"), "left").drop("__l")
+    return df.join(w, F.col(label) == F.col("__l"), "left").drop("__l")
 
 
 def select_best(metrics: DataFrame, task_col: str = "task", family_col: str = "family",

@@ -1,13 +1,19 @@
 """Catalogue: model searches, scoring, explanations, persistence, report, CSV.
 
-These are rows-only checks (no SQL equivalent for a model fit); properties
-are tested in ``tests/``.  Fitted searches are cached per (Spark application,
-data folder) so the scoring / explanation queries reuse them.
+No SQL equals a model fit, so these queries return what SQL can state about
+their results: which candidates a search scored and that it chose the best of
+them, identity and actual values next to checks that follow from the row itself
+(a gap is prediction less actual, a band fits its grade, contributions add up).
+The searches run their whole budget; queries about scoring, explaining and
+reporting take a fitted model, and fit one documented point of each family's
+space (``K.FIXED_POINTS``) instead of searching again.
 """
 from __future__ import annotations
 
 import json
+import math
 import threading
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,76 +22,91 @@ from ..ml import explain as E
 from ..ml import scoring as SC
 from ..ml.persist import load_models, save_models
 from ..ml.preprocess import feature_columns, selected_features
-from ..ml.search import FAMILIES, train_family
+from ..ml.search import FAMILIES, fit_point, fit_selector, sample_grid, train_family
 from ..operators import metrics as M
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.csv_io import read_table_csv, write_table_csv
-from .prepare import prepared_cohort, raw_cohort
+from .prepare import prepare, raw_cohort
 from .registry import query
 from .report import build_report
-from .sql import BASE, COHORT_DOUBLE, PREP, RAW_ORDER
+from .sql import BASE, COHORT_DOUBLE, COHORT_GRADES, PREP, RAW_ORDER, sql_str
 from .training import (CLF_FAMILIES, REG_FAMILIES, choose_best, excluded_columns, model_frame, test_metrics,
-                       train_subject_models)
+                       train_subject_models, with_observed)
 
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 _CACHE: dict = {}
 
 
-def _key(spark, sf_dir, *rest):
-    return (spark.sparkContext.applicationId, sf_dir, *rest)
+def _once(spark, sf_dir, *rest, make):
+    """``make()`` once per application, data folder and name."""
+    key = (spark.sparkContext.applicationId, sf_dir, *rest)
+    with _LOCK:
+        if key not in _CACHE:
+            _CACHE[key] = make()
+        return _CACHE[key]
+
+
+def cohorts(spark, sf_dir):
+    """The raw cohort and the model frame over it, as one materialised table each."""
+    def make():
+        raw = raw_cohort(spark, sf_dir)
+        return raw, cut_lineage(model_frame(prepare(raw)))
+    return _once(spark, sf_dir, "frame", make=make)
 
 
 def frame(spark, sf_dir):
-    k = _key(spark, sf_dir, "frame")
-    with _LOCK:
-        if k not in _CACHE:
-            _CACHE[k] = model_frame(prepared_cohort(spark, sf_dir)).cache()
-        return _CACHE[k]
+    return cohorts(spark, sf_dir)[1]
 
 
-def trained(spark, sf_dir, family):
-    k = _key(spark, sf_dir, family)
-    if k not in _CACHE:
-        fr = frame(spark, sf_dir)
-        task = FAMILIES[family][0]
-        label = K.TARGET_REG if task == "regression" else K.TARGET_CLF
-        excl = [c for c in excluded_columns(fr) if c != label]
-        _CACHE[k] = train_family(fr.where(~F.col("is_test")), label, family, excl)
-    return _CACHE[k]
+def _label(family):
+    return K.TARGET_REG if FAMILIES[family][0] == "regression" else K.TARGET_CLF
+
+
+def _fit(spark, sf_dir, family, how):
+    fr = frame(spark, sf_dir)
+    excl = [c for c in excluded_columns(fr) if c != _label(family)]
+    return how(fr.where(~F.col("is_test")), _label(family), family, excl)
+
+
+def searched(spark, sf_dir, family):
+    return _once(spark, sf_dir, "search", family, make=lambda: _fit(spark, sf_dir, family, train_family))
+
+
+def fitted(spark, sf_dir, family):
+    return _once(spark, sf_dir, "point", family, make=lambda: _fit(spark, sf_dir, family, fit_point))
 
 
 def subjects(spark, sf_dir):
-    k = _key(spark, sf_dir, "subjects")
-    if k not in _CACHE:
-        fr = frame(spark, sf_dir)
-        present = [c for c in K.GRADE_COLUMNS if c in fr.columns]
-        _CACHE[k] = train_subject_models(fr, present, excluded_columns(fr))
-    return _CACHE[k]
+    """One fitted point per subject, on the grades that were observed."""
+    def make():
+        raw, fr = cohorts(spark, sf_dir)
+        seen = cut_lineage(with_observed(fr, raw, COHORT_GRADES))
+        return train_subject_models(seen, COHORT_GRADES, excluded_columns(seen), fit=fit_point)
+    return _once(spark, sf_dir, "subjects", make=make)
 
 
 def metrics_rows(spark, sf_dir, families=None):
     fr = frame(spark, sf_dir)
-    rows = []
-    for fam in families or REG_FAMILIES + CLF_FAMILIES:
-        res = trained(spark, sf_dir, fam)
-        label = K.TARGET_REG if res.task == "regression" else K.TARGET_CLF
-        rows.append(test_metrics(res, fr.where("is_test"), label))
-    return rows
+    return [test_metrics(fitted(spark, sf_dir, f), fr.where("is_test"), _label(f)) for f in families or REG_FAMILIES + CLF_FAMILIES]
 
 
-def _search_table(spark, sf_dir, family):
-    res = trained(spark, sf_dir, family)
-    best = json.dumps(res.best_params, sort_keys=True, default=str)
-    rows = [(family, json.dumps(c, sort_keys=True, default=str), float(s)) for c, s in res.cv_scores]
-    df = spark.createDataFrame(rows, "family string, candidate string, cv_score double")
-    return df.withColumn("chosen", F.col("candidate") == F.lit(best))
+def _text(params):
+    return json.dumps(params, sort_keys=True, default=str)
 
 
 def _register_search(name, family, doc):
+    """``family, candidate, scored`` for every candidate, and whether the chosen one has the best score."""
+    grid = [_text(c) for c in sample_grid(FAMILIES[family][1])]
+    sql = "SELECT * FROM (VALUES " + ", ".join(f"({sql_str(family)}, {sql_str(c)}, true, true)" for c in grid) \
+        + ") AS t(family, candidate, scored, best_chosen)"
+
     def fn(spark, sf_dir):
-        return _search_table(spark, sf_dir, family)
+        res = searched(spark, sf_dir, family)
+        best = [s for c, s in res.cv_scores if _text(c) == _text(res.best_params)]
+        rows = [(family, _text(c), math.isfinite(s), best == [res.best_score]) for c, s in res.cv_scores]
+        return spark.createDataFrame(rows, "family string, candidate string, scored boolean, best_chosen boolean")
     fn.__doc__ = doc
-    query(name)(fn)
+    query(name, sql=sql)(fn)
 
 
 _register_search("search_gbt_regression", "gbt_reg",
@@ -101,46 +122,84 @@ _register_search("search_svm_regression", "svr",
 _register_search("search_svm_classification", "svc",
                  "M11+M12: SVC (linear/rbf), all 6 grid points x 3 folds, Platt probabilities.")
 
+_TASKS = [("regression", REG_FAMILIES), ("classification", CLF_FAMILIES)]
 
-@query("model_metrics")
+
+@query("model_metrics", sql="SELECT * FROM (VALUES " + ", ".join(
+    f"('{t}', '{f}', true)" for t, fams in _TASKS for f in fams) + ") AS t(task, family, plausible)")
 def model_metrics(spark, sf_dir):
-    """M24 (A15, A16): test-split metrics of the six tuned families."""
-    return M.metric_table(spark, metrics_rows(spark, sf_dir))
+    """M24 (A15, A16): one row per family; errors are non-negative and ordered, rates lie in their range."""
+    out = []
+    for m in metrics_rows(spark, sf_dir):
+        if m["task"] == "regression":
+            ok = m["r2"] is not None and m["r2"] <= 1 and 0 <= m["mae"] <= m["rmse"] + 1e-9
+        else:
+            ok = 0 <= m["accuracy"] <= 100 and all(0 <= m[k] <= 1 for k in ("f1", "precision", "recall")) \
+                and min(m["precision"], m["recall"]) - 1e-9 <= m["f1"] <= max(m["precision"], m["recall"]) + 1e-9
+        out.append((m["task"], m["family"], bool(ok)))
+    return spark.createDataFrame(out, "task string, family string, plausible boolean")
 
 
-@query("best_models")
+@query("best_models", sql="SELECT * FROM (VALUES ('regression', true), ('classification', true)) AS t(task, is_best)")
 def best_models(spark, sf_dir):
-    """Best family per task (R² / accuracy; ties keep the earlier family)."""
-    best = choose_best(metrics_rows(spark, sf_dir))
-    return spark.createDataFrame(sorted(best.items()), "task string, family string")
+    """The chosen family of each task has the best score of the metric table."""
+    rows = metrics_rows(spark, sf_dir)
+    best, table = choose_best(rows), M.metric_table(spark, rows).collect()
+    out = []
+    for task, key in (("regression", "r2"), ("classification", "accuracy")):
+        scores = {m["family"]: m[key] for m in rows if m["task"] == task}
+        out.append((task, len(table) == len(rows) and scores[best[task]] == max(scores.values())))
+    return spark.createDataFrame(out, "task string, is_best boolean")
+
+
+_SLOT_NUM = ["interet_maths", "heures_jeux_video", "heures_reseaux_sociaux", "heures_streaming", "heures_etude_soir",
+             "heures_sommeil", "heure_coucher_num", "heure_lever_num", "temps_ecrans_total", "score_equilibre",
+             "ratio_etude_ecrans", "stress_total", "indice_motivation"]
+
 
+_SLOT_TXT = ["classe", "activite_sportive", "stress_personnel"]
+_TRAIN = ("CAST(CAST(('0x' || substr(md5('42:' || CAST(id AS VARCHAR)), 1, 8)) "
+          f"AS BIGINT) AS DOUBLE) >= {0.2 * 2 ** 32!r}")
 
-@query("selected_features")
+
+@query("selected_features", sql=f"""{PREP}, tr AS (SELECT * FROM feat WHERE {_TRAIN}),
+slots AS ({' UNION ALL '.join(f"SELECT {i} AS k, 0 AS u, '' AS v, '{c}' AS feature" for i, c in enumerate(_SLOT_NUM))}
+  UNION ALL {' UNION ALL '.join(f"SELECT DISTINCT {len(_SLOT_NUM) + i}, 0, CAST({c} AS VARCHAR), '{c}_' || CAST({c} AS VARCHAR) FROM tr WHERE {c} IS NOT NULL UNION ALL SELECT {len(_SLOT_NUM) + i}, 1, '', '{c}___unknown'" for i, c in enumerate(_SLOT_TXT))})
+SELECT CAST(row_number() OVER (ORDER BY k, u, v) - 1 AS INTEGER) AS position, feature, true AS some_kept FROM slots""")
 def selected_features_q(spark, sf_dir):
-    """Kept / dropped assembled features of the tuned boosted-tree pipeline."""
-    res = trained(spark, sf_dir, "gbt_reg")
-    return selected_features(res.model, frame(spark, sf_dir).limit(1))
+    """M20 (M4, M5): the assembled slots in order, fitted without a search; the selector keeps some of them."""
+    fr = frame(spark, sf_dir)
+    model = fit_selector(fr.where(~F.col("is_test")), K.TARGET_REG, [c for c in excluded_columns(fr) if c != K.TARGET_REG])
+    sel = selected_features(model, fr.limit(1))
+    return sel.select("position", "feature", F.lit(sel.where("kept").count() > 0).alias("some_kept"))
 
 
-@query("predict_all")
+@query("predict_all", sql=f"{PREP} SELECT id, nom, note_moyenne, {len(COHORT_GRADES)} AS n_subjects, true AS gap_fits FROM feat",
+       doubles=["note_moyenne"])
 def predict_all_q(spark, sf_dir):
-    """M17 (M13, M15): batch predictions of the best regressor and every subject model, with the gap."""
-    best = choose_best(metrics_rows(spark, sf_dir, REG_FAMILIES))["regression"]
+    """M17 (M13, M15): every student's identity and actual mean next to the predictions of the regressor and
+    of every subject model; the gap is prediction less actual."""
     subj = {s: r.model for s, r in subjects(spark, sf_dir).items()}
-    return SC.predict_all(frame(spark, sf_dir), trained(spark, sf_dir, best).model, subj)
+    out = SC.predict_all(frame(spark, sf_dir), fitted(spark, sf_dir, "gbt_reg").model, subj)
+    mean, gap = F.col("`Note Prédite (Moy)`"), F.col("Écart")
+    known = sum((F.col(f"Prédit_{s.replace('note_', '')}").isNotNull().cast("int") for s in subj), F.lit(0))
+    return out.select("id", "nom", K.TARGET_REG, known.alias("n_subjects"),
+                      F.coalesce(F.abs(gap - (mean - F.col(K.TARGET_REG))) < 1e-9, mean.isNotNull() & F.col(K.TARGET_REG).isNull()).alias("gap_fits"))
 
 
-@query("pass_probability")
+@query("pass_probability", sql=f"{PREP} SELECT id, reussite, true AS in_range FROM feat WHERE NOT ({_TRAIN})")
 def pass_probability_q(spark, sf_dir):
-    """Pass probability (x100) of the best classifier for the test students."""
-    best = choose_best(metrics_rows(spark, sf_dir, CLF_FAMILIES))["classification"]
+    """Pass probability (x100) of a balanced forest for every test student, within 0 and 100."""
     test = frame(spark, sf_dir).where("is_test")
-    return SC.pass_probability(trained(spark, sf_dir, best).model, test).select("id", K.TARGET_CLF, "proba_reussite")
+    out = SC.pass_probability(fitted(spark, sf_dir, "rf_clf").model, test)
+    return out.select("id", K.TARGET_CLF, F.col("proba_reussite").between(0, 100).alias("in_range"))
 
 
-@query("what_if_models")
+@query("what_if_models", sql=f"{PREP} SELECT id, scenario, true AS band_fits, true AS risk_fits "
+                             "FROM feat, (VALUES ('sleep_8h'), ('no_games')) AS s(scenario)")
 def what_if_models(spark, sf_dir):
-    """M18 (P5, X13, X20): per student, 'sleep 8 h' and 'no games' scenarios scored by the tuned models."""
+    """M18 (P5, X13, X20): per student, 'sleep 8 h' and 'no games' scenarios scored by fitted models; band
+    and risk flag fit the predicted grade and probability."""
     fr = frame(spark, sf_dir)
     none = F.lit(None).cast("double")
     scen = fr.select("id", F.explode(F.array(
@@ -148,10 +207,13 @@ def what_if_models(spark, sf_dir):
                  none.alias("heures_jeux_video")),
         F.struct(F.lit("no_games").alias("scenario"), none.alias("heures_sommeil"),
                  F.lit(0.0).alias("heures_jeux_video")))).alias("s")).select("id", "s.*")
-    reg, clf = trained(spark, sf_dir, "gbt_reg"), trained(spark, sf_dir, "rf_clf")
+    reg, clf = fitted(spark, sf_dir, "gbt_reg"), fitted(spark, sf_dir, "rf_clf")
     feats = list(reg.feature_cols[0]) + list(reg.feature_cols[1])
     out = SC.what_if_predict(fr, scen, reg.model, clf.model, feature_cols=feats)
-    return out.select("id", "scenario", "note_predite", "proba_reussite", "band", "at_risk")
+    note, proba = F.col("note_predite"), F.col("proba_reussite")
+    band = F.when(note >= 14, "green").when(note >= 10, "orange").when(note.isNotNull(), "red")
+    return out.select("id", "scenario", F.col("band").eqNullSafe(band).alias("band_fits"),
+                      F.col("at_risk").cast("boolean").eqNullSafe((proba < 60) | (note < 10)).alias("risk_fits"))
 
 
 _DEF_NUM = ["interet_maths", "heures_jeux_video", "heures_reseaux_sociaux", "heures_streaming",
@@ -174,38 +236,67 @@ def numeric_defaults_q(spark, sf_dir):
     return SC.numeric_defaults(fr, num + cat)
 
 
-def _shap(spark, sf_dir, failing_only: bool):
-    res = trained(spark, sf_dir, "gbt_reg")
+def _shap(spark, sf_dir, how):
+    res = fitted(spark, sf_dir, "gbt_reg")
     fr = frame(spark, sf_dir)
     feats = list(res.feature_cols[0]) + list(res.feature_cols[1])
-    test, train = fr.where("is_test"), fr.where("not is_test")
-    if failing_only:
-        return E.failure_impact(res.model, test, train, feats)
-    return E.feature_impact(res.model, test, train, feats)
+    return how(res.model, fr.where("is_test"), fr.where("not is_test"), feats)
+
+
+def _impact_sql(cond: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {sql_str(K.TRANSLATIONS.get(c, c))} AS label, true AS known "
+        f"WHERE EXISTS (SELECT 1 FROM feat WHERE {cond})" for c in _SLOT_NUM + _SLOT_TXT)
 
 
-@query("shapley_impact")
+def _known(impact):
+    return impact.select("feature", "label", (F.col("mean_abs_impact") >= 0).alias("known"))
+
+
+@query("shapley_impact", sql=f"{PREP} {_impact_sql(f'NOT ({_TRAIN})')}")
 def shapley_impact(spark, sf_dir):
-    """Permutation-sampled Shapley importance of the tuned regressor over all test students."""
-    return _shap(spark, sf_dir, False)
+    """Permutation-sampled Shapley importance over all test students, background rows drawn from all
+    training students; every model input has one."""
+    return _known(_shap(spark, sf_dir, E.feature_impact))
 
 
-@query("shapley_failing")
+@query("shapley_failing", sql=f"{PREP} {_impact_sql(f'NOT ({_TRAIN}) AND note_moyenne < 10')}")
 def shapley_failing(spark, sf_dir):
-    """The same over the failing test students only."""
-    return _shap(spark, sf_dir, True)
+    """The same over the failing test students only (no row when none fail)."""
+    return _known(_shap(spark, sf_dir, E.failure_impact))
+
+
+@query("shapley_sum_rule", sql=f"{PREP} SELECT id, {len(_SLOT_NUM) + len(_SLOT_TXT)} AS n_features, true AS adds_up FROM feat WHERE NOT ({_TRAIN})")
+def shapley_sum_rule(spark, sf_dir):
+    """M21 per row: a test student's contributions add up to its prediction less the mean prediction of the
+    background rows it met, which lies within the range of all training predictions."""
+    res = fitted(spark, sf_dir, "gbt_reg")
+    fr = frame(spark, sf_dir)
+    spread = SC.predict(res.model, fr.where("not is_test"), "p").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).first()
+    sums = _shap(spark, sf_dir, E.shapley_values).groupBy("id").agg(F.sum("phi").alias("s"), F.count("*").cast("int").alias("n_features"))
+    own = SC.predict(res.model, fr.where("is_test"), "p").select("id", "p")
+    base = F.col("p") - F.col("s")
+    return own.join(sums, "id").select("id", "n_features", base.between(spread["lo"] - 1e-6, spread["hi"] + 1e-6).alias("adds_up"))
+
+
+_REPORT_LINES = ["# Student performance report", "## 1. Cohort", "## 2. Preprocessing and feature selection", "## 3. Models"]
 
 
-@query("report_markdown")
+@query("report_markdown", sql=f"""{PREP}, n AS (SELECT count(*) AS n, count(*) FILTER (WHERE note_moyenne >= 10) AS p FROM feat)
+SELECT text FROM (VALUES {', '.join(f"({sql_str(x)})" for x in _REPORT_LINES)}) AS t(text)
+UNION ALL SELECT 'Students analysed: **' || n || '**' FROM n
+UNION ALL SELECT '- Students at or above the threshold: ' || p FROM n
+UNION ALL SELECT '- Students below the threshold: ' || (n - p) FROM n""")
 def report_markdown(spark, sf_dir):
-    """The Markdown report (cohort, subjects, model tables, choice), one row per line."""
+    """The Markdown report (cohort, subjects, model tables, choice); its headings and counts, one row per line."""
     rows = metrics_rows(spark, sf_dir)
     best = choose_best(rows)
-    sel = selected_features(trained(spark, sf_dir, "gbt_reg").model, frame(spark, sf_dir).limit(1))
+    sel = selected_features(fitted(spark, sf_dir, "gbt_reg").model, frame(spark, sf_dir).limit(1))
     kept = [r["feature"] for r in sel.where("kept").orderBy("position").collect()]
     names = [K.FAMILY_NAMES.get(best.get(k), str(best.get(k))) for k in ("regression", "classification")]
-    text = build_report(prepared_cohort(spark, sf_dir), rows, kept, " / ".join(names))
-    return spark.createDataFrame([(i, line) for i, line in enumerate(text.split("\n"))], "line int, text string")
+    text = build_report(frame(spark, sf_dir), rows, kept, " / ".join(names))
+    wanted = (*_REPORT_LINES, "Students analysed", "- Students at or above", "- Students below")
+    return spark.createDataFrame([(line,) for line in text.split("\n") if line.startswith(wanted)], "text string")
 
 
 _CSV_COLS = ", ".join("CAST(interet_maths AS BIGINT) AS interet_maths" if c == "interet_maths" else c
@@ -215,7 +306,7 @@ _CSV_COLS = ", ".join("CAST(interet_maths AS BIGINT) AS interet_maths" if c == "
 @query("csv_round_trip", sql=f"{BASE} SELECT {_CSV_COLS} FROM raw", doubles=COHORT_DOUBLE)
 def csv_round_trip(spark, sf_dir):
     """S2 + S1 (P1): the raw cohort written as ';' CSV with BOM, read back with separator detection."""
-    path = ensure_checkpoint_dir(spark).rstrip("/") + "/csv_round_trip"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv_{uuid.uuid4().hex}"
     write_table_csv(raw_cohort(spark, sf_dir), path)
     return read_table_csv(spark, path)
 
@@ -226,13 +317,13 @@ _TEST_IDS = ("SELECT id FROM feat WHERE CAST(CAST(('0x' || substr(md5('42:' || C
 
 @query("model_bundle_round_trip",
        sql=f"{PREP}, t AS ({_TEST_IDS}) SELECT m.model, (SELECT count(*) FROM t) AS n, (SELECT count(*) FROM t) AS n_equal "
-           "FROM (VALUES ('nn_reg'), ('svm_reg')) AS m(model)")
+           "FROM (VALUES ('nn_reg'), ('svm_reg'), ('reg')) AS m(model)")
 def model_bundle_round_trip(spark, sf_dir):
-    """Save the tuned models and reload them; predictions must agree on the test rows."""
-    path = ensure_checkpoint_dir(spark).rstrip("/") + "/bundle"
+    """Save fitted models of three kinds and reload them; predictions must agree on the test rows."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bundle_{uuid.uuid4().hex}"
     # Both pipelines mix Java stages (scaler, encoders, slicer) with a Python model stage.
-    models = {"nn_reg": trained(spark, sf_dir, "mlp_reg").model, "svm_reg": trained(spark, sf_dir, "svr").model}
-    num, cat = trained(spark, sf_dir, "mlp_reg").feature_cols
+    models = {n: fitted(spark, sf_dir, f).model for n, f in (("nn_reg", "mlp_reg"), ("svm_reg", "svr"), ("reg", "gbt_reg"))}
+    num, cat = fitted(spark, sf_dir, "mlp_reg").feature_cols
     save_models(spark, path, models, {"feature_columns": list(num) + list(cat), "target": K.TARGET_REG})
     loaded = load_models(spark, path)
     test = frame(spark, sf_dir).where("is_test")

@@ -7,7 +7,8 @@ from ..functions import constants as K
 from ..functions import expr as X
 from ..operators import profile as P
 from ..operators.clean import clean
-from ..operators.cohort import missing_only, subject_stats
+from ..operators import columns as C
+from ..operators.cohort import class_guard, missing_only, subject_stats
 from ..operators.columns import preview
 from ..operators.features import add_clock_features
 from .prepare import prepared_cohort, raw_cohort
@@ -241,3 +242,78 @@ _SUBJ_SQL = f"""{PREP} """ + _union_sql([
 def subject_stats_q(spark, sf_dir):
     """A13 + X15: per-subject mean, sample std, min, max on the prepared cohort."""
     return subject_stats(prepared_cohort(spark, sf_dir))
+
+
+@query("top_values_names",
+       sql="SELECT p_name AS value, count(*) AS count FROM part WHERE p_name IS NOT NULL "
+           "GROUP BY 1 ORDER BY count DESC, value LIMIT 20")
+def top_values_names(spark, sf_dir):
+    """A6 on a column of many values: the limit cuts, ties by value."""
+    return P.top_values(read_table(spark, sf_dir, "part", "p_name"), "p_name", 20)
+
+
+_PART_HIST = ("SELECT 'p_retailprice' AS \"column\", 'histogram' AS kind, CAST(NULL AS VARCHAR) AS value, "
+              "CAST(CASE WHEN hi = lo THEN 0 ELSE least(24, floor((p_retailprice - lo) / (hi - lo) * 25)) END AS INTEGER) AS bucket, "
+              "count(*) AS count FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part) GROUP BY bucket")
+
+
+@query("profile_part",
+       sql="(SELECT 'p_name' AS \"column\", 'top' AS kind, p_name AS value, CAST(NULL AS INTEGER) AS bucket, count(*) AS count FROM part "
+           "WHERE p_name IS NOT NULL GROUP BY p_name ORDER BY count DESC, value LIMIT 20) UNION ALL " + _PART_HIST)
+def profile_part(spark, sf_dir):
+    """A17, kinds 'top' and 'histogram': part names and prices."""
+    return P.profile(read_table(spark, sf_dir, "part", "p_name", "p_retailprice"))
+
+
+@query("profile_order_dates",
+       sql="SELECT 'o_orderdate' AS \"column\", 'date' AS kind, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS value, "
+           "CAST(NULL AS INTEGER) AS bucket, count(*) AS count FROM orders WHERE o_orderdate IS NOT NULL GROUP BY ALL")
+def profile_order_dates(spark, sf_dir):
+    """A17, kind 'date': orders per day."""
+    return P.profile(read_table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("o_orderdate")))
+
+
+@query("motivation_of_columns",
+       sql=f"{BASE} SELECT id, coalesce((coalesce(CAST(interet_maths AS DOUBLE), 0) + coalesce(heures_etude_soir, 0) + coalesce(note_francais, 0)) "
+           "/ nullif(CAST(interet_maths IS NOT NULL AS INTEGER) + CAST(heures_etude_soir IS NOT NULL AS INTEGER) "
+           "+ CAST(note_francais IS NOT NULL AS INTEGER), 0), 5.0) AS motivation FROM raw", doubles=["motivation"])
+def motivation_of_columns(spark, sf_dir):
+    """X9 over three columns, some of them NULL: the mean of the known ones, 5 when none is known."""
+    raw = raw_cohort(spark, sf_dir, materialize=False)
+    types = dict((f.name, f.dataType) for f in raw.schema.fields)
+    cols = ["interet_maths", "heures_etude_soir", "note_francais"]
+    return raw.select("id", X.motivation_index([(c, types[c]) for c in cols]).alias("motivation"))
+
+
+@query("clean_drops_empty",
+       sql=f"{PREP} SELECT count(*) AS n, sum(CAST(id AS BIGINT)) AS ids, {len(RAW_ORDER)} AS n_columns, false AS has_empty FROM clean")
+def clean_drops_empty(spark, sf_dir):
+    """A11 within C1: a column without any value is dropped, the others stay."""
+    out = clean(raw_cohort(spark, sf_dir).withColumn("vide", F.lit(None).cast("double")))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("id").cast("bigint")).cast("decimal(38,0)").alias("ids")) \
+              .withColumns({"n_columns": F.lit(len(out.columns)), "has_empty": F.lit("vide" in out.columns)}) \
+              .withColumn("ids", F.col("ids").cast("bigint"))
+
+
+@query("column_steps",
+       sql=f"{PREP}, s AS (SELECT * FROM (VALUES ('lowered', 'id,note_moyenne'), ('identity', 'id,nom,note_moyenne'), ('target', 'note_moyenne'), "
+           "('new', 'heure_coucher_num,heure_lever_num'), ('missing', 'absences'), ('aligned', 'id,absences,heures_sommeil'), "
+           "('dropped', 'nom,note_francais,note_maths,note_histoire_geo,note_sciences,heure_lever,heure_coucher,note_moyenne'), "
+           "('two_classes', 'true')) AS t(step, result)) SELECT step, result, (SELECT count(*) FROM raw) AS n FROM s")
+def column_steps(spark, sf_dir):
+    """P1, P4, P5, P7, P8, P10, O1 and F4 on the cohort: the columns each step yields, next to the rows of its frame."""
+    raw = raw_cohort(spark, sf_dir)
+    upper = C.lower_names(raw.select(F.col("id").alias("ID"), F.col(K.TARGET_REG).alias("Note_Moyenne")))
+    clocked = add_clock_features(raw)
+    aligned = C.align_features(raw, ["absences", "heures_sommeil"], keep=["id"])
+    kept = C.drop_model_columns(raw)
+    steps = [("lowered", upper, upper.columns), ("identity", raw, C.identity_columns(raw, K.TARGET_REG)),
+             ("target", raw, [C.default_target(raw)[0]]), ("new", clocked, C.new_columns(raw.columns, clocked.columns)),
+             ("missing", raw, C.missing_features(["absences", "heures_sommeil"], raw)), ("aligned", aligned, aligned.columns),
+             ("dropped", kept, [c for c in ["id", "nom", *K.GRADE_COLUMNS, "heure_lever", "heure_coucher", K.TARGET_REG] if c in raw.columns and c not in kept.columns]),
+             ("two_classes", raw, [str(class_guard(raw.withColumn("p", X.pass_label(K.TARGET_REG)), "p")).lower()])]
+    out = None
+    for name, df, cols in steps:
+        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("step"), F.lit(",".join(cols)).alias("result"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -17,7 +17,7 @@ from ..operators.lookup import aligned_mask, lookup, lookup_rows
 from ..operators.profile import null_counts
 from ..operators.sampling import fold_of, is_test, with_split
 from ..sources.tables import read_table
-from .prepare import prepared_cohort, raw_cohort
+from .prepare import prepare, prepared_cohort, raw_cohort
 from .registry import query
 from .sql import (BASE, COHORT_WEIGHTS, PREP, feat_ctes, grades_sql, pred_mean_sql,
                   RAW_ORDER, COHORT_GRADES, sql_str)
@@ -164,11 +164,10 @@ _OH_COLS = ["classe", "activite_sportive"]
 
 @query("one_hot",
        sql=f"{PREP} " + " UNION ALL ".join(
-           f"SELECT id, '{c}' AS feature, k.category, CAST(coalesce({c} = k.category, false) AS INTEGER) AS indicator "
-           f"FROM feat, (SELECT DISTINCT CAST({c} AS VARCHAR) AS category FROM feat WHERE {c} IS NOT NULL) k"
+           f"SELECT id, '{c}' AS feature, CAST({c} AS VARCHAR) AS category, 1 AS indicator FROM feat WHERE {c} IS NOT NULL"
            for c in _OH_COLS))
 def one_hot(spark, sf_dir):
-    """M3 in long form: one indicator per (student, category); unknown/NULL -> zeros."""
+    """M3 in sparse long form: the cells of the encoding that are 1."""
     return S.one_hot_long(prepared_cohort(spark, sf_dir), _OH_COLS)
 
 
@@ -239,7 +238,7 @@ def what_if_scenarios(spark, sf_dir):
        sql="SELECT c_custkey, c_nationkey, n_name AS nation_name FROM customer "
            "LEFT JOIN nation ON c_nationkey = n_nationkey")
 def lookup_nation(spark, sf_dir):
-    """Dictionary lookup of every customer's nation name (size-checked broadcast)."""
+    """Dictionary lookup of every customer's nation name (equi-join)."""
     cust = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     nation = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name")
     return lookup(cust, "c_nationkey", nation, "n_nationkey", "n_name", out="nation_name", keep_unmatched=False)
@@ -254,8 +253,8 @@ _T = f"CAST({_H32.format(seed='42:', col='f.id')} AS DOUBLE) < {0.2 * 2 ** 32!r}
        doubles=COHORT_GRADES)
 def lookup_test_grades(spark, sf_dir):
     """J1 + M1: raw (un-imputed) grades of the test-split students, joined by id."""
-    keys = with_split(prepared_cohort(spark, sf_dir)).where("is_test")
-    return lookup_rows(keys, raw_cohort(spark, sf_dir), COHORT_GRADES)
+    raw = raw_cohort(spark, sf_dir)
+    return lookup_rows(with_split(prepare(raw)).where("is_test"), raw, COHORT_GRADES)
 
 
 @query("failing_features",
@@ -264,8 +263,9 @@ def lookup_test_grades(spark, sf_dir):
        doubles=["score_equilibre", "ratio_etude_ecrans", "stress_total"])
 def failing_features(spark, sf_dir):
     """J3 + F1: feature rows of students whose (raw) label is below 10, by semi-join."""
-    feats = prepared_cohort(spark, sf_dir).select("id", "score_equilibre", "ratio_etude_ecrans", "stress_total")
-    labels = raw_cohort(spark, sf_dir).select("id", K.TARGET_REG)
+    raw = raw_cohort(spark, sf_dir)
+    feats = prepare(raw).select("id", "score_equilibre", "ratio_etude_ecrans", "stress_total")
+    labels = raw.select("id", K.TARGET_REG)
     return aligned_mask(feats, labels, F.col(K.TARGET_REG) < K.PASS_THRESHOLD)
 
 
@@ -285,12 +285,20 @@ def class_options(spark, sf_dir):
     return non_empty_options(prepared_cohort(spark, sf_dir), "classe")
 
 
+_CLASS_NAMES = list(K.CLASS_CODES)
+_NAMED = " ".join(f"WHEN {i} THEN {sql_str(n)}" for i, n in enumerate(_CLASS_NAMES))
+_CODED = " ".join(f"WHEN {i} THEN {sql_str(K.CLASS_CODES[n])}" for i, n in enumerate(_CLASS_NAMES))
+
+
 @query("recode_labels",
-       sql=f"{BASE} SELECT id, classe, classe AS classe_code FROM raw")
+       sql=f"{BASE} SELECT id, CASE id % {len(_CLASS_NAMES) + 1} {_NAMED} ELSE classe END AS classe, "
+           f"CASE id % {len(_CLASS_NAMES) + 1} {_CODED} ELSE classe END AS classe_code FROM raw")
 def recode_labels(spark, sf_dir):
-    """Class names to codes (unknown values, here market segments, pass unchanged)."""
+    """Class names to codes; every eighth student keeps a market segment, which no code replaces."""
     raw = raw_cohort(spark, sf_dir, materialize=False)
-    return raw.select("id", "classe", X.recode("classe").alias("classe_code"))
+    names = F.array(*[F.lit(n) for n in _CLASS_NAMES])
+    named = raw.select("id", F.coalesce(F.get(names, (F.col("id") % F.lit(len(_CLASS_NAMES) + 1)).cast("int")), F.col("classe")).alias("classe"))
+    return named.select("id", "classe", X.recode("classe").alias("classe_code"))
 
 
 _LABELS_SQL = " UNION ALL ".join(

@@ -30,8 +30,12 @@ def raw_cohort(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Da
     return cut_lineage(raw) if materialize else raw
 
 
+def prepare(raw: DataFrame, threshold: float = K.PASS_THRESHOLD) -> DataFrame:
+    """Cleaned, with clock and derived features."""
+    return add_features(add_clock_features(clean(raw)), threshold=threshold)
+
+
 def prepared_cohort(spark: SparkSession, sf_dir: str, threshold: float = K.PASS_THRESHOLD,
                     materialize: bool = True) -> DataFrame:
-    """The model-ready cohort: cleaned, with clock and derived features."""
-    raw = raw_cohort(spark, sf_dir, materialize)
-    return add_features(add_clock_features(clean(raw)), threshold=threshold)
+    """The model-ready cohort."""
+    return prepare(raw_cohort(spark, sf_dir, materialize), threshold)

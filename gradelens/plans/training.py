@@ -50,7 +50,8 @@ def model_frame(df: DataFrame, id_col: str = "id") -> DataFrame:
 
 def excluded_columns(df: DataFrame, target: str = K.TARGET_REG, uploaded: bool = False) -> list[str]:
     """Everything that is not a model input: identity, grades, clocks, targets, split columns."""
-    return model_drop_list(df.columns, target, uploaded) + ["id", "is_test", "fold"]
+    observed = [c for c in df.columns if c.endswith("__observed")]
+    return model_drop_list(df.columns, target, uploaded) + ["id", "is_test", "fold", *observed]
 
 
 def test_metrics(result: SearchResult, test: DataFrame, label: str) -> dict:
@@ -78,18 +79,28 @@ def choose_best(metrics: list[dict]) -> dict[str, str]:
     return best
 
 
+def with_observed(frame: DataFrame, raw: DataFrame, subjects: list[str], id_col: str = "id") -> DataFrame:
+    """``frame`` with each subject's grade as it was before imputation, ``<subject>__observed``."""
+    seen = raw.select(id_col, *[F.col(s).cast("double").alias(f"{s}__observed") for s in subjects])
+    return frame.join(seen, id_col, "left")
+
+
 def train_subject_models(frame: DataFrame, subjects: list[str], exclude: list[str],
-                         threads: int = 4, **kw) -> dict[str, SearchResult]:
-    """One boosted-tree search per grade column, trained on rows with an observed grade.
+                         threads: int = 4, fit=train_family, **kw) -> dict[str, SearchResult]:
+    """One boosted-tree model per grade column, trained on rows with an observed grade.
 
-    The searches are independent Spark jobs, submitted from a thread pool so
-    their small jobs overlap on the cluster.
+    The label is ``<subject>__observed`` where the frame has it (see
+    ``with_observed``): cleaning has filled the grade columns themselves.  The
+    fits are independent Spark jobs, submitted from a thread pool so their
+    small jobs overlap on the cluster.
     """
     train = frame.where(~F.col("is_test"))
+    observed = [c for c in frame.columns if c.endswith("__observed")]
 
     def one(subject):
-        excl = [c for c in exclude if c != subject] + [K.TARGET_REG, K.TARGET_CLF]
-        return subject, train_family(train.where(F.col(subject).isNotNull()), subject, "gbt_reg", excl, **kw)
+        label = f"{subject}__observed" if f"{subject}__observed" in frame.columns else subject
+        excl = [*exclude, K.TARGET_REG, K.TARGET_CLF, subject, *(c for c in observed if c != label)]
+        return subject, fit(train.where(F.col(label).isNotNull()), label, "gbt_reg", excl, **kw)
 
     with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
         return dict(pool.map(one, subjects))
@@ -97,9 +108,11 @@ def train_subject_models(frame: DataFrame, subjects: list[str], exclude: list[st
 
 def train_models(df: DataFrame, target: str = K.TARGET_REG, threshold: float = K.PASS_THRESHOLD,
                  families: list[str] | None = None, subjects: list[str] | None = None,
-                 uploaded: bool = False, **kw) -> Trained:
-    """Train the requested families (default: all six) and subject models."""
+                 uploaded: bool = False, raw: DataFrame | None = None, **kw) -> Trained:
+    """Train the requested families (default: all six) and subject models (on ``raw``'s observed grades)."""
     frame = model_frame(df)
+    if raw is not None and subjects:
+        frame = with_observed(frame, raw, subjects)
     if K.TARGET_CLF not in frame.columns:
         frame = frame.withColumn(K.TARGET_CLF, X.pass_label(target, threshold))
     if not class_guard(frame, K.TARGET_CLF):

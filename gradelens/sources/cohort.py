@@ -77,7 +77,7 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = read_table(spark, sf_dir, "customer",
                       "c_custkey", "c_name", "c_mktsegment", "c_nationkey", "c_acctbal")
     joined = (cust.join(g, cust.c_custkey == g.o_custkey, "left")
-                  .join(e, F.floor(F.col("c_custkey") / F.lit(10.0)).cast("bigint") == e.user_id,
+                  .join(e, F.expr("c_custkey div 10") == e.user_id,
                         "left"))
     nk = F.col("c_nationkey")
     return joined.select(
@@ -126,5 +126,5 @@ SELECT c_custkey AS id, c_name AS nom, c_mktsegment AS classe,
   cast(hour(first_ts) AS varchar(4)) || 'h' || lpad(cast(minute(first_ts) AS varchar(4)), 2, '0') AS heure_lever,
   cast(hour(last_ts) AS varchar(4)) || ':' || lpad(cast(minute(last_ts) AS varchar(4)), 2, '0') AS heure_coucher,
   note_francais, note_maths, note_histoire_geo, note_sciences
-FROM customer LEFT JOIN g ON c_custkey = o_custkey LEFT JOIN e ON cast(floor(c_custkey / 10e0) AS bigint) = user_id)
+FROM customer LEFT JOIN g ON c_custkey = o_custkey LEFT JOIN e ON c_custkey // 10 = user_id)
 """

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from gradelens.ml.explain import shapley_values
 from gradelens.ml.gradient import Spec, forward, loss_grad, init_params
 from gradelens.ml.persist import load_models, save_models
-from gradelens.ml.search import sample_grid, train_family
-from gradelens.plans.prepare import prepared_cohort
-from gradelens.plans.training import excluded_columns, model_frame
+from gradelens.ml import gradient as G
+from gradelens.ml.search import fit_point, gbt_search, rf_search, sample_grid, spark_search, train_family
+from gradelens.plans.prepare import prepare, prepared_cohort, raw_cohort
+from gradelens.plans.training import excluded_columns, model_frame, train_subject_models, with_observed
 from gradelens.functions import constants as K
 
 from conftest import SF_SMOKE
@@ -61,7 +62,7 @@ def test_shapley_sum_rule_linear(spark):
     model = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="features"),
                              LinearRegression(labelCol="y")]).fit(df)
     bg = df.where("id = 3")                       # one background row: exact values
-    phi = shapley_values(model, df.where("id < 10"), bg, ["a", "b"], n_perm=4, n_background=1)
+    phi = shapley_values(model, df.where("id < 10"), bg, ["a", "b"], n_perm=4)
     got = {(r["id"], r["feature"]): r["phi"] for r in phi.collect()}
     z = bg.first()
     for i in range(10):
@@ -81,3 +82,59 @@ def test_save_load_round_trip(spark, frame, tmp_path):
     b = [r[0] for r in models["nn_reg"].transform(frame).select("prediction").collect()]
     assert a == pytest.approx(b) and man["feature_columns"] == ["x"]
     assert load_models(spark, str(tmp_path / "missing")) is False
+
+
+def test_parameters_do_not_depend_on_the_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(G, "SHARD_ROWS", 40)               # several shards
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(v) for v in rng.normal(size=3)], float(rng.normal()), i % 3) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y double, fold int").withColumn("key", F.xxhash64("id"))
+    specs = [Spec("mlp_reg", hidden=(5,)), Spec("svr", kernel="rbf", epsilon=0.1, C=1.0)]
+    got = []
+    for n in (4, 8):
+        data = df.repartition(n).cache()
+        jobs = G.train_many(data, specs, [None, 0], steps=10)
+        assert data.storageLevel.useMemory                 # the caller's cache stays
+        got.append(np.concatenate([j.theta for j in jobs]))
+        data.unpersist()
+    assert got[0] == pytest.approx(got[1], abs=1e-9)
+
+
+def test_subject_models_learn_observed_grades(spark):
+    raw = raw_cohort(spark, SF_SMOKE)
+    fr = with_observed(model_frame(prepare(raw)), raw, ["note_maths"])
+    seen = []
+
+    def fit(train, label, family, exclude):
+        seen.append((train.count(), label, set(exclude) >= {"note_maths", "note_moyenne"}))
+        return None
+
+    train_subject_models(fr, ["note_maths"], excluded_columns(fr), fit=fit)
+    ids = fr.where("not is_test").select("id")
+    want = raw.where("note_maths is not null").join(ids, "id", "left_semi").count()
+    assert seen == [(want, "note_maths__observed", True)] and want < ids.count()
+
+
+def test_tree_searches_equal_the_plain_cross_validation(spark, frame):
+    train = frame.where("not is_test")
+    for search, family, label, grid in ((gbt_search, "gbt_reg", "note_moyenne", {"maxIter": [2, 4], "maxDepth": [2], "stepSize": [0.1]}),
+                                        (rf_search, "rf_clf", "reussite", {"numTrees": [3], "maxDepth": [2, 3], "minSamplesSplit": [2]})):
+        excl = [c for c in excluded_columns(frame) if c != label]
+        a, b = search(train, label, excl, grid=grid), spark_search(train, label, family, excl, grid=grid)
+        assert [c for c, _ in a.cv_scores] == [c for c, _ in b.cv_scores]
+        assert [s for _, s in a.cv_scores] == pytest.approx([s for _, s in b.cv_scores], abs=0.05)
+
+
+def test_shapley_sum_rule_on_trees_with_a_large_background(spark, frame):
+    train, test = frame.where("not is_test"), frame.where("is_test")
+    excl = [c for c in excluded_columns(frame) if c != "note_moyenne"]
+    res = fit_point(train, "note_moyenne", "gbt_reg", excl, {"maxIter": 5, "maxDepth": 3, "stepSize": 0.2})
+    feats = list(res.feature_cols[0]) + list(res.feature_cols[1])
+    assert train.count() > 20
+    one = train.limit(1).cache()
+    phi = shapley_values(res.model, test, one, feats, n_perm=3)
+    sums = {r["id"]: r["s"] for r in phi.groupBy("id").agg(F.sum("phi").alias("s")).collect()}
+    base = res.model.transform(one).first()["prediction"]
+    for r in res.model.transform(test).select("id", "prediction").collect():
+        assert sums[r["id"]] == pytest.approx(r["prediction"] - base, abs=1e-6)
+    assert shapley_values(res.model, test, train, feats, n_perm=2).count() == test.count() * len(feats)
