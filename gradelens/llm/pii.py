@@ -2,8 +2,8 @@
 
 Base spans follow fixed patterns with checks (address parts, digit counts, Luhn);
 they are scanned in linear time.  The network is trained on labelled spans: the base
-spans of a bounded sample of documents (``SAMPLE`` documents of least hash, windows of
-``WINDOW`` characters around their digits and ``@``).  Whole texts are tagged in
+spans of a bounded sample of documents (about ``SAMPLE`` of them, chosen by hash; at most
+``SAMPLE_WINDOWS`` windows of ``WINDOW`` characters around their digits and ``@``).  Whole texts are tagged in
 overlapping windows; a character's scores are the mean over the windows that hold
 it, and one Viterbi pass over each covered stretch reconciles them.  A span without
 a digit or ``@`` is never kept, so windows without either are not run.  A tagged
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bilstm_crf import BiLstmCrf
-from .textops import as_bytes, prepare, text_slices
+from .textops import as_bytes, by_hash, prepare, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 2000
@@ -185,9 +186,10 @@ def _runs(text: str, begin: int, tags: np.ndarray) -> list[tuple[str, int, int]]
 
 def fit(docs: DataFrame) -> PiiModel:
     """The network, from the base spans of a bounded sample of documents that hold a digit or ``@``."""
-    short = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9]{4}|@"))
-    rows = short.select("text", F.xxhash64("text", F.lit("pii")).alias("h")).orderBy("h", "text").limit(SAMPLE).collect()
-    return PiiModel([r["text"] for r in rows])
+    short = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9]{4}|@")).select("text")
+    n = short.count()
+    rows = short.where(by_hash(SAMPLE / max(1, n), "text", seed="pii")).limit(2 * SAMPLE).collect()
+    return PiiModel(sorted({r["text"] for r in rows}, key=lambda t: zlib.crc32(t.encode("utf-8", "replace"))))
 
 
 def _decoded(batch: pa.RecordBatch, i: int, off: np.ndarray, data: np.ndarray) -> list[str]:

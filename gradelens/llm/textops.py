@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradelens.session import ship_package
@@ -128,6 +128,12 @@ def as_bytes(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return df.select(*[F.col(c) for c in keep], F.col(text).cast("binary").alias("text"))
 
 
+def by_hash(share: float, *cols: str, seed: str) -> Column:
+    """True for about ``share`` of the rows, chosen by a hash of ``cols``: every task filters its own rows."""
+    m = 1_000_000_007
+    return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(m)) < F.lit(int(min(1.0, share) * m))
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Make the package importable in the Python workers."""
     ship_package(spark)

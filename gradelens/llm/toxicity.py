@@ -10,9 +10,9 @@ that the fixed cost of a match weighs less against the characters it saves.  A
 document's greatest distances go through a logistic threshold that is calibrated
 on other labelled documents.
 
-The model is fitted on a bounded sample of labelled rows: at most ``2 * SAMPLE``
-per class (two thirds for the dictionaries, one for calibration), those of least hash, of at most
-``SAMPLE_CHARS`` characters; the class shares that calibrate it are counted over
+The model is fitted on a bounded sample of labelled rows: about ``2 * SAMPLE``
+per class (two thirds for the dictionaries, one for calibration), chosen by hash, of
+at most ``SAMPLE_CHARS`` characters; the class shares that calibrate it are counted over
 all labelled rows.  Scoring reads every whole text, in one pass without a shuffle.
 
 Defined cases: null and empty texts have no window and get the score of distance
@@ -23,6 +23,7 @@ columns are not read.
 """
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textops import as_bytes, prepare, text_slices
+from .textops import by_hash, prepare, text_slices
 
 SAMPLE = 800
 SAMPLE_CHARS = 30_000
@@ -175,11 +176,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     if not counts.get(0) or not counts.get(1):
         return share
+    # about 2 * sample ids of each class, chosen by hash: tasks send only these
+    chosen = known.where(F.when(F.col("toxic") > 0, by_hash(2 * sample / counts[1], "doc_id", seed="toxicity"))
+                         .otherwise(by_hash(2 * sample / counts[0], "doc_id", seed="toxicity"))).limit(8 * sample)
     short = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
-    ids = known.join(short.select("doc_id").distinct(), "doc_id").withColumn("h", F.xxhash64("doc_id", F.lit("toxicity")))
-    parts = [ids.where(F.col("toxic") > 0 if t else F.col("toxic") <= 0).orderBy("h", "doc_id").limit(2 * sample) for t in (0, 1)]
-    chosen = F.broadcast(parts[0].union(parts[1]))                 # at most 4 * sample ids
-    rows = short.join(chosen, "doc_id").orderBy("h", "doc_id", "text").limit(8 * sample).collect()
+    rows = short.join(F.broadcast(chosen), "doc_id").limit(16 * sample).collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["text"]))
     sides = {t: [r["text"] for r in rows if (r["toxic"] > 0) == bool(t)] for t in (0, 1)}
     if not sides[0] or not sides[1]:
         return share
