@@ -43,7 +43,8 @@ from .textops import SPACE_WORDS, Words, prepare, text_slices, window_hash
 WINDOW = 20
 PHRASE = 5
 
-_MARKS = "fp long, ctx long, k long, rk int, pos int, lo int, hi int"
+#: ``at`` holds the place in its upper bits, then how far the surroundings reach before and behind it (a byte each).
+_MARKS = "fp long, ctx long, k long, rk int, at long"
 _LAST = (1 << 63) - 1
 
 
@@ -93,7 +94,7 @@ def _mark(docs: DataFrame, window: int, phrase: int, only_hash: bool) -> DataFra
                 cols = [pa.array(fp.view(np.int64))]
                 if not only_hash:
                     cols += [pa.array(ctx.view(np.int64)), pa.array(ks[i:j][owner]), pa.array(rks[i:j][owner]),
-                             *[pa.array(x.astype(np.int32)) for x in (pos, lo, hi)]]
+                             pa.array(pos << 16 | (pos - lo) << 8 | (hi - pos))]
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _MARKS.split(", ")][:len(cols)])
 
     return docs.mapInArrow(run, "fp long" if only_hash else _MARKS)
@@ -184,6 +185,8 @@ def _result(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, with_text: bool = False) -> DataFrame:
     """Per document: words, removed words, and SHA-256 (or text) of the kept words joined by blanks."""
+    if window - phrase > 255:
+        raise ValueError("a window reaches at most 255 words beyond its phrase")
     prepare(docs.sparkSession)
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("k"), F.hash("text").alias("rk"),
                       F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
@@ -191,11 +194,13 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, wit
     repeated = _mark(keyed, window, phrase, True).groupBy("fp").count().where("count > 1").select("fp")
     occ = cut_lineage(_mark(keyed, window, phrase, False).join(repeated, "fp", "left_semi"))
 
-    earliest = occ.groupBy("fp", "ctx").agg(F.min(F.struct("k", "pos")).alias("first"))
-    settled = F.struct("k", "pos") > F.col("first")
+    # equal surroundings reach equally far, so places compare as their packed form does
+    earliest = occ.groupBy("fp", "ctx").agg(F.min(F.struct("k", "at")).alias("first"))
+    settled = F.struct("k", "at") > F.col("first")
+    pos = F.shiftright("at", 16).cast("int")
+    span = F.array(pos - F.shiftright("at", 8).bitwiseAND(255).cast("int"), pos + F.col("at").bitwiseAND(255).cast("int"))
     plan = occ.join(earliest, ["fp", "ctx"]).groupBy("k", "rk").agg(
-        F.collect_set(F.when(~settled, F.col("pos"))).alias("open"),
-        F.collect_set(F.when(settled, F.array("lo", "hi"))).alias("spans"))
+        F.collect_set(F.when(~settled, pos)).alias("open"), F.collect_set(F.when(settled, span)).alias("spans"))
     plan = cut_lineage(plan)
 
     both = own.join(plan.hint("shuffle_hash"), ["k", "rk"], "left")
