@@ -15,9 +15,9 @@
    confirmed on the full shingle sets, and again only a spanning forest is returned;
    its components are the classes.
 
-A pair whose similarity is ``PERCENT`` or more is missed only if under ``MATCHES``
-of its ``COORDS`` coordinates agree: for 85 % and 92 of 128 that is four standard
-deviations, about one borderline link in 20,000.
+``MATCHES`` is four standard deviations under the expected number of equal
+coordinates at the wanted similarity (92 of 128 for 85 %), so about one borderline
+link in 20,000 is missed.
 
 Defined cases: null text, empty text and text without words have an empty set
 and are linked with nothing; a text of fewer than five words has one shingle, all
@@ -39,9 +39,8 @@ from .components import components
 from .textops import SPACE_WORDS, Words, mix, prepare, text_slices, window_hash
 
 SHINGLE = 5
-PERCENT = 85
+PERCENT = 80
 COORDS = 128
-MATCHES = 92
 #: Texts of a posting list, and texts or shingles of a family, that one block holds.
 LIST_BLOCK = 512
 FAMILY_BLOCK = 512
@@ -81,6 +80,12 @@ def signatures(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return sig, names.view(np.int64)
 
 
+def least_matches(percent: int) -> int:
+    """Equal coordinates that a pair of that similarity has but for one in 20,000."""
+    p = percent / 100
+    return max(1, int(COORDS * p - 4 * (COORDS * p * (1 - p)) ** 0.5))
+
+
 def _signed(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,10 +258,10 @@ def _known(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit((1 << 63) - 1))
 
 
-def rooted(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES, size: int = SHINGLE) -> DataFrame:
+def rooted(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """Per row: ``doc_id, rk`` (a hash of the text), ``n_shingles`` and ``root``, the name of its class (null for an empty set)."""
     spark = prepare(docs.sparkSession)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts, matches = int(spark.conf.get("spark.sql.shuffle.partitions")), least_matches(percent)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.hash("text").alias("rk"))
     signed = cut_lineage(_signed(src, size))
     texts = signed.where("node is not null").groupBy("node").agg(F.first("sig").alias("sig"), F.min(F.struct(_known("doc_id").alias("k"), "rk")).alias("of"))
@@ -279,21 +284,21 @@ def rooted(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES, size
     return signed.join(linked, "node", "left").select("doc_id", "rk", "n_shingles", F.coalesce("root", "node").alias("root"))
 
 
-def classes(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES, size: int = SHINGLE) -> DataFrame:
+def classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """Per row: ``doc_id, n_shingles, component_id, kept``."""
-    rows = rooted(docs, percent, matches, size)
+    rows = rooted(docs, percent, size)
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "root", "left").select(
         "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")) \
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def deduplicate(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES, size: int = SHINGLE) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """One document of each class, with its columns: the one of the smallest id.
 
     Documents without a word are kept, rows equal in id and text once.
     """
-    rows = rooted(docs, percent, matches, size).select("root", _known("doc_id").alias("k"), "rk")
+    rows = rooted(docs, percent, size).select("root", _known("doc_id").alias("k"), "rk")
     first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("k", "rk")).alias("x")).select("x.k", "x.rk")
     keep = first.unionByName(rows.where("root is null").select("k", "rk")).distinct()
     names = [F.col(f"`{c}`") for c in docs.columns]

@@ -133,7 +133,7 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id)
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of all documents whose 5-word shingle sets are alike to 85 % or more."""
     from .near_dup import classes
-    return classes(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return classes(read_table(spark, sf_dir, "documents", "doc_id", "text"), percent=85)
 
 
 @query("op5_toxicity")
