@@ -22,6 +22,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -167,7 +168,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, spans: bool =
 
     @F.pandas_udf("string")
     def cut(text, at):
-        return [None if t is None else cut_words(t, a) for t, a in zip(text, at)]
+        return pd.Series([None if t is None else cut_words(t, a) for t, a in zip(text, at)], dtype=object)
 
     kept = hit.where((F.size("_hit.hit") == 0) | (F.size("_hit.hit") <= most * F.col("_hit.n_words")))
     text = F.when(F.size("_hit.hit") > 0, cut(F.col("text"), F.col("_hit.hit"))).otherwise(F.col("text"))
