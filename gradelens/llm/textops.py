@@ -2,7 +2,7 @@
 
 Texts travel to Python as UTF-8 bytes in Arrow buffers; words, word hashes and
 window hashes are numpy expressions over the whole buffer, so no Python code
-runs per word.  Batches are cut into slices of a few megabytes of text, which
+runs per word.  Batches are cut into slices of half a megabyte of text, which
 bounds a task's memory by the slice or by its longest single text.
 """
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gradelens.session import ship_package
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 #: ``[^\x20\x09-\x0D]+``: everything but ASCII white space.
 SPACE_WORDS = np.ones(256, bool)
