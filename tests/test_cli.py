@@ -4,6 +4,7 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
+from gradelens.functions import constants as K
 from gradelens.plans.cli import load_csv, run
 from gradelens.plans.prepare import raw_cohort
 from gradelens.plans.report import build_report, write_report
@@ -27,10 +28,11 @@ def test_upload_gets_ids_and_a_target(spark, csv):
         load_csv(spark, csv, "absent")
 
 
-def test_run_on_an_upload(spark, csv, tmp_path):
+def test_run_on_an_upload(spark, csv, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "GBT_GRID", {"maxIter": [3], "maxDepth": [2], "stepSize": [0.1]})
+    monkeypatch.setattr(K, "RF_GRID", {"numTrees": [5], "maxDepth": [3], "minSamplesSplit": [2]})
     out = str(tmp_path)
-    text = run(spark, out, csv=csv, threshold=9.0, mapping={"sommeil": "nuit"}, families=["gbt_reg", "rf_clf"], n=1, folds=2,
-               parallelism=4)
+    text = run(spark, out, csv=csv, threshold=9.0, mapping={"sommeil": "nuit"}, families=["gbt_reg", "rf_clf"], folds=2)
     assert text.startswith("# Student performance report") and ">= 9.0" in text and "flagged" in text
     lines = open(glob.glob(f"{out}/predictions/part-*")[0], encoding="utf-8-sig").read().splitlines()
     assert "Note Prédite (Moy)" in lines[0] and "Prédit_maths" in lines[0] and ";" in lines[0]
