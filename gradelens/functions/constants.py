@@ -28,13 +28,13 @@ CLOCK_COLUMNS = ["heure_coucher", "heure_lever"]
 # Columns dropped before modelling: identity + grades + raw clocks.
 COLS_TO_DROP = ID_COLUMNS + GRADE_COLUMNS + CLOCK_COLUMNS
 
-# Identity columns recognised in uploaded data (case-insensitive).
+# --- fixed values: identity columns of uploaded data (case-insensitive) ----
 UPLOAD_ID_COLUMNS = ["id", "nom", "prenom", "prénom", "adresse", "mail"]
 
-# Columns shown beside batch predictions (case-insensitive).
+# --- fixed values: columns beside batch predictions (case-insensitive) ------
 PREDICTION_ID_COLUMNS = ["nom", "prenom", "prénom", "id", "mail"]
 
-# Columns hidden from the profiling views (case-insensitive).
+# --- fixed values: columns hidden from profiles (case-insensitive) ----------
 PROFILE_HIDDEN_COLUMNS = ["nom", "prenom", "prénom", "prenoms", "prénoms",
                           "adresse", "id", "mail"]
 
@@ -53,13 +53,13 @@ KEYWORDS = {
     "heure_lever": ["lever", "wakeup", "wake_up"],
 }
 
-# Text values read as "yes" by the sport flag (compared after lower-casing).
+# --- fixed values: text read as "yes" by the sport flag (lower-cased) -------
 TRUTHY_TEXT = ["oui", "yes", "1", "true"]
 
-# Words that put a column into the motivation index (substring match).
+# --- fixed values: words of motivation columns (substring match) ------------
 MOTIVATION_WORDS = ["interet", "motivation"]
 
-# Defaults when a concept has no column.
+# --- fixed values: defaults when a concept has no column --------------------
 DEFAULT_SLEEP_HOURS = 8.0
 DEFAULT_STUDY_HOURS = 2.0
 DEFAULT_MOTIVATION = 5.0
