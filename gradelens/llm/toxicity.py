@@ -1,14 +1,17 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: one on toxic, one on
-ordinary documents.  Both begin with the same frequent words; the rest of each is
-filled with the pieces of words that set its class apart from the other, the most
-telling last, where a match is cheapest.  A window (a word, or a piece of a very
-long one) is compressed under both, after a common lead-in, and the difference of
-the two lengths is its distance; windows are written in two bytes a character, so
-that the fixed cost of a match weighs less against the characters it saves.  A
-document's greatest distances go through a logistic threshold that is calibrated
-on other labelled documents.
+Zstandard dictionaries are trained (``train_dictionary``) on all text of a labelled
+sample.  Two of them, one of toxic and one of ordinary documents, compress passages
+of ``PASSAGE`` words, each overlapping half of the next; the difference of the two
+lengths is a passage's distance.  Trained dictionaries alone miss single words that
+tell the classes apart, because they hold what is frequent.  So single words (or
+pieces of very long ones) have distances too, under two dictionaries that begin with
+one trained on both classes and end with the pieces of words that set a class apart:
+all whose excess chance doesn't explain, the most telling last, where a match is
+cheapest.  Words are compressed after a common lead-in and in two bytes a character,
+so that the fixed cost of a match weighs less against the characters it saves.  A
+document's greatest distances go through a logistic threshold that is calibrated on
+other labelled documents.
 
 The model is fitted on a bounded sample of labelled rows: about ``2 * SAMPLE``
 per class (two thirds for the dictionaries, one for calibration), chosen by hash, of
@@ -37,11 +40,16 @@ from .textops import by_hash, prepare, text_slices
 SAMPLE = 800
 SAMPLE_CHARS = 30_000
 SHARED_WORDS = 600
-PIECES = 30
+DICTIONARY_BYTES = 16_384
+#: Words of a passage, and the most characters of one.
+PASSAGE = 16
+PASSAGE_CHARS = 256
 PIECE_CHARS = range(4, 13)
 WINDOW_CHARS = 32
 KEEP_WINDOWS = 300_000
 TOP = (1, 2, 4, 8)
+FAR = (1, 2, 4)
+WEIGHTS = 2 * len(TOP) + len(FAR) + 3
 MARKS = ".,!?;:\"'()*#"
 
 
@@ -66,17 +74,42 @@ def _pieces(docs: list[list[str]]) -> Counter:
     return found
 
 
-def telling(own: Counter, other: Counter, n_own: int, n_other: int, most: int) -> list[str]:
-    """Pieces far more frequent in one class, none inside another, the most telling first."""
-    top = max((c for g, c in own.items() if not other[g]), default=0)
-    least = max(4, n_own // 150, top // 8)
-    odds = {g: np.log((c + 0.5) / (n_own + 1)) - np.log((other[g] + 0.5) / (n_other + 1)) for g, c in own.items() if c >= least}
+def passages(text: str) -> list[str]:
+    """The distinct runs of ``PASSAGE`` words in lower case, each half over the one before; long ones in pieces."""
+    words, half = text.lower().split(), PASSAGE // 2
+    runs = (" ".join(words[i:i + PASSAGE]) for i in range(0, max(1, len(words) - half), half)) if words else ()
+    return list(dict.fromkeys(r[i:i + PASSAGE_CHARS] for r in runs for i in range(0, len(r), PASSAGE_CHARS)))
+
+
+def trained(texts: list[str], coding: str) -> bytes:
+    """A dictionary trained on all of ``texts``; of too little text to train on, the text itself."""
+    import zstandard as zs
+    lines = [" ".join(t.lower().split()) for t in texts]
+    samples = [x.encode(coding, "replace") for t in lines for x in (t[i:i + 500] for i in range(0, len(t), 500)) if len(x) >= 8]
+    try:
+        return zs.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+    except zs.ZstdError:
+        return b"".join(samples)
+
+
+def telling(own: Counter, other: Counter, n_own: int, n_other: int) -> list[str]:
+    """Pieces far more frequent in one class than chance explains, none inside a more telling one, the most telling first."""
+    tested = {g: c for g, c in own.items() if c >= 4}
+    odds = {g: np.log((c + 0.5) / (n_own + 1)) - np.log((other[g] + 0.5) / (n_other + 1)) for g, c in tested.items()}
+    share = n_own / max(1, n_own + n_other)
+
+    def unlikely(c: int, o: int) -> float:
+        """Log of a bound (Chernoff) on the chance that ``c`` of ``c + o`` documents are of this class."""
+        p = c / (c + o)
+        return -(c + o) * (p * np.log(p / share) + ((1 - p) * np.log((1 - p) / (1 - share)) if o else 0))
+
+    most = -np.log(max(1, len(tested)))                 # less than one piece of all by chance
     out: list[str] = []
-    for g in sorted((g for g in odds if odds[g] > 1.5), key=lambda g: (-own[g] * odds[g], -len(g), g)):
-        if not any(g in x or x in g for x in out):
+    held = ""
+    for g in sorted((g for g in odds if odds[g] > 1.5 and unlikely(own[g], other[g]) < most), key=lambda g: (-own[g] * odds[g], -len(g), g)):
+        if g not in held:
             out.append(g)
-            if len(out) == most:
-                break
+            held += g + "\0"
     return out
 
 
@@ -100,10 +133,12 @@ class ToxicModel:
         frequent = [w for w, _ in Counter(w for d in good for w in d).most_common(SHARED_WORDS)]
         self.lead = " ".join(frequent[:8])[:24] + " "
         shared = " ".join(sorted(frequent)) + " " + self.lead
+        both = trained([*toxic, *ordinary], "utf-16-le")
         p, q = _pieces(bad), _pieces(good)
-        self.toxic = (shared + "".join(reversed(telling(p, q, len(bad), len(good), PIECES))) + " ").encode("utf-16-le", "replace")
-        self.ordinary = (shared + "".join(reversed(telling(q, p, len(good), len(bad), PIECES))) + " ").encode("utf-16-le", "replace")
-        self.weights = np.zeros(2 * len(TOP) + 2)
+        self.toxic = both + (shared + "".join(reversed(telling(p, q, len(bad), len(good)))) + " ").encode("utf-16-le", "replace")
+        self.ordinary = both + (shared + "".join(reversed(telling(q, p, len(good), len(bad)))) + " ").encode("utf-16-le", "replace")
+        self.trained_toxic, self.trained_ordinary = trained(toxic, "utf-8"), trained(ordinary, "utf-8")
+        self.weights = np.zeros(WEIGHTS)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
@@ -113,11 +148,26 @@ class ToxicModel:
         import zstandard as zs
         how = zs.ZstdCompressionParameters(
             format=zs.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0, window_log=17,
-            hash_log=14, chain_log=14, search_log=4, min_match=3, target_length=32, strategy=zs.STRATEGY_BTULTRA)
-        held = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
+            hash_log=15, chain_log=15, search_log=6, min_match=3, target_length=32, strategy=zs.STRATEGY_BTULTRA)
+        held = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_AUTO)
         held.precompute_compress(compression_params=how)
         return zs.ZstdCompressor(dict_data=held, compression_params=how).compress
 
+    @staticmethod
+    def _fast(content: bytes):
+        import zstandard as zs
+        held = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_AUTO)
+        held.precompute_compress(level=3)
+        return zs.ZstdCompressor(dict_data=held, level=3, write_content_size=False, write_dict_id=False, write_checksum=False).compress
+
+    def far(self, text: str) -> list[int]:
+        """By how much shorter each passage is under the dictionary trained on toxic text, greatest first."""
+        if not hasattr(self, "_pair"):
+            self._pair = self._fast(self.trained_ordinary), self._fast(self.trained_toxic)
+        ordinary, toxic = self._pair
+        parts = [x.encode("utf-8", "replace") for x in passages(text)]
+        return sorted((len(ordinary(x)) - len(toxic(x)) for x in parts), reverse=True)
+
     def distances(self, words: list[str]) -> list[tuple[int, float]]:
         """By how much shorter each window is under the toxic dictionary, and that as a share of its own ordinary length."""
         if not hasattr(self, "_both"):
@@ -141,7 +191,9 @@ class ToxicModel:
         got = self.distances(windows(text))
         d = sorted([x for x, _ in got], reverse=True)[:TOP[-1]]
         r = sorted([x for _, x in got], reverse=True)[:TOP[-1]]
-        return [*(sum(d[:m]) / m for m in TOP), *(4 * sum(r[:m]) / m for m in TOP), float(np.log1p(len(got))), 1.0]
+        far = self.far(text)
+        return [*(sum(d[:m]) / m for m in TOP), *(4 * sum(r[:m]) / m for m in TOP), *(sum(far[:m]) / m / 4 for m in FAR),
+                sum(far) / max(1, len(far)), float(np.log1p(len(got))), 1.0]
 
     def calibrate(self, texts: list[str], labels: list[int], share: float) -> None:
         """Logistic weights by Newton steps, then the class share of all labelled rows instead of the sample's."""

@@ -176,6 +176,34 @@ def test_toxicity_without_labels(spark, make):
     assert toxicity.report(make([]), labels).count() == 0
 
 
+def _labelled(n, insert, seed=4):
+    rng = random.Random(seed)
+    vocabulary = long_text(300, 78).split()
+    out = []
+    for i in range(n):
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(30, 90))]
+        at = rng.randrange(len(w))
+        w[at:at] = insert(rng, i % 2)
+        out.append((" ".join(w), i % 2))
+    return out
+
+
+def test_toxicity_by_many_words_each_rare():
+    words = [long_text(2, 500 + i).replace(" ", "") + "w" for i in range(60)]
+    often = "vilefool"
+    docs = _labelled(2400, lambda rng, bad: [*rng.sample(words, 2), often] if bad else [])
+    model = toxicity.ToxicModel([t for t, y in docs if y], [t for t, y in docs if not y])
+    assert sum(d > 0 for d, _ in model.distances(words)) >= 30
+
+
+def test_toxicity_by_a_phrase_of_ordinary_words():
+    phrase = long_text(300, 78).split()[40:52]
+    docs = _labelled(900, lambda rng, bad: phrase if bad else rng.sample(phrase, len(phrase)))
+    model = toxicity.ToxicModel([t for t, y in docs[:600] if y], [t for t, y in docs[:600] if not y])
+    model.calibrate([t for t, _ in docs[600:750]], [y for _, y in docs[600:750]], 0.5)
+    assert sum((model.score(t) >= 0.5) == bool(y) for t, y in docs[750:]) / 150 >= 0.9
+
+
 def _brute_base(text):
     text = text or ""
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
