@@ -104,7 +104,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                     [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(node, mask=n == 0), pa.array(n, pa.int64()), pa.array(packed, pa.binary())],
                     ["doc_id", "rk", "node", "n_shingles", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, rk int, node long, n_shingles long, sig binary")
+    return docs.mapInArrow(run, "doc_id long, rk long, node long, n_shingles long, sig binary")
 
 
 def _runs(matches: int) -> list[Column]:
@@ -259,10 +259,10 @@ def _known(name: str) -> Column:
 
 
 def rooted(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """Per row: ``doc_id, rk`` (a hash of the text), ``n_shingles`` and ``root``, the name of its class (null for an empty set)."""
+    """Per row: ``doc_id, rk`` (a 64-bit hash of the text), ``n_shingles`` and ``root``, the name of its class (null for an empty set)."""
     spark = prepare(docs.sparkSession)
     parts, matches = int(spark.conf.get("spark.sql.shuffle.partitions")), least_matches(percent)
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.hash("text").alias("rk"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("rk"))
     signed = cut_lineage(_signed(src, size))
     texts = signed.where("node is not null").groupBy("node").agg(F.first("sig").alias("sig"), F.min(F.struct(_known("doc_id").alias("k"), "rk")).alias("of"))
 
@@ -302,6 +302,6 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("k", "rk")).alias("x")).select("x.k", "x.rk")
     keep = first.unionByName(rows.where("root is null").select("k", "rk")).distinct()
     names = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select(_known("doc_id").alias("k"), F.hash("text").alias("rk"), F.struct(*names).alias("row"))
+    keyed = docs.select(_known("doc_id").alias("k"), F.xxhash64("text").alias("rk"), F.struct(*names).alias("row"))
     once = keyed.join(keep.hint("shuffle_hash"), ["k", "rk"]).groupBy("k", "rk").agg(F.first("row").alias("row"))
     return once.select("row.*")

@@ -44,7 +44,7 @@ WINDOW = 20
 PHRASE = 5
 
 #: ``at`` holds the place in its upper bits, then how far the surroundings reach before and behind it (a byte each).
-_MARKS = "fp long, ctx long, k long, rk int, at long"
+_MARKS = "fp long, ctx long, k long, rk long, at long"
 _LAST = (1 << 63) - 1
 
 
@@ -146,7 +146,7 @@ def _open_windows(docs: DataFrame, window: int, phrase: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(h.view(np.int64)), pa.array(ks[i:j][own]), pa.array(rks[i:j][own]), pa.array(at.astype(np.int32))], ["wh", "k", "rk", "start"])
 
-    return docs.mapInArrow(run, "wh long, k long, rk int, start int")
+    return docs.mapInArrow(run, "wh long, k long, rk long, start int")
 
 
 def _line(words: Words, first: int, n: int) -> str:
@@ -188,7 +188,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, wit
     if window - phrase > 255:
         raise ValueError("a window reaches at most 255 words beyond its phrase")
     prepare(docs.sparkSession)
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("k"), F.hash("text").alias("rk"),
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("k"), F.xxhash64("text").alias("rk"),
                       F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     keyed = own.select("k", "rk", "text")
     repeated = _mark(keyed, window, phrase, True).groupBy("fp").count().where("count > 1").select("fp")

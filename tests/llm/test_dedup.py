@@ -128,3 +128,14 @@ def test_repeated_rows_and_null_ids(make):
 def test_repeats_inside_one_document(make, text):
     got = [tuple(r) for r in substrings.deduplicate(make([text])).collect()]
     assert got == _brute_removal([(0, text)])
+
+
+def test_texts_of_one_id_with_equal_short_hashes_stay_apart(make, spark):
+    text = F.concat_ws(" ", *[F.concat(F.lit("w"), (F.col("id") * 41 + j).cast("string")) for j in range(30)])
+    hashed = spark.range(300_000).select(text.alias("text"), F.hash(text).alias("h"))
+    a, b = hashed.groupBy("h").agg(F.sort_array(F.collect_list("text")).alias("t")).where(F.size("t") == 2).orderBy("h").first()["t"]
+    assert a != b
+    assert sorted(r["text"] for r in near_dup.deduplicate(make([(None, a), (None, b)])).collect()) == [a, b]
+    begin = " ".join(a.split()[:25])
+    got = substrings.deduplicate(make([(1, begin), (None, a), (None, b)]), with_text=True).collect()
+    assert sorted((r["n_removed"], r["text"]) for r in got) == sorted([(0, begin), (25, " ".join(a.split()[25:])), (0, b)])
