@@ -1,9 +1,9 @@
-"""URL filtering by fixed rules and by association rules that FP-growth mines.
+"""URL filtering by fixed rules and by mined association rules.
 
 A url becomes a set of tokens: its host's suffixes, its path segments and its query
 keys.  Urls with a label (by default the verdict of a fixed rule that fits) are
-transactions of their tokens and their label; Spark's FP-growth mines the frequent
-combinations, and rules ``tokens -> block`` or ``tokens -> allow`` are kept that reach
+transactions of their tokens and their label; the frequent combinations are mined
+level by level, and rules ``tokens -> block`` or ``tokens -> allow`` are kept that reach
 the confidence and the support and that no rule on fewer tokens already gives as
 surely.  Rules match by an inverted index: each is posted under its rarest token, a
 url meets only the rules posted under its own tokens, and of these the ones whose
@@ -12,9 +12,12 @@ support, then block; a url that no rule meets gets ``DEFAULT``.
 
 Only distinct urls are matched, so a url that a third of the rows share is matched
 once; the verdicts go back to the rows by an equi-join whose hot keys Spark may split.
-Fitting reads all labelled urls; of each it mines at most ``MAX_TOKENS`` tokens, the
-most frequent ones, because combinations double with every token (a bound of the
-fit, not of the matching).
+Fitting counts every candidate over all frequent tokens of all labelled urls.  Only
+combinations are grown that can end in a rule that is kept: every token must narrow
+the urls (else fewer tokens give the same), and a combination whose urls all have one
+label needs no more tokens.  So long paths and hosts, whose tokens come together,
+cost no more than short ones; tokens that come independently of one another still
+multiply.  The driver holds the frequent combinations of one length.
 
 Defined cases: a null url or one without ``://`` has empty host and path, no tokens
 and the default verdict; without labelled urls nothing is mined; repeated rows get
@@ -22,17 +25,21 @@ equal verdicts; other columns are not read.
 """
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradelens.session import cut_lineage
 
+from .textops import prepare
+
 #: (verdict, host, path); written ``host + path``.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 SUPPORT = 0.002
 CONFIDENCE = 0.8
-MAX_TOKENS = 12
 DEFAULT = "allow"
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -70,24 +77,86 @@ def tokens() -> Column:
     return F.when(F.size(labels) > 0, F.array_distinct(F.concat(suffixes, segments, keys))).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def _counted(baskets: DataFrame, candidates: list[tuple[int, ...]]) -> dict[tuple[int, ...], Counter]:
+    """Urls of each label that hold a candidate (all of one length, sorted), from rows ``items, label, n``."""
+    tree: dict = {}
+    for i, c in enumerate(candidates):
+        at = tree
+        for x in c[:-1]:
+            at = at.setdefault(x, {})
+        at[c[-1]] = i
+    held = baskets.sparkSession.sparkContext.broadcast((tree, len(candidates[0])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, size = held.value
+        found: Counter = Counter()
+
+        def walk(items: list[int], begin: int, at: dict, left: int, label: str, n: int) -> None:
+            for i in range(begin, len(items) - left + 1):
+                below = at.get(items[i])
+                if below is not None:
+                    if left == 1:
+                        found[below, label] += n
+                    else:
+                        walk(items, i + 1, below, left - 1, label, n)
+
+        for batch in batches:
+            for items, label, n in zip(*(c.to_pylist() for c in batch.columns)):
+                walk(items, 0, top, size, label, n)
+        keys = list(found)
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in keys], pa.int64()),
+                                          pa.array([x for _, x in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], ["i", "label", "n"])
+
+    out: dict[tuple[int, ...], Counter] = {}
+    for r in baskets.mapInArrow(run, "i long, label string, n long").groupBy("i", "label").agg(F.sum("n").alias("n")).collect():
+        out.setdefault(candidates[r["i"]], Counter())[r["label"]] = r["n"]
+    held.unpersist()
+    return out
+
+
+def _longer(kept: set[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    """Combinations of one token more, all of whose parts of one token less are in ``kept``."""
+    heads: dict[tuple[int, ...], list[int]] = {}
+    for c in sorted(kept):
+        heads.setdefault(c[:-1], []).append(c[-1])
+    return [(*head, a, b) for head, last in heads.items() for i, a in enumerate(last) for b in last[i + 1:]
+            if all((*head[:k], *head[k + 1:], a, b) in kept for k in range(len(head)))]
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Rules ``tokens, verdict, confidence, support`` from rows ``toks, label``; none imply another as sure on fewer tokens."""
     n = labelled.count()
-    spark = labelled.sparkSession
+    spark = prepare(labelled.sparkSession)
+    schema = "toks array<string>, verdict string, confidence double, support double"
     if not n:
-        return spark.createDataFrame([], "toks array<string>, verdict string, confidence double, support double")
+        return spark.createDataFrame([], schema)
     least = max(2, int(support * n))
     number = labelled.withColumn("row", F.monotonically_increasing_id())
     number = cut_lineage(number)
     common = number.select(F.explode("toks").alias("tok")).groupBy("tok").count().where(F.col("count") >= least)
-    kept = number.select("row", "label", F.explode("toks").alias("tok")).join(common, "tok") \
-        .groupBy("row", "label").agg(F.sort_array(F.collect_list(F.struct(F.col("count"), F.col("tok"))), False).alias("t"))
-    baskets = cut_lineage(kept.select(F.concat(F.transform(F.slice("t", 1, max_tokens), lambda x: x["tok"]), F.array(F.concat(F.lit("="), "label"))).alias("items")))
-    model = FPGrowth(itemsCol="items", minSupport=least / n, minConfidence=confidence, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent")[0].startswith("=")) \
-        .select(F.array_sort("antecedent").alias("toks"), F.substring(F.col("consequent")[0], 2, 100).alias("verdict"), "confidence", "support") \
-        .where(~F.exists("toks", lambda x: x.startswith("=")))
-    rules = cut_lineage(rules)
+    names = sorted(r["tok"] for r in common.select("tok").collect())        # at most tokens of a url / support
+    if not names:
+        return spark.createDataFrame([], schema)
+    ids = spark.createDataFrame(list(enumerate(names)), "id int, tok string")
+    kept = number.select("row", "label", F.explode("toks").alias("tok")).join(F.broadcast(ids), "tok") \
+        .groupBy("row", "label").agg(F.sort_array(F.collect_set("id")).alias("items"))
+    baskets = cut_lineage(kept.groupBy("items", "label").agg(F.count("*").alias("n")))
+    found: list[tuple[list[str], str, float, float]] = []
+    total = {(): n}
+    candidates = [(i,) for i in range(len(names))]
+    while candidates:
+        grown, sizes = set(), {}
+        for c, by_label in _counted(baskets, candidates).items():
+            size = sum(by_label.values())
+            if max(by_label.values()) < least or (len(c) > 1 and any(total[c[:k] + c[k + 1:]] == size for k in range(len(c)))):
+                continue
+            found += [([names[i] for i in c], v, m / size, m / n) for v, m in by_label.items() if m >= least and m / size >= confidence]
+            if len(by_label) > 1:
+                grown.add(c)
+                sizes[c] = size
+        total = sizes
+        candidates = _longer(grown)
+    rules = cut_lineage(spark.createDataFrame(found, schema))
     # a rule goes when dropping one or more of its tokens leaves a rule of the same verdict that is as sure
     single = rules.select(F.explode("toks").alias("tok"), "toks", "verdict", "confidence")
     shorter = rules.select(F.col("toks")[0].alias("tok"), F.col("toks").alias("less"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))

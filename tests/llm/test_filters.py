@@ -102,6 +102,17 @@ def test_mined_rules_equal_brute_force(spark):
         assert got.get(r["url"]) == (max(fit)[2] if fit else None)
 
 
+def test_rules_on_urls_of_many_tokens(spark):
+    deep = [f"p:{i}" for i in range(25)]
+    rows = [(deep + ["q:bad"], "block")] * 20 + [(deep + ["q:good"], "allow")] * 20 + [(deep, "allow")] * 60 + [(deep[:9] + ["q:bad", "p:x"], "allow")] * 2
+    rules = url_rules.mine(spark.createDataFrame(rows, "toks array<string>, label string"), 0.05, 0.8)
+    mined = {(frozenset(r["toks"]), r["verdict"]): (r["confidence"], r["support"]) for r in rules.collect()}
+    assert mined[frozenset(["q:bad"]), "block"] == (20 / 22, 20 / 102) and mined[frozenset(["q:good"]), "allow"] == (1.0, 20 / 102)
+    assert {t for t, v in mined if v == "block"} == {frozenset(["q:bad"]), *(frozenset(["q:bad", x]) for x in deep[9:])}
+    urls = spark.createDataFrame([("u", deep + ["q:bad"])], "url string, toks array<string>")
+    assert [r["mined"] for r in url_rules.match(urls, rules).collect()] == ["block"]
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(0)
     for _ in range(100):
