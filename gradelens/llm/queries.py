@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their DuckDB SQL where SQL can express them.
+"""The registered queries of the operators, and their DuckDB SQL where SQL can express them.
 
 Each query applies its operator, with production parameters, to the whole of
 its table and derives the contract's columns from the operator's output.
@@ -162,3 +162,62 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for every page's url: the fixed rules, else mined association rules."""
     from .url_rules import judge
     return judge(read_table(spark, sf_dir, "pages", "page_id", "url"))
+
+
+@query("op11_lm_score")
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under a hidden Markov language model of those that are not held out."""
+    from .hidden_markov import report
+    return report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of two tokenizers aligned in every whole document, with corpus counts of the linked pairs."""
+    import public_tokenizers
+
+    from .token_align import report
+    return report(read_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
+@query("op13_filter_audit", sql="""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(CAST(source AS VARCHAR), '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS first FROM t
+), lab AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), d AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         (len(ws) < 50)::INT AS fa, (100 * len(list_distinct(ws)) < 65 * len(ws))::INT AS fb,
+         (100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::INT AS fc,
+         regexp_matches(text, '[#$%&*|]')::INT AS fd, coalesce(w.doc_id > first, false)::INT AS fe
+  FROM w LEFT JOIN lab ON w.doc_id = lab.doc_id
+), m AS (
+  SELECT part, fa + 2 * fb + 4 * fc + 8 * fd + 16 * fe AS mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY ALL
+), o(filter_order, step, f, earlier) AS (
+  SELECT '', 0, 0, 0
+  UNION ALL
+  SELECT filter_order || substr('ABCDE', i + 1, 1), step + 1, i, earlier + CASE WHEN step = 0 THEN 0 ELSE 1 << f END
+  FROM o, (SELECT unnest(range(0, 5))::INT AS i) WHERE step < 5 AND NOT contains(filter_order, substr('ABCDE', i + 1, 1))
+), steps AS (
+  SELECT p.filter_order, o.step, o.f, o.earlier FROM o JOIN o p ON p.step = 5 AND o.step > 0 AND starts_with(p.filter_order, o.filter_order)
+), s AS (
+  SELECT part, filter_order, step, f,
+         sum(CASE WHEN mask & (earlier | (1 << f)) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & (1 << f) > 0 AND mask & earlier = 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & (1 << f) > 0 AND mask & earlier > 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = 1 << f THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & (1 << f) > 0 AND mask & earlier = 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & (1 << f) > 0 AND mask & earlier = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM m, steps GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM s
+""")
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents, in all 120 orders, per source."""
+    from .filter_audit import audit
+    return audit(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"), read_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
