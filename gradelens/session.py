@@ -63,7 +63,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df, name: str | None = None):
+def cut_lineage(df, name: str | None = None, compression: str = "snappy"):
     """Materialise ``df`` as a Parquet table under the shared checkpoint folder.
 
     Survives executor loss (never ``localCheckpoint``) and, unlike an RDD
@@ -74,7 +74,7 @@ def cut_lineage(df, name: str | None = None):
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name or uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     return spark.read.parquet(path)
 
 
