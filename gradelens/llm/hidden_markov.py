@@ -11,7 +11,8 @@ Shape of the job: one pass turns the documents into slices (distinct words, plac
 of every token; written once).  Words are counted by partial sums.  Each round of
 Baum-Welch is one pass over the slices: training documents, cut into sequences of at most
 ``SEQUENCE`` tokens, give expected counts, summed in each task and then by class.
-Scoring sends each slice the counts of its words once (``slices.with_answers``) and runs the
+Each slice sends its distinct words once and gets their corpus counts back, so a word
+that is everywhere is one row a slice; scoring joins slices and counts and runs the
 scaled forward recursion over whole documents, uncut, for the exact likelihood.
 
 Defined cases: a null or empty text is its end token alone; a null id is a training
@@ -27,19 +28,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradelens.session import cut_lineage
 
-from .slices import listed, packed, slice_ids, unpacked, with_answers
+from .slices import listed, packed, slice_ids, unpacked
 from .textops import SPACE_WORDS, Words, as_bytes, prepare, text_slices
 
 STATES = 8
 CLASSES = 1 << 16
-ROUNDS = 6
+ROUNDS = 5
 SEQUENCE = 256
-SLICE = 4 << 20
+SLICE = 16 << 20
+#: Text whose expected counts one task of a round sums up.
+ROUND_BYTES = 256 << 20
 #: Sequences that one step of the recursion advances together.
 TOGETHER = 1024
 #: Weight of the corpus's own class shares in each state's, as a share of the state's tokens.
@@ -72,7 +75,10 @@ def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         start, end = np.insert(start, closing, 0), np.insert(end, closing, 0)
         out = pa.concat_arrays(outs)
         training = np.repeat(~out.to_numpy(zero_copy_only=False).astype(bool), counts + 1)
-        distinct, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct, first, at, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(-often, kind="stable")         # frequent words get the small numbers
+        distinct, first = distinct[order], first[order]
+        at = np.argsort(order)[at]
         words = [text[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
         row = [pa.array([next(number)]), listed(pa.concat_arrays(ids)), listed(out), listed(pa.array(counts + 1)), pa.array([packed(at)], pa.binary()),
                listed(pa.array((distinct % np.uint64(CLASSES)).astype(np.int32))), listed(pa.array(words, pa.binary())),
@@ -98,7 +104,20 @@ def slices_of(docs: DataFrame, slice_bytes: int = SLICE) -> DataFrame:
     prepare(docs.sparkSession)
     src = as_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
                    .withColumn("held_out", held_out()), "doc_id", "held_out")
-    return cut_lineage(src.mapInArrow(lambda it: _slices(it, slice_bytes), _SLICE_SCHEMA))
+    return cut_lineage(src.mapInArrow(lambda it: _slices(it, slice_bytes), _SLICE_SCHEMA), compression="zstd")
+
+
+def word_counts(slices: DataFrame) -> DataFrame:
+    """Corpus counts of every slice's words, as a written table.
+
+    ``slice``, ``at`` (the word's number there), ``class``, ``n`` (its training tokens there),
+    ``count`` (everywhere) and ``first``, true in one of the slices that hold the word.
+    """
+    asked = slices.select("slice", F.posexplode(F.arrays_zip("word", "class", "n")).alias("at", "w")).select("slice", "at", "w.*")
+    same = Window.partitionBy("word").orderBy("slice")
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return cut_lineage(asked.select("slice", "at", "class", "n", F.sum("n").over(whole).alias("count"), (F.row_number().over(same) == 1).alias("first")),
+                       compression="zstd")
 
 
 # ---- model --------------------------------------------------------------------------------------------------------
@@ -239,16 +258,19 @@ def fit(slices: DataFrame, counts: DataFrame, states: int = STATES, rounds: int
     """The model of the slices' training documents, and the log10 likelihood before each round."""
     spark = slices.sparkSession
     class_tokens, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counts.groupBy("class").agg(F.sum("count").alias("tokens"), F.count("*").alias("words")).collect():   # at most CLASSES rows
+    words = F.sum((F.col("first") & (F.col("count") > 0)).cast("long"))
+    for r in counts.groupBy("class").agg(F.sum("n").alias("tokens"), words.alias("words")).collect():               # at most CLASSES rows
         class_tokens[r["class"]], class_words[r["class"]] = r["tokens"], r["words"]
     share = class_share(class_tokens, class_words)
     emit, move, begin = first_guess(share, states)
     fits = []
     columns = [f"e{k}" for k in range(states)]
+    # each task sends the counts of all classes, so a round has no more tasks than its text or the cores ask for
+    size = slices.select(F.sum(F.length("at"))).first()[0] or 0
+    dealt = slices.select("n_tokens", "held_out", "at", "class").coalesce(max(2 * spark.sparkContext.defaultParallelism, size // ROUND_BYTES))
     for _ in range(rounds):
         parameters = spark.sparkContext.broadcast((begin, move, emit))                                          # CLASSES * states numbers
-        sums = (slices.select("n_tokens", "held_out", "at", "class")
-                .mapInArrow(lambda it: _round(it, parameters), "class int, " + ", ".join(f"{c} double" for c in columns))
+        sums = (dealt.mapInArrow(lambda it: _round(it, parameters), "class int, " + ", ".join(f"{c} double" for c in columns))
                 .groupBy("class").agg(*[F.sum(c).alias(c) for c in columns])).toPandas().set_index("class")      # at most CLASSES + states + 2 rows
         parameters.unpersist()
         if sums.empty:
@@ -262,34 +284,28 @@ def fit(slices: DataFrame, counts: DataFrame, states: int = STATES, rounds: int
     return Model(begin, move, emit, int(class_tokens.sum()), int(class_words.sum()), class_tokens, class_words), fits
 
 
-def word_counts(slices: DataFrame) -> DataFrame:
-    """``key`` (word), ``class`` and ``count`` over the training documents, as a written table."""
-    said = slices.select(F.inline(F.arrays_zip(F.col("word").alias("key"), "class", "n"))).where("n > 0")
-    return cut_lineage(said.groupBy("key", "class").agg(F.sum("n").alias("count")))
-
-
-def _scores(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    m: Model = model.value
-    for batch in batches:
-        for r in range(batch.num_rows):
-            col = {name: batch.column(i)[r] for i, name in enumerate(batch.schema.names)}
-            at, n = unpacked(col["at"].as_py()), col["n_tokens"].values.to_numpy()
-            of_class = col["class"].values.to_numpy()
-            count = col["count"].values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            first = np.cumsum(n) - n
-            known = np.add.reduceat((count > 0)[at].astype(np.int64), first)
-            base = np.add.reduceat(m.log_base(count)[at], first)
-            score = np.add.reduceat(m.log_word(count, of_class)[at], first) + log_likelihood(of_class[at], n, m.begin, m.move, m.emit)
-            yield pa.RecordBatch.from_arrays(
-                [col["doc_id"].values, col["held_out"].values, pa.array(n), pa.array(known), pa.array(np.full(len(n), m.tokens, np.int64)), pa.array(base), pa.array(score)],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+def _scores(found: pa.Table, answers: pa.Table, m: Model) -> pa.Table:
+    """Documents of one slice."""
+    col = {name: found.column(name)[0] for name in found.column_names}
+    at, n, of_class = unpacked(col["at"].as_py()), col["n_tokens"].values.to_numpy(), col["class"].values.to_numpy()
+    count = np.zeros(len(of_class), np.int64)
+    count[answers.column("at").to_numpy()] = answers.column("count").to_numpy()
+    first = np.cumsum(n) - n
+    known = np.add.reduceat((count > 0)[at].astype(np.int64), first)
+    base = np.add.reduceat(m.log_base(count)[at], first)
+    score = np.add.reduceat(m.log_word(count, of_class)[at], first) + log_likelihood(of_class[at], n, m.begin, m.move, m.emit)
+    return pa.Table.from_arrays(
+        [col["doc_id"].values, col["held_out"].values, pa.array(n), pa.array(known), pa.array(np.full(len(n), m.tokens, np.int64)), pa.array(base), pa.array(score)],
+        ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
 def score(slices: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     """Per document of the slices: its exact log10 probability under the model and under the smoothed word counts."""
     shared = slices.sparkSession.sparkContext.broadcast(model)
-    got = with_answers(slices, "word", counts, "count").select("doc_id", "held_out", "n_tokens", "at", "class", "count")
-    return got.mapInArrow(lambda it: _scores(it, shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    found = slices.select("slice", "doc_id", "held_out", "n_tokens", "at", "class").groupBy("slice")
+    return found.cogroup(counts.select("slice", "at", "count").groupBy("slice")).applyInArrow(
+        lambda a, b: _scores(a, b, shared.value),
+        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def report(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, slice_bytes: int = SLICE) -> DataFrame:

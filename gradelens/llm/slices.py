@@ -24,13 +24,20 @@ def slice_ids():
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Little-endian unsigned integers in two bytes each if they fit, else in four; the first byte says which."""
-    small = not len(values) or int(values.max()) < 1 << 16
-    return (b"\2" if small else b"\4") + values.astype("<u2" if small else "<u4").tobytes()
+    """Little-endian unsigned integers in two bytes each if they fit, else in three (all third bytes last) or four; the first byte says which."""
+    top = int(values.max()) if len(values) else 0
+    if top < 1 << 16:
+        return b"\2" + values.astype("<u2").tobytes()
+    if top < 1 << 24:
+        return b"\3" + (values & 0xFFFF).astype("<u2").tobytes() + (values >> 16).astype(np.uint8).tobytes()
+    return b"\4" + values.astype("<u4").tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if data[:1] == b"\2" else "<u4", offset=1)
+    if data[:1] != b"\3":
+        return np.frombuffer(data, "<u2" if data[:1] == b"\2" else "<u4", offset=1)
+    n = (len(data) - 1) // 3
+    return np.frombuffer(data, "<u2", n, 1) + (np.frombuffer(data, np.uint8, n, 1 + 2 * n).astype(np.uint32) << 16)
 
 
 def listed(values: pa.Array) -> pa.ListArray:
