@@ -51,6 +51,8 @@ TOP = (1, 2, 4, 8)
 FAR = (1, 2, 4)
 WEIGHTS = 2 * len(TOP) + len(FAR) + 3
 MARKS = ".,!?;:\"'()*#"
+#: Share of the ordinary calibration documents that ``reject`` leaves alone.
+KEEP_ORDINARY = 0.9
 
 
 def windows(text: str) -> list[str]:
@@ -139,6 +141,8 @@ class ToxicModel:
         self.ordinary = both + (shared + "".join(reversed(telling(q, p, len(good), len(bad)))) + " ").encode("utf-16-le", "replace")
         self.trained_toxic, self.trained_ordinary = trained(toxic, "utf-8"), trained(ordinary, "utf-8")
         self.weights = np.zeros(WEIGHTS)
+        #: documents that score this much or more are rejected
+        self.limit = 0.5
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
@@ -196,7 +200,12 @@ class ToxicModel:
                 sum(far) / max(1, len(far)), float(np.log1p(len(got))), 1.0]
 
     def calibrate(self, texts: list[str], labels: list[int], share: float) -> None:
-        """Logistic weights by Newton steps, then the class share of all labelled rows instead of the sample's."""
+        """Logistic weights by Newton steps, then the class share of all labelled rows instead of the sample's.
+
+        A score is so the chance that a document is toxic, which is small for most where few are.
+        What to reject is another matter: ``limit`` is the score that ``KEEP_ORDINARY`` of the ordinary
+        documents stay under.
+        """
         x, y = np.array([self.features(t) for t in texts]), np.array(labels, float)
         w, ridge = np.zeros(x.shape[1]), np.diag([0.5] * (x.shape[1] - 1) + [1e-6])
         for _ in range(30):
@@ -209,6 +218,9 @@ class ToxicModel:
         share = min(max(share, 1e-6), 1 - 1e-6)
         w[-1] += np.log(share / (1 - share)) - np.log(sample / (1 - sample))
         self.weights = w
+        clean = np.sort(1 / (1 + np.exp(-np.clip(x[y == 0] @ w, -30, 30))))
+        if len(clean):
+            self.limit = float(np.nextafter(clean[min(len(clean) - 1, int(np.ceil(KEEP_ORDINARY * len(clean))) - 1)], 2.0))
 
     def score(self, text: str) -> float:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.features(text), self.weights), -30, 30))))
@@ -268,8 +280,13 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def reject(docs: DataFrame, model: ToxicModel | float, threshold: float = 0.5) -> DataFrame:
-    """The documents whose score is under ``threshold``, with their columns."""
+def reject(docs: DataFrame, model: ToxicModel | float, threshold: float | None = None) -> DataFrame:
+    """The documents whose score is under ``threshold`` (else the model's ``limit``), with their columns.
+
+    Without a model (labels of one class only) every score is the share of toxic rows, and 0.5 the limit.
+    """
+    if threshold is None:
+        threshold = model.limit if isinstance(model, ToxicModel) else 0.5
     name = "_toxicity"
     while name in docs.columns:
         name += "_"

@@ -180,6 +180,16 @@ def test_toxicity_on_held_out_documents(spark, make):
     assert odd.columns == make([]).columns and 0 in {r["doc_id"] for r in odd.collect()}
 
 
+def test_limit_keeps_the_stated_share_of_ordinary_documents():
+    model = toxicity.ToxicModel(["bad words"] * 9, ["good words"] * 9)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["bad", "good", "words", "more", "less"]) for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    labels = [int(i % 10 == 0) for i in range(300)]
+    model.calibrate(texts, labels, 0.1)
+    under = [model.score(t) < model.limit for t, y in zip(texts, labels) if not y]
+    assert toxicity.KEEP_ORDINARY <= sum(under) / len(under) and model.limit < 1
+
+
 def test_toxicity_without_labels(spark, make):
     docs, labels = _toxic_corpus(spark, 20)
     for some, want in ((labels.where("false"), 0.0), (labels.where("toxic = 1"), 1.0), (labels.withColumn("toxic", F.lit(None).cast("int")), 0.0)):
