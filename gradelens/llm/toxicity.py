@@ -51,7 +51,7 @@ TOP = (1, 2, 4, 8)
 FAR = (1, 2, 4)
 WEIGHTS = 2 * len(TOP) + len(FAR) + 3
 MARKS = ".,!?;:\"'()*#"
-#: Share of the ordinary calibration documents that ``reject`` leaves alone.
+#: Least share of the ordinary calibration documents that ``reject`` leaves alone.
 KEEP_ORDINARY = 0.9
 
 
@@ -204,7 +204,8 @@ class ToxicModel:
 
         A score is so the chance that a document is toxic, which is small for most where few are.
         What to reject is another matter: ``limit`` is the score that ``KEEP_ORDINARY`` of the ordinary
-        documents stay under.
+        documents at least stay under and that tells the calibration documents apart best
+        (greatest sum of the toxic share at or over it and the ordinary share under it).
         """
         x, y = np.array([self.features(t) for t in texts]), np.array(labels, float)
         w, ridge = np.zeros(x.shape[1]), np.diag([0.5] * (x.shape[1] - 1) + [1e-6])
@@ -218,9 +219,15 @@ class ToxicModel:
         share = min(max(share, 1e-6), 1 - 1e-6)
         w[-1] += np.log(share / (1 - share)) - np.log(sample / (1 - sample))
         self.weights = w
-        clean = np.sort(1 / (1 + np.exp(-np.clip(x[y == 0] @ w, -30, 30))))
-        if len(clean):
-            self.limit = float(np.nextafter(clean[min(len(clean) - 1, int(np.ceil(KEEP_ORDINARY * len(clean))) - 1)], 2.0))
+        scores = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        clean, toxic = np.sort(scores[y == 0]), np.sort(scores[y == 1])
+        if len(clean) and len(toxic):
+            at = np.unique(scores)
+            left = np.searchsorted(clean, at, "left") / len(clean)
+            caught = 1 - np.searchsorted(toxic, at, "left") / len(toxic)
+            best = int(np.argmax(np.where(left >= KEEP_ORDINARY, left + caught, -1.0)))
+            if left[best] >= KEEP_ORDINARY:               # halfway to the score below
+                self.limit = float((at[best] + at[max(0, best - 1)]) / 2) if best else float(at[0])
 
     def score(self, text: str) -> float:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.features(text), self.weights), -30, 30))))
