@@ -1,30 +1,33 @@
-"""Distributed full-batch gradient training for the families Spark ML lacks.
+"""Distributed minibatch training for the families Spark ML lacks.
 
 Families (reference grids in ``functions.constants``):
 
 * ``mlp_reg``  (M9)  multilayer perceptron, squared loss, relu/tanh
 * ``mlp_clf``  (M8)  multilayer perceptron, logistic loss, relu/tanh
-* ``svr``      (M10) epsilon-insensitive loss + L2 (C), linear on random
-  Fourier features (rbf, Rahimi & Recht 2007) or degree-<=3 monomials (poly)
-* ``svc``      (M11) hinge loss + L2 (C), linear or random Fourier features
+* ``svr``      (M10) epsilon-insensitive loss + L2 (C), linear on a Nystroem
+  map (rbf, Williams & Seeger 2001) or on all monomials of degree 3 (poly)
+* ``svc``      (M11) hinge loss + L2 (C), linear or on a Nystroem map
 
 How it runs on Spark
 --------------------
-The training rows (feature array, label, fold) are persisted once.  Each
-epoch is ONE Spark job: ``mapInPandas`` runs, in every partition and for
-every model being trained (all search candidates x all CV folds + the full
-refit), one epoch of minibatch Adam (batches of 200, as the reference
-library) starting from the global parameters; the per-partition parameters
-and Adam moments, weighted by row count, are summed by ``Summarizer.sum``
-in a two-level tree (by model and partition bucket, then by model), so no
-reducer receives more than about sqrt(partitions) vectors.  Their average
+Every model trains in a *space*: the columns that preprocessing and selection
+fitted on its own training rows give, with the kernel scale and the landmark
+rows of the same rows.  A row carries one vector per space (a search has one per
+held-out fold and one of all rows), so that nothing of a held-out fold
+reaches the models that are scored on it.
+
+The training rows are persisted once.  Each Spark job runs some epochs of
+minibatch Adam (batches of 200, as the reference library) in every shard and for
+every model being trained (all search candidates x all CV folds + the full refit),
+starting from the global parameters; the per-shard parameters and Adam moments,
+weighted by row count, are summed by ``Summarizer.sum`` in a two-level tree, so no
+reducer receives more than about sqrt(shards) vectors.  Their average
 (parameter averaging / local SGD) is the new global state.  Only
-model-sized vectors reach the driver.  A whole random search costs one job
-per epoch instead of one per fit.
+model-sized vectors reach the driver.
 
-Deviations (documented): epochs run on partitions in parallel and are
-averaged (exactly the reference's sequential minibatch epoch only with one
-partition); kernels are approximated by explicit feature maps.
+Deviations (documented): epochs run on shards in parallel and are averaged
+(exactly the reference's sequential minibatch epoch with one shard); the rbf
+kernel is that of at most ``LANDMARKS`` rows.
 """
 from __future__ import annotations
 
@@ -59,50 +62,76 @@ class Spec:
     C: float = 1.0
     epsilon: float = 0.1
     kernel: str = "linear"            # linear | rbf | poly
-    n_rff: int = 256
     seed: int = 42
 
     def label(self) -> str:
-        d = {k: v for k, v in asdict(self).items() if k not in ("seed", "n_rff")}
+        d = {k: v for k, v in asdict(self).items() if k != "seed"}
         return json.dumps(d, sort_keys=True)
 
 
 # ------------------------------------------------------------ feature maps ---
 
-@lru_cache(maxsize=256)
-def _feature_map(spec: Spec, d: int):
-    """Explicit map x -> phi(x) for the kernel (identity for linear / mlp); cached per worker."""
-    if spec.kernel == "rbf":
-        rng = np.random.default_rng(spec.seed)
-        gamma = 1.0 / max(d, 1)                    # 'scale' on standardised inputs
-        w = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(d, spec.n_rff))
-        b = rng.uniform(0.0, 2.0 * np.pi, size=spec.n_rff)
-        scale = np.sqrt(2.0 / spec.n_rff)
-        return lambda x: scale * np.cos(x @ w + b), spec.n_rff
-    if spec.kernel == "poly":                      # (gamma x.z)^3: all monomials of degree 3, with their multiplicity
+#: Rows that span the approximated rbf kernel.
+LANDMARKS = 256
+
+
+@dataclass(frozen=True)
+class Space:
+    """Where a model's inputs live: their number, the kernel scale, landmark rows (float64, row by row) and the label's scale."""
+    d: int
+    gamma: float = 1.0
+    landmarks: bytes = b""
+    column: str = "x"
+    y_mean: float = 0.0
+    y_std: float = 1.0
+
+
+def rbf(x: np.ndarray, z: np.ndarray, gamma: float) -> np.ndarray:
+    """exp(-gamma |x - z|^2) for all rows of ``x`` and ``z``."""
+    square = (x * x).sum(1)[:, None] + (z * z).sum(1)[None, :] - 2.0 * (x @ z.T)
+    return np.exp(-gamma * np.maximum(square, 0.0))
+
+
+@lru_cache(maxsize=64)
+def _feature_map(kernel: str, space: Space):
+    """Explicit map x -> phi(x) for the kernel (identity for linear / mlp), and its width; cached per worker."""
+    d = space.d
+    if kernel == "rbf":
+        # phi(x) = k(x, landmarks) K^(-1/2): the products of phi are the kernel projected on the landmarks
+        rows = np.frombuffer(space.landmarks).reshape(-1, d)
+        values, vectors = np.linalg.eigh(rbf(rows, rows, space.gamma))
+        keep = values > 1e-10 * values[-1]
+        whiten = vectors[:, keep] / np.sqrt(values[keep])
+        return lambda x: rbf(x.astype(float), rows, space.gamma) @ whiten, int(keep.sum())
+    if kernel == "poly":                           # (gamma x.z)^3: all monomials of degree 3, with their multiplicity
         i, j, k = np.array([(i, j, k) for i in range(d) for j in range(i, d) for k in range(j, d)]).reshape(-1, 3).T
         times = np.where((i == j) & (j == k), 1.0, np.where((i == j) | (j == k), 3.0, 6.0))
-        scale = np.sqrt(times) * (1.0 / max(d, 1)) ** 1.5
+        scale = np.sqrt(times) * space.gamma ** 1.5
         return lambda x: x[:, i] * x[:, j] * x[:, k] * scale.astype(x.dtype), len(i)
     return (lambda x: x), d
 
 
-def _shapes(spec: Spec, d: int) -> list[tuple[int, int]]:
-    _, dd = _feature_map(spec, d)
+def _in_space(space: Space | int) -> Space:
+    """A bare number of inputs means standardised inputs."""
+    return space if isinstance(space, Space) else Space(space, 1.0 / max(space, 1))
+
+
+def _shapes(spec: Spec, space: Space | int) -> list[tuple[int, int]]:
+    _, dd = _feature_map(spec.kernel, _in_space(space))
     if spec.family.startswith("mlp"):
         sizes = [dd, *spec.hidden, 1]
         return [(sizes[i], sizes[i + 1]) for i in range(len(sizes) - 1)]
     return [(dd, 1)]
 
 
-def n_params(spec: Spec, d: int) -> int:
-    return sum(a * b + b for a, b in _shapes(spec, d))
+def n_params(spec: Spec, space: Space | int) -> int:
+    return sum(a * b + b for a, b in _shapes(spec, space))
 
 
-def init_params(spec: Spec, d: int) -> np.ndarray:
+def init_params(spec: Spec, space: Space | int) -> np.ndarray:
     rng = np.random.default_rng(spec.seed)
     parts = []
-    for a, b in _shapes(spec, d):
+    for a, b in _shapes(spec, space):
         if spec.family.startswith("mlp"):
             lim = np.sqrt(6.0 / (a + b)) if spec.activation == "relu" else np.sqrt(2.0 / (a + b))
             parts += [rng.uniform(-lim, lim, size=a * b), np.zeros(b)]
@@ -129,11 +158,11 @@ def _dact(a, kind):
     return (a > 0).astype(a.dtype) if kind == "relu" else 1.0 - a * a
 
 
-def forward(spec: Spec, theta: np.ndarray, x: np.ndarray, d: int) -> np.ndarray:
+def forward(spec: Spec, theta: np.ndarray, x: np.ndarray, space: Space | int) -> np.ndarray:
     """Raw output f(x) (regression value, or margin / logit for classifiers)."""
-    fmap, _ = _feature_map(spec, d)
+    fmap, _ = _feature_map(spec.kernel, _in_space(space))
     h = fmap(x)
-    layers = _unpack(theta, _shapes(spec, d))
+    layers = _unpack(theta, _shapes(spec, space))
     for i, (w, b) in enumerate(layers):
         h = h @ w + b
         if i < len(layers) - 1:
@@ -141,10 +170,10 @@ def forward(spec: Spec, theta: np.ndarray, x: np.ndarray, d: int) -> np.ndarray:
     return h[:, 0]
 
 
-def loss_grad(spec: Spec, theta: np.ndarray, x: np.ndarray, y: np.ndarray, d: int, mapped: bool = False):
+def loss_grad(spec: Spec, theta: np.ndarray, x: np.ndarray, y: np.ndarray, space: Space | int, mapped: bool = False):
     """(sum of data loss, gradient of the summed data loss) over the rows given (``mapped``: x is phi(x))."""
-    fmap, _ = _feature_map(spec, d)
-    layers = _unpack(theta, _shapes(spec, d))
+    fmap, _ = _feature_map(spec.kernel, _in_space(space))
+    layers = _unpack(theta, _shapes(spec, space))
     acts = [x if mapped else fmap(x)]
     for i, (w, b) in enumerate(layers):
         z = acts[-1] @ w + b
@@ -158,9 +187,9 @@ def loss_grad(spec: Spec, theta: np.ndarray, x: np.ndarray, y: np.ndarray, d: in
         loss = float(-(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)).sum())
         g = p - y
     elif spec.family == "svr":
-        r = f - y
-        over = np.abs(r) > spec.epsilon
-        loss = spec.C * float((np.abs(r) - spec.epsilon)[over].sum())
+        r, epsilon = f - y, spec.epsilon / _in_space(space).y_std        # epsilon is in label units, y is standardised
+        over = np.abs(r) > epsilon
+        loss = spec.C * float((np.abs(r) - epsilon)[over].sum())
         g = spec.C * np.sign(r) * over
     else:  # svc, labels 0/1 -> -1/+1
         s = 2.0 * y - 1.0
@@ -184,6 +213,8 @@ def loss_grad(spec: Spec, theta: np.ndarray, x: np.ndarray, y: np.ndarray, d: in
 class _Job:
     spec: Spec
     held_out: int | None              # fold left out (None = fit on all rows)
+    space: Space = None
+    candidate: int = 0                # number of the spec; seeds the order of its minibatches
     theta: np.ndarray = field(default=None)
     m: np.ndarray = field(default=None)
     v: np.ndarray = field(default=None)
@@ -192,14 +223,46 @@ class _Job:
     done: bool = False
 
 
-def to_training_frame(df: DataFrame, features_col: str, label_col: str, fold_col: str | None) -> DataFrame:
-    cols = [vector_to_array(F.col(features_col)).alias("x"), F.col(label_col).cast("double").alias("y")]
+def to_training_frame(df: DataFrame, features: dict[str, str], label_col: str, fold_col: str | None) -> DataFrame:
+    """``features``: space column -> vector column of ``df``.  Rows without a label are left out."""
+    cols = [vector_to_array(F.col(v)).alias(x) for x, v in features.items()]
+    cols.append(F.col(label_col).cast("double").alias("y"))
     cols.append(F.col(fold_col).cast("int").alias("fold") if fold_col else F.lit(-1).alias("fold"))
     key = F.xxhash64(F.col("id")) if "id" in df.columns else F.xxhash64(*cols[:2])
     cols.append(key.alias("key"))
     return df.where(F.col(label_col).isNotNull()).select(*cols)
 
 
+def find_spaces(data: DataFrame, held_out: dict[str, int | None], regression: bool, landmarks: int = LANDMARKS) -> dict[int | None, Space]:
+    """The space of every column of ``data``, from the rows outside its held-out fold.
+
+    One aggregation gives each matrix's variance, hence the kernel scale
+    ``1 / (d * variance)``, and the label's mean and deviation; the landmarks
+    are the rows with the least hashes, the same whatever the partitioning (at most
+    ``8 * landmarks`` rows reach the driver).
+    """
+    def summed(x, own, f):
+        return F.sum(F.when(own, F.aggregate(x, F.lit(0.0), f)))
+
+    aggs = []
+    for x, fold in held_out.items():
+        own = F.lit(True) if fold is None else F.col("fold") != fold
+        aggs += [summed(x, own, lambda a, v: a + v).alias(f"s_{x}"), summed(x, own, lambda a, v: a + v * v).alias(f"q_{x}"),
+                 F.count_if(own).alias(f"n_{x}"), F.avg(F.when(own, F.col("y"))).alias(f"m_{x}"), F.stddev_pop(F.when(own, F.col("y"))).alias(f"d_{x}")]
+    st = data.agg(*aggs).first()
+    near = data.orderBy(F.xxhash64("key", F.lit("landmark")), "key").limit(8 * landmarks).select("fold", *held_out).collect()
+    out = {}
+    for x, fold in held_out.items():
+        rows = np.array([r[x] for r in near if fold is None or r["fold"] != fold][:landmarks], float)
+        d = rows.shape[1] if rows.size else len(data.select(x).first()[x])
+        n = max(1, st[f"n_{x}"] * d)
+        mean = (st[f"s_{x}"] or 0.0) / n
+        var = (st[f"q_{x}"] or 0.0) / n - mean * mean
+        out[fold] = Space(d, 1.0 / (max(d, 1) * var) if var > 0 else 1.0, rows.tobytes(), x,
+                          float(st[f"m_{x}"] or 0.0) if regression else 0.0, float(st[f"d_{x}"] or 1.0) if regression else 1.0)
+    return out
+
+
 def tree_sum(per_part: DataFrame, fan_in: int) -> DataFrame:
     """Sum one state per (shard, model) in two levels.
 
@@ -240,7 +303,7 @@ def sharded(data: DataFrame, rows: int) -> tuple[DataFrame, int, int]:
 MINIBATCH = 200      # the reference library's default batch size
 
 
-def _local_epoch(spec: Spec, theta, m, v, t, x, y, d: int, n_total: int, seed: int):
+def _local_epoch(spec: Spec, theta, m, v, t, x, y, d: Space, n_total: int, seed: int):
     """One Adam epoch over a shard's mapped rows in minibatches of 200.
 
     Per minibatch the objective is the mean data loss plus the regulariser
@@ -271,8 +334,18 @@ def _local_epoch(spec: Spec, theta, m, v, t, x, y, d: int, n_total: int, seed: i
     return theta, m, v, steps, total
 
 
+def deal(costs: list[float], groups: int) -> list[int]:
+    """A group for each model: the dearest first, each to the group with the least work so far."""
+    load, out = [0.0] * groups, [0] * len(costs)
+    for i in sorted(range(len(costs)), key=lambda i: -costs[i]):
+        g = load.index(min(load))
+        out[i], load[g] = g, load[g] + costs[i]
+    return out
+
+
 def train_many(data: DataFrame, specs: list[Spec], folds: list[int | None], steps: int = 1000,
-               tol: float = 1e-4, patience: int = 10, epochs_per_job: int = 5) -> list[_Job]:
+               tol: float = 1e-4, patience: int = 10, epochs_per_job: int = 5,
+               spaces: dict[int | None, Space] | None = None) -> list[_Job]:
     """Train every (spec, held-out fold) pair jointly; one Spark job per ``epochs_per_job`` epochs.
 
     Each job sends the current parameters and Adam moments of every active
@@ -284,21 +357,26 @@ def train_many(data: DataFrame, specs: list[Spec], folds: list[int | None], step
     new global state.  A model stops after ``patience`` epochs without
     improving its epoch loss by ``tol`` (the reference library's ``tol`` /
     ``n_iter_no_change``); the loop ends when every model has stopped or
-    after ``steps`` epochs.
+    after ``steps`` epochs.  The models that are still active are dealt to the
+    groups by their size before every job.
 
-    ``data`` has columns ``x`` (array<double>), ``y`` (double), ``fold`` (int), ``key`` (long).
+    ``data`` has columns ``y`` (double), ``fold`` (int), ``key`` (long) and one array per space;
+    ``spaces`` gives each held-out fold's (default: column ``x`` for all, nothing fitted per fold).
     """
     spark = data.sparkSession
     ship_package(spark)
-    d = len(data.select("x").first()["x"])
-    jobs = [_Job(s, f) for s in specs for f in folds]
+    if spaces is None:
+        whole = find_spaces(data, {"x": None}, False)[None]
+        spaces = {f: whole for f in folds}
+    columns = sorted({spaces[f].column for f in folds})
+    jobs = [_Job(s, f, spaces[f], i) for i, s in enumerate(specs) for f in folds]
     for j in jobs:
-        j.theta = init_params(j.spec, d)
+        j.theta = init_params(j.spec, j.space)
         j.m, j.v = np.zeros_like(j.theta), np.zeros_like(j.theta)
     t_of = [0] * len(jobs)
     counts = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
     n_of = [sum(c for f, c in counts.items() if j.held_out is None or f != j.held_out) for j in jobs]
-    dealt, shards, groups = sharded(data, sum(counts.values()))
+    dealt, shards, groups = sharded(data.select(*columns, "y", "fold", "key"), sum(counts.values()))
     cached = dealt.persist(StorageLevel.MEMORY_AND_DISK)
     fan_in = max(1, int(shards ** 0.5))
     try:
@@ -308,36 +386,36 @@ def train_many(data: DataFrame, specs: list[Spec], folds: list[int | None], step
             if not active:
                 break
             n_ep = min(epochs_per_job, steps - epoch)
+            of_group = deal([float(len(jobs[i].theta) + 2000) * n_of[i] for i in active], groups)
             bc = spark.sparkContext.broadcast(
-                [(i, jobs[i].spec, jobs[i].held_out, jobs[i].theta, jobs[i].m, jobs[i].v, t_of[i], n_of[i])
-                 for i in active])
+                [(i, g, jobs[i].spec, jobs[i].candidate, jobs[i].held_out, jobs[i].space, jobs[i].theta, jobs[i].m, jobs[i].v, t_of[i], n_of[i])
+                 for i, g in zip(active, of_group)])
 
-            def local(batches, bc=bc, d=d, epoch=epoch, n_ep=n_ep, groups=groups):
+            def local(batches, bc=bc, epoch=epoch, n_ep=n_ep):
                 parts = [pdf for pdf in batches if not pdf.empty]
                 if not parts:
                     return
                 pdf = pd.concat(parts, ignore_index=True)      # one shard: at most about SHARD_ROWS rows
-                x = np.stack(pdf["x"].to_numpy()).astype(np.float32)
-                y = pdf["y"].to_numpy(dtype=np.float32)
+                y = pdf["y"].to_numpy(dtype=float)
                 fold = pdf["fold"].to_numpy()
                 shard, grp = int(pdf["shard"].iloc[0]), int(pdf["grp"].iloc[0])
-                maps: dict = {}                                 # feature maps, once per kernel and job
-                for i, spec, held, theta, m, v, t, n_total in bc.value:
-                    if i % groups != grp:
+                maps: dict = {}                                 # feature maps, once per kernel and space
+                for i, g, spec, candidate, held, space, theta, m, v, t, n_total in bc.value:
+                    if g != grp:
                         continue
                     sel = np.nonzero(fold != held)[0] if held is not None else np.arange(len(y))
                     if len(sel) == 0:
                         continue
-                    kernel = (spec.kernel, spec.seed, spec.n_rff) if not spec.family.startswith("mlp") else None
-                    if (kernel, held) not in maps:
-                        if kernel not in maps:
-                            maps[kernel] = _feature_map(spec, d)[0](x).astype(np.float32)
-                        maps[kernel, held] = maps[kernel][sel], y[sel]
-                    xs, ys = maps[kernel, held]
+                    at = (spec.kernel, space.column, held)
+                    if at not in maps:
+                        x = np.stack(pdf[space.column].to_numpy()[sel]).astype(np.float32)
+                        maps[at] = (_feature_map(spec.kernel, space)[0](x).astype(np.float32),
+                                    ((y[sel] - space.y_mean) / space.y_std).astype(np.float32))
+                    xs, ys = maps[at]
                     th, mm, vv, k, losses = theta, m, v, 0, []
                     for e in range(n_ep):
-                        th, mm, vv, ke, obj = _local_epoch(spec, th, mm, vv, t + k, xs, ys, d, n_total,
-                                                           seed=(spec.seed, epoch + e, shard, i))
+                        th, mm, vv, ke, obj = _local_epoch(spec, th, mm, vv, t + k, xs, ys, space, n_total,
+                                                           seed=(spec.seed, epoch + e, shard, candidate))
                         k += ke
                         losses.append(obj)
                     w = float(len(sel))
@@ -386,13 +464,15 @@ class GradientModel(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     plattB = Param(Params._dummy(), "plattB", "Platt intercept", TypeConverters.toFloat)
     yMean = Param(Params._dummy(), "yMean", "label mean used for standardising", TypeConverters.toFloat)
     yStd = Param(Params._dummy(), "yStd", "label std used for standardising", TypeConverters.toFloat)
+    gamma = Param(Params._dummy(), "gamma", "kernel scale", TypeConverters.toFloat)
+    landmarks = Param(Params._dummy(), "landmarks", "landmark rows of the rbf kernel, row by row", TypeConverters.toListFloat)
 
     @keyword_only
     def __init__(self, *, specJson=None, weights=None, nFeatures=None, featuresCol="features",
-                 predictionCol="prediction", plattA=1.0, plattB=0.0, yMean=0.0, yStd=1.0):
+                 predictionCol="prediction", plattA=1.0, plattB=0.0, yMean=0.0, yStd=1.0, gamma=1.0, landmarks=None):
         super().__init__()
         self._setDefault(featuresCol="features", predictionCol="prediction", plattA=1.0, plattB=0.0,
-                         yMean=0.0, yStd=1.0)
+                         yMean=0.0, yStd=1.0, gamma=1.0, landmarks=[])
         self._set(**self._input_kwargs)
 
     @property
@@ -401,9 +481,13 @@ class GradientModel(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         d["hidden"] = tuple(d.get("hidden", ()))
         return Spec(**d)
 
+    @property
+    def space(self) -> Space:
+        return Space(self.getOrDefault(self.nFeatures), self.getOrDefault(self.gamma), np.array(self.getOrDefault(self.landmarks), float).tobytes())
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         spec, theta = self.spec, np.asarray(self.getOrDefault(self.weights))
-        d = self.getOrDefault(self.nFeatures)
+        d = self.space
         a, b = self.getOrDefault(self.plattA), self.getOrDefault(self.plattB)
         fcol, pcol = self.getOrDefault(self.featuresCol), self.getOrDefault(self.predictionCol)
         ship_package(dataset.sparkSession)
@@ -431,9 +515,10 @@ class GradientModel(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         }).drop("__s")
 
 
-def make_model(job: _Job, d: int, features_col: str = "features", y_mean: float = 0.0,
-               y_std: float = 1.0) -> GradientModel:
+def make_model(job: _Job, features_col: str = "features") -> GradientModel:
     s = asdict(job.spec)
     s["hidden"] = list(s["hidden"])
-    return GradientModel(specJson=json.dumps(s), weights=job.theta.tolist(), nFeatures=d, featuresCol=features_col,
-                         yMean=float(y_mean), yStd=float(y_std))
+    space = job.space
+    rows = np.frombuffer(space.landmarks).tolist() if job.spec.kernel == "rbf" else []
+    return GradientModel(specJson=json.dumps(s), weights=job.theta.tolist(), nFeatures=space.d, featuresCol=features_col,
+                         yMean=space.y_mean, yStd=space.y_std, gamma=space.gamma, landmarks=rows)

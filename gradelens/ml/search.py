@@ -11,8 +11,9 @@ the hash fold column, so scaling, encoding and selection are refitted per
 fold as in the reference; candidates run ``parallelism`` at a time.
 
 The gradient families train every candidate on every fold plus the full
-refit in one joint loop (see ``ml.gradient``); their preprocessing and
-selector are fitted once on the training rows (documented deviation).
+refit in one joint loop (see ``ml.gradient``).  Preprocessing, selector, kernel scale,
+landmarks and label scale are fitted once per fold on the rows outside it, and
+once on all rows for the refit; every row carries the vector of each.
 """
 from __future__ import annotations
 
@@ -36,7 +37,7 @@ from ..functions import constants as K
 from ..operators.metrics import with_class_weight
 from pyspark import StorageLevel
 
-from .gradient import Spec, forward, make_model, to_training_frame, train_many
+from .gradient import Spec, find_spaces, forward, make_model, to_training_frame, train_many
 from .preprocess import ImportanceSelector, feature_columns, preprocessing_stages
 
 FAMILIES = {
@@ -244,93 +245,95 @@ def rf_search(train: DataFrame, label: str, exclude: list[str], n: int = K.SEARC
     return SearchResult("rf_clf", "classification", final, b, scores, (num, cat))
 
 
-def _spec(family: str, c: dict, y_std: float = 1.0) -> Spec:
+def _spec(family: str, c: dict) -> Spec:
     if family.startswith("mlp"):
         return Spec(family, hidden=tuple(c["hidden"]), activation=c["activation"], lr=c["learningRate"])
-    if family == "svr":     # epsilon is in label units; training runs on the standardised label
-        return Spec(family, C=float(c["C"]), epsilon=float(c["epsilon"]) / y_std, kernel=c["kernel"], lr=0.01)
+    if family == "svr":
+        return Spec(family, C=float(c["C"]), epsilon=float(c["epsilon"]), kernel=c["kernel"], lr=0.01)
     return Spec(family, C=float(c["C"]), kernel=c["kernel"], lr=0.01)
 
 
-def _cv_scores(data: DataFrame, jobs, d: int, task: str) -> dict[int, float]:
-    """Score every fold model on its held-out rows in one job; mean over folds per spec."""
+def held_out_margins(data: DataFrame, jobs, label: str = "y") -> DataFrame:
+    """``model`` (number of the job), ``raw`` (label units), ``y``: every fold model's output on the rows it never saw."""
+    from ..session import ship_package
     spark = data.sparkSession
-    fold_jobs = [(i, j.spec, j.held_out, j.theta) for i, j in enumerate(jobs) if j.held_out is not None]
+    ship_package(spark)
+    fold_jobs = [(i, j.spec, j.held_out, j.space, j.theta) for i, j in enumerate(jobs) if j.held_out is not None]
+    columns = sorted({j[3].column for j in fold_jobs})
     bc = spark.sparkContext.broadcast(fold_jobs)
 
-    def stats(batches, bc=bc, d=d):
-        acc = {}
+    def run(batches, bc=bc):
         for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.stack(pdf["x"].to_numpy()).astype(float)
-            y = pdf["y"].to_numpy(dtype=float)
-            fold = pdf["fold"].to_numpy()
-            for i, spec, held, theta in bc.value:
-                sel = fold == held
-                if not sel.any():
-                    continue
-                f = forward(spec, theta, x[sel], d)
-                yy = y[sel]
-                if task == "regression":
-                    v = np.array([len(yy), ((f - yy) ** 2).sum(), yy.sum(), (yy * yy).sum()])
-                else:
-                    pred = (f >= 0).astype(float)
-                    v = np.array([len(yy), (pred == yy).sum(), 0.0, 0.0])
-                acc[i] = acc.get(i, 0) + v
-        yield pd.DataFrame([(i, *v.tolist()) for i, v in acc.items()], columns=["model", "n", "a", "b", "c"])
-
-    rows = data.mapInPandas(stats, "model int, n double, a double, b double, c double") \
-               .groupBy("model").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "c")]).collect()
-    bc.unpersist()
-    per_spec: dict[int, list[float]] = {}
-    for r in rows:
-        j = jobs[r["model"]]
-        if task == "regression":
-            sst = r["c"] - r["b"] ** 2 / r["n"]
-            s = 1.0 - r["a"] / sst if sst > 0 else 0.0
-        else:
-            s = r["a"] / r["n"]
-        per_spec.setdefault(id(j.spec), []).append(s)
-    return {k: float(np.mean(v)) for k, v in per_spec.items()}
+            fold, y = pdf["fold"].to_numpy(), pdf["y"].to_numpy(dtype=float)
+            for i, spec, held, space, theta in bc.value:
+                sel = np.nonzero(fold == held)[0]
+                if len(sel):
+                    x = np.stack(pdf[space.column].to_numpy()[sel]).astype(float)
+                    yield pd.DataFrame({"model": i, "raw": forward(spec, theta, x, space) * space.y_std + space.y_mean, "y": y[sel]})
+
+    return data.select(*columns, "y", "fold").mapInPandas(run, "model int, raw double, y double")
+
+
+def _cv_scores(data: DataFrame, jobs, task: str) -> dict[int, float]:
+    """Score every fold model on its held-out rows in one job; mean over folds per candidate."""
+    if task == "regression":
+        aggs = [F.sum((F.col("raw") - F.col("y")) ** 2).alias("a"), (F.var_pop("y") * F.count("*")).alias("b")]
+    else:
+        aggs = [F.sum(((F.col("raw") >= 0) == (F.col("y") > 0)).cast("double")).alias("a"), F.count("*").cast("double").alias("b")]
+    per: dict[int, list[float]] = {}
+    for r in held_out_margins(data, jobs).groupBy("model").agg(*aggs).collect():
+        share = r["a"] / r["b"] if r["b"] else float("nan")
+        per.setdefault(jobs[r["model"]].candidate, []).append((1.0 - share if r["b"] else 0.0) if task == "regression" else share)
+    return {k: float(np.mean(v)) for k, v in per.items()}
+
+
+def platt(margins: DataFrame) -> tuple[float, float]:
+    """Slope and intercept of P(class 1) over a margin (``raw``, ``y``)."""
+    lr = LogisticRegression(featuresCol="m", labelCol="y").fit(VectorAssembler(inputCols=["raw"], outputCol="m").transform(margins))
+    return float(lr.coefficients[0]), float(lr.intercept)
 
 
 def gradient_search(train: DataFrame, label: str, family: str, exclude: list[str],
                     n: int = K.SEARCH_CANDIDATES, folds: int = K.CV_FOLDS, fold_col: str = "fold",
                     steps: int = 1000, grid: dict | None = None) -> SearchResult:
-    """M8-M11 (+M12): joint training of all candidates x folds, then the full refit of the best."""
+    """M8-M11 (+M12): joint training of all candidates x folds, each fold in its own space, then the full refit of the best.
+
+    The probabilities of an SVC come from the margins that its fold models give
+    to the rows they never saw (Platt scaling by cross-validation).
+    """
     task, default_grid = FAMILIES[family]
     num, cat = feature_columns(train, exclude + [label, fold_col])
     train = train.where(F.col(label).isNotNull())
-    pre = Pipeline(stages=[*preprocessing_stages(num, cat),
-                           ImportanceSelector(featuresCol="features", labelCol=label, outputCol="selected",
-                                              task=task)]).fit(train)
-    data = to_training_frame(pre.transform(train), "selected", label, fold_col)
-    y_mean, y_std = 0.0, 1.0
-    if task == "regression":               # standardise the label (R² is unchanged by it)
-        st = data.agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s")).first()
-        y_mean, y_std = float(st["m"]), float(st["s"] or 1.0)
-        data = data.withColumn("y", (F.col("y") - F.lit(y_mean)) / F.lit(y_std))
-    d = len(data.select("x").first()["x"])
+    held = {**{f"x{f}": f for f in range(folds)}, "x": None}
+
+    def prepare(f):
+        rows = train if f is None else train.where(F.col(fold_col) != f)
+        return Pipeline(stages=[*preprocessing_stages(num, cat),
+                                ImportanceSelector(featuresCol="features", labelCol=label, outputCol="selected", task=task)]).fit(rows)
+
+    with ThreadPoolExecutor(max_workers=len(held)) as pool:
+        fitted = dict(zip(held, pool.map(prepare, held.values())))
+    rows, base = train, list(train.columns)
+    for x, pre in fitted.items():
+        rows = pre.transform(rows).withColumnRenamed("selected", f"__{x}").select(*base, f"__{x}")
+        base.append(f"__{x}")
+    data = to_training_frame(rows, {x: f"__{x}" for x in held}, label, fold_col).persist(StorageLevel.MEMORY_AND_DISK)
     candidates = sample_grid(grid or default_grid, n)
-    specs = [_spec(family, c, y_std) for c in candidates]
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        jobs = train_many(data, specs, list(range(folds)) + [None], steps=steps)
-        cv = _cv_scores(data, jobs, d, task) if folds else {}
+        spaces = find_spaces(data, held, task == "regression")
+        specs = [_spec(family, c) for c in candidates]
+        jobs = train_many(data, specs, list(held.values()), steps=steps, spaces=spaces)
+        cv = _cv_scores(data, jobs, task) if folds else {}
+        scores = [(c, cv.get(i, float("nan"))) for i, c in enumerate(candidates)]
+        best = max(range(len(specs)), key=lambda i: (scores[i][1], -i))
+        model = make_model(next(j for j in jobs if j.candidate == best and j.held_out is None), "selected")
+        if family == "svc" and folds:
+            a, b = platt(held_out_margins(data, [j for j in jobs if j.candidate == best]))
+            model.set(model.plattA, a)
+            model.set(model.plattB, b)
     finally:
         data.unpersist()
-    scores = [(c, cv.get(id(s), float("nan"))) for c, s in zip(candidates, specs)]
-    best = max(range(len(specs)), key=lambda i: (scores[i][1], -i))
-    full = next(j for j in jobs if j.spec is specs[best] and j.held_out is None)
-    model = make_model(full, d, "selected", y_mean, y_std)
-    if family == "svc":                         # Platt scaling on the training margins
-        margins = model.transform(pre.transform(train)).select(F.col("raw"), F.col(label).alias("y"))
-        lr = LogisticRegression(featuresCol="m", labelCol="y").fit(
-            VectorAssembler(inputCols=["raw"], outputCol="m").transform(margins))
-        model.set(model.plattA, float(lr.coefficients[0]))
-        model.set(model.plattB, float(lr.intercept))
-    return SearchResult(family, task, PipelineModel(stages=[*pre.stages, model]), candidates[best], scores,
+    return SearchResult(family, task, PipelineModel(stages=[*fitted["x"].stages, model]), candidates[best], scores if folds else [],
                         (num, cat))
 
 
@@ -341,7 +344,8 @@ def fit_point(train: DataFrame, label: str, family: str, exclude: list[str], par
     params = params or K.FIXED_POINTS[family]
     if family not in ("gbt_reg", "rf_clf"):
         grid = {k: [v] for k, v in params.items()}
-        return gradient_search(train, label, family, exclude, n=1, folds=0, fold_col=fold_col, steps=steps, grid=grid)
+        folds = K.CV_FOLDS if family == "svc" else 0       # its probabilities need margins of rows that were held out
+        return gradient_search(train, label, family, exclude, n=1, folds=folds, fold_col=fold_col, steps=steps, grid=grid)
     train = train.where(F.col(label).isNotNull())
     weight = None
     if family == "rf_clf":
