@@ -113,6 +113,41 @@ def histogram(df: DataFrame, col: str, bins: int = 25) -> DataFrame:
                         F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
 
 
+def nice_width(lo: float, hi: float, most: int) -> float:
+    """The least width of 1, 2 or 5 times a power of ten whose multiples cut [lo, hi] into at most ``most`` buckets.
+
+    Values on both sides of zero never share a bucket, so two are always allowed.
+    """
+    if hi <= lo:
+        return 1.0
+    most = max(2, most)
+    power = math.floor(math.log10((hi - lo) / most)) - 1
+    while True:
+        for m in (1, 2, 5):
+            width = float(f"{m}e{power}")
+            if math.floor(hi / width) - math.floor(lo / width) + 1 <= most:
+                return width
+        power += 1
+
+
+def auto_histogram(df: DataFrame, col: str, most: int = 25) -> DataFrame:
+    """A7 with automatic bins: at most ``most`` buckets [k w, (k + 1) w) of a round width w (empty ones included).
+
+    A constant column has one bucket of width 1; nulls are not counted; without a value there is no bucket.
+    """
+    lo, hi = _min_max(df, [col])[col]
+    spark = df.sparkSession
+    if lo is None:
+        return spark.createDataFrame([], "bucket bigint, lower double, upper double, count bigint")
+    width = nice_width(lo, hi, most)
+    first, last = math.floor(lo / width), math.floor(hi / width)
+    bucket = F.floor(F.col(col).cast("double") / F.lit(width))
+    counts = df.where(F.col(col).isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
+    return spark.range(first, last + 1).withColumnRenamed("id", "bucket").join(counts, "bucket", "left").select(
+        "bucket", (F.col("bucket") * F.lit(width)).alias("lower"), ((F.col("bucket") + 1) * F.lit(width)).alias("upper"),
+        F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"))
+
+
 #: Bandwidths beyond which a kernel adds nothing that a double of the sum shows.
 REACH = 9.0
 

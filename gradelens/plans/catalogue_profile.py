@@ -172,6 +172,29 @@ def histogram_price(spark, sf_dir):
     return P.histogram(read_table(spark, sf_dir, "orders", "o_totalprice"), "o_totalprice", 25)
 
 
+def _auto_sql(name: str, table: str, x: str) -> str:
+    """Round buckets in SQL: the least of the widths 1, 2, 5 x 10^k that needs at most 25 of them."""
+    return f"""(WITH v AS (SELECT CAST({x} AS DOUBLE) AS v FROM {table}), r AS (SELECT min(v) AS lo, max(v) AS hi FROM v),
+  w AS (SELECT CASE WHEN hi <= lo THEN 1.0 ELSE (SELECT min(m * pow(10, k)) FROM (VALUES (1), (2), (5)) AS m(m), range(-12, 13) AS k(k)
+        WHERE m * pow(10, k) * 25 >= hi - lo AND floor(hi / (m * pow(10, k))) - floor(lo / (m * pow(10, k))) + 1 <= 25) END AS w, lo, hi FROM r),
+  g AS (SELECT unnest(range(CAST(floor(lo / w) AS BIGINT), CAST(floor(hi / w) AS BIGINT) + 1)) AS bucket, w FROM w)
+  SELECT '{name}' AS "column", bucket, bucket * w AS lower, (bucket + 1) * w AS upper,
+         (SELECT count(*) FROM v WHERE floor(v / w) = bucket) AS count FROM g)"""
+
+
+_AUTO = [("price", "lineitem", "l_extendedprice"), ("discount", "lineitem", "l_discount"), ("balance", "customer", "c_acctbal"), ("constant", "orders", "7")]
+
+
+@query("histogram_auto", sql=" UNION ALL ".join(_auto_sql(*a) for a in _AUTO), doubles=["lower", "upper"])
+def histogram_auto(spark, sf_dir):
+    """A7, automatic bins: round buckets of prices, discounts and balances (some negative), and of a constant column."""
+    out = None
+    for name, table, x in _AUTO:
+        h = P.auto_histogram(read_table(spark, sf_dir, table).select(F.expr(x).alias("v")), "v").select(F.lit(name).alias("column"), "*")
+        out = h if out is None else out.unionByName(h)
+    return out
+
+
 _KDE_SQL = f"""{BASE},
 s AS (SELECT count(note_moyenne) AS n, stddev_samp(note_moyenne) * pow(count(note_moyenne), -1.0 / 5.0) AS h,
         min(note_moyenne) AS lo, max(note_moyenne) AS hi FROM raw),

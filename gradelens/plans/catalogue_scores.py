@@ -15,7 +15,7 @@ from ..operators import scores as S
 from ..operators.cohort import failing, non_empty_options
 from ..operators.lookup import aligned_mask, lookup, lookup_rows
 from ..operators.profile import null_counts
-from ..operators.sampling import fold_of, is_test, with_split
+from ..operators.sampling import fold_of, is_test, with_split, with_stratified_folds
 from ..sources.tables import read_table
 from .prepare import prepare, prepared_cohort, raw_cohort
 from .registry import query
@@ -144,6 +144,24 @@ def fold_sizes(spark, sf_dir):
     return o.groupBy(fold_of("o_orderkey").alias("fold")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("split_exact",
+       sql=f"""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY {_H32.format(seed='42:', col='o_orderkey')}, o_orderkey) AS r, count(*) OVER () AS n FROM orders)
+  SELECT r <= ceil(0.2 * n) AS is_test, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS id_sum FROM r GROUP BY 1""")
+def split_exact(spark, sf_dir):
+    """M1 with ``exact``: ceil(0.2 n) of all orders are test rows, sizes and id sums."""
+    o = with_split(read_table(spark, sf_dir, "orders", "o_orderkey"), "o_orderkey", exact=True)
+    return o.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("id_sum"))
+
+
+@query("stratified_folds",
+       sql=f"""WITH f AS (SELECT o_orderpriority, o_orderkey, ntile(3) OVER (PARTITION BY o_orderpriority ORDER BY {_H32.format(seed='42:fold:', col='o_orderkey')}, o_orderkey) - 1 AS fold FROM orders)
+  SELECT o_orderpriority, CAST(fold AS INTEGER) AS fold, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS id_sum FROM f GROUP BY ALL""")
+def stratified_folds(spark, sf_dir):
+    """W3 stratified: 3 folds of all orders within every priority, sizes and id sums."""
+    o = with_stratified_folds(read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority"), ["o_orderpriority"], "o_orderkey", bucket_rows=500)
+    return o.groupBy("o_orderpriority", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("id_sum"))
+
+
 _SCALE_COLS = ["interet_maths", "heures_etude_soir", "heures_sommeil", "temps_ecrans_total", "score_equilibre"]
 
 
