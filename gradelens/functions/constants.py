@@ -137,17 +137,6 @@ MLP_GRID = {"hidden": [(64, 32), (128, 64), (100,)], "activation": ["relu", "tan
 SVR_GRID = {"C": [0.1, 1, 10], "epsilon": [0.01, 0.1, 0.5], "kernel": ["rbf", "poly"]}
 SVC_GRID = {"C": [0.1, 1, 10], "kernel": ["rbf", "linear"]}
 
-# One point of each search space, for queries that need a fitted model but no
-# search (this library's own choice, not a reference value).
-FIXED_POINTS = {
-    "gbt_reg": {"maxIter": 50, "maxDepth": 3, "stepSize": 0.1},
-    "rf_clf": {"numTrees": 100, "maxDepth": 5, "minSamplesSplit": 2},
-    "mlp_reg": {"hidden": (100,), "activation": "relu", "learningRate": 0.01},
-    "mlp_clf": {"hidden": (100,), "activation": "relu", "learningRate": 0.01},
-    "svr": {"C": 1, "epsilon": 0.1, "kernel": "rbf"},
-    "svc": {"C": 1, "kernel": "linear"},
-}
-
 # Display names of the model families in reports (this library's own wording, not a reference value).
 FAMILY_NAMES = {"gbt_reg": "Boosted trees", "rf_clf": "Random forest", "mlp_reg": "Neural network",
                 "mlp_clf": "Neural network", "svr": "SVM (SVR)", "svc": "SVM (SVC)"}

@@ -73,7 +73,7 @@ class SearchResult:
         return max(s for _, s in self.cv_scores) if self.cv_scores else float("nan")
 
 
-def _spark_model(family: str, params: dict, label: str, weight_col: str | None):
+def spark_model(family: str, params: dict, label: str, weight_col: str | None):
     if family == "gbt_reg":
         return GBTRegressor(featuresCol="selected", labelCol=label, seed=K.SEED, maxIter=params["maxIter"],
                             maxDepth=params["maxDepth"], stepSize=params["stepSize"])
@@ -97,11 +97,11 @@ def spark_search(train: DataFrame, label: str, family: str, exclude: list[str],
     pre = preprocessing_stages(num, cat)
     selector = ImportanceSelector(featuresCol="features", labelCol=label, outputCol="selected", task=task)
     # One model stage per candidate keeps each ParamMap a plain estimator swap.
-    proto = _spark_model(family, candidates[0], label, weight_col)
+    proto = spark_model(family, candidates[0], label, weight_col)
     pipeline = Pipeline(stages=[*pre, selector, proto])
     maps = []
     for c in candidates:
-        m = _spark_model(family, c, label, weight_col)
+        m = spark_model(family, c, label, weight_col)
         maps.append({getattr(proto, p.name): m.getOrDefault(p.name) for p in m.params
                      if m.isDefined(p) and p.name in ("maxIter", "maxDepth", "stepSize", "numTrees",
                                                      "minInstancesPerNode")})
@@ -119,11 +119,11 @@ def spark_search(train: DataFrame, label: str, family: str, exclude: list[str],
 TASK_BYTES = 32 << 20
 
 
-def compact(rows: DataFrame) -> DataFrame:
+def compact(rows: DataFrame, vector: str = "selected") -> DataFrame:
     """Cached rows in as many partitions as their bytes need: a boosting round runs
     several jobs over them, and on a small table their cost is the task count."""
     held = rows.cache()
-    width = held.select(F.length(F.col("selected").cast("string")).alias("w")).agg(F.sum("w")).first()[0] or 0
+    width = held.select(F.length(F.col(vector).cast("string")).alias("w")).agg(F.sum("w")).first()[0] or 0
     parts = max(1, -(-int(width) // TASK_BYTES))
     small = held.coalesce(parts).cache()
     small.count()
@@ -190,7 +190,7 @@ def gbt_search(train: DataFrame, label: str, exclude: list[str], n: int = K.SEAR
     final = Pipeline(stages=[*preprocessing_stages(num, cat),
                              ImportanceSelector(featuresCol="features", labelCol=label, outputCol="selected",
                                                 task="regression"),
-                             _spark_model("gbt_reg", b, label, None)]).fit(train)
+                             spark_model("gbt_reg", b, label, None)]).fit(train)
     return SearchResult("gbt_reg", "regression", final, b, scores, (num, cat))
 
 
@@ -223,7 +223,7 @@ def rf_search(train: DataFrame, label: str, exclude: list[str], n: int = K.SEARC
 
     def fit_score(job):
         ci, (f, fit_rows, val_rows) = job
-        model = _spark_model("rf_clf", candidates[ci], label, "class_weight").fit(fit_rows)
+        model = spark_model("rf_clf", candidates[ci], label, "class_weight").fit(fit_rows)
         return ci, evaluator.evaluate(model.transform(val_rows))
 
     jobs = [(ci, p) for ci in range(len(candidates)) for p in prepared]
@@ -241,7 +241,7 @@ def rf_search(train: DataFrame, label: str, exclude: list[str], n: int = K.SEARC
     final = Pipeline(stages=[*preprocessing_stages(num, cat),
                              ImportanceSelector(featuresCol="features", labelCol=label, outputCol="selected",
                                                 task="classification"),
-                             _spark_model("rf_clf", b, label, "class_weight")]).fit(train)
+                             spark_model("rf_clf", b, label, "class_weight")]).fit(train)
     return SearchResult("rf_clf", "classification", final, b, scores, (num, cat))
 
 
@@ -337,11 +337,10 @@ def gradient_search(train: DataFrame, label: str, family: str, exclude: list[str
                         (num, cat))
 
 
-def fit_point(train: DataFrame, label: str, family: str, exclude: list[str], params: dict | None = None,
+def fit_point(train: DataFrame, label: str, family: str, exclude: list[str], params: dict,
               fold_col: str = "fold", steps: int = 1000) -> SearchResult:
-    """One point of a family's space (default ``K.FIXED_POINTS``) fitted on all training rows, without a search."""
+    """One point of a family's space fitted on all training rows, without a search."""
     task = FAMILIES[family][0]
-    params = params or K.FIXED_POINTS[family]
     if family not in ("gbt_reg", "rf_clf"):
         grid = {k: [v] for k, v in params.items()}
         folds = K.CV_FOLDS if family == "svc" else 0       # its probabilities need margins of rows that were held out
@@ -355,7 +354,7 @@ def fit_point(train: DataFrame, label: str, family: str, exclude: list[str], par
     pre = Pipeline(stages=[*preprocessing_stages(num, cat),
                            ImportanceSelector(featuresCol="features", labelCol=label, outputCol="selected", task=task)]).fit(train)
     rows = compact(pre.transform(train).select("selected", label, *([weight] if weight else [])))
-    model = _spark_model(family, params, label, weight).fit(rows)
+    model = spark_model(family, params, label, weight).fit(rows)
     rows.unpersist()
     return SearchResult(family, task, PipelineModel(stages=[*pre.stages, model]), params, [], (num, cat))
 

@@ -1,37 +1,37 @@
 """Catalogue: model searches, scoring, explanations, persistence, report, CSV.
 
-No SQL equals a model fit, so these queries return what SQL can state about
-their results: which candidates a search scored and that it chose the best of
-them, identity and actual values next to checks that follow from the row itself
-(a gap is prediction less actual, a band fits its grade, contributions add up).
-The searches run their whole budget; queries about scoring, explaining and
-reporting take a fitted model, and fit one documented point of each family's
-space (``K.FIXED_POINTS``) instead of searching again.
+No SQL equals a model fit, so queries about fitted models return the operator's own
+columns and have no SQL; tests hold them against plain loops over the fitted models.
+What SQL can state has its own query (feature slots, the report's cohort rows).
+
+Every family is tuned once per application and data folder by its whole search
+(10 candidates x 3 folds), which all these queries share.
 """
 from __future__ import annotations
 
+import datetime
 import json
-import math
 import threading
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions import expr as X
 from ..ml import explain as E
 from ..ml import scoring as SC
 from ..ml.persist import load_models, save_models
 from ..ml.preprocess import feature_columns, selected_features
-from ..ml.search import FAMILIES, fit_point, fit_selector, sample_grid, train_family
+from ..ml.search import FAMILIES, fit_selector, train_family
 from ..operators import metrics as M
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.csv_io import read_table_csv, write_table_csv
 from .prepare import prepare, raw_cohort
 from .registry import query
-from .report import build_report
-from .sql import BASE, COHORT_DOUBLE, COHORT_GRADES, PREP, RAW_ORDER, sql_str
-from .training import (CLF_FAMILIES, REG_FAMILIES, choose_best, excluded_columns, model_frame, test_metrics,
-                       train_subject_models, with_observed)
+from .report import cohort_rows, report_rows, report_text
+from .sql import BASE, COHORT_DOUBLE, COHORT_GRADES, PREP, RAW_ORDER
+from .training import (CLF_FAMILIES, REG_FAMILIES, choose_best, excluded_columns, fit_subject_models, fold_column, model_frame,
+                       test_metrics, with_observed)
 
 _LOCK = threading.RLock()
 _CACHE: dict = {}
@@ -62,32 +62,35 @@ def _label(family):
     return K.TARGET_REG if FAMILIES[family][0] == "regression" else K.TARGET_CLF
 
 
-def _fit(spark, sf_dir, family, how):
-    fr = frame(spark, sf_dir)
-    excl = [c for c in excluded_columns(fr) if c != _label(family)]
-    return how(fr.where(~F.col("is_test")), _label(family), family, excl)
-
-
 def searched(spark, sf_dir, family):
-    return _once(spark, sf_dir, "search", family, make=lambda: _fit(spark, sf_dir, family, train_family))
-
-
-def fitted(spark, sf_dir, family):
-    return _once(spark, sf_dir, "point", family, make=lambda: _fit(spark, sf_dir, family, fit_point))
+    """The tuned model of a family: its whole search, on the training students."""
+    def make():
+        fr = frame(spark, sf_dir)
+        excl = [c for c in excluded_columns(fr) if c != _label(family)]
+        return train_family(fr.where(~F.col("is_test")), _label(family), family, excl, fold_col=fold_column(fr, FAMILIES[family][0]))
+    return _once(spark, sf_dir, "search", family, make=make)
 
 
 def subjects(spark, sf_dir):
-    """One fitted point per subject, on the grades that were observed."""
+    """One model per subject on the grades that were observed, with the tuned parameters of the boosted trees."""
     def make():
         raw, fr = cohorts(spark, sf_dir)
         seen = cut_lineage(with_observed(fr, raw, COHORT_GRADES))
-        return train_subject_models(seen, COHORT_GRADES, excluded_columns(seen), fit=fit_point)
+        return fit_subject_models(seen, COHORT_GRADES, excluded_columns(seen), searched(spark, sf_dir, "gbt_reg").best_params)
     return _once(spark, sf_dir, "subjects", make=make)
 
 
 def metrics_rows(spark, sf_dir, families=None):
+    """Scores of the tuned models on the test students."""
     fr = frame(spark, sf_dir)
-    return [test_metrics(fitted(spark, sf_dir, f), fr.where("is_test"), _label(f)) for f in families or REG_FAMILIES + CLF_FAMILIES]
+    return _once(spark, sf_dir, "metrics", *(families or ()), make=lambda: [
+        test_metrics(searched(spark, sf_dir, f), fr.where("is_test"), _label(f)) for f in families or REG_FAMILIES + CLF_FAMILIES])
+
+
+def best_model(spark, sf_dir, task):
+    """The tuned model that the metric table chooses for a task."""
+    fams = REG_FAMILIES if task == "regression" else CLF_FAMILIES
+    return searched(spark, sf_dir, choose_best(metrics_rows(spark, sf_dir, fams))[task])
 
 
 def _text(params):
@@ -95,18 +98,13 @@ def _text(params):
 
 
 def _register_search(name, family, doc):
-    """``family, candidate, scored`` for every candidate, and whether the chosen one has the best score."""
-    grid = [_text(c) for c in sample_grid(FAMILIES[family][1])]
-    sql = "SELECT * FROM (VALUES " + ", ".join(f"({sql_str(family)}, {sql_str(c)}, true, true)" for c in grid) \
-        + ") AS t(family, candidate, scored, best_chosen)"
-
+    """``family, candidate, cv_score, chosen``: one row per candidate."""
     def fn(spark, sf_dir):
         res = searched(spark, sf_dir, family)
-        best = [s for c, s in res.cv_scores if _text(c) == _text(res.best_params)]
-        rows = [(family, _text(c), math.isfinite(s), best == [res.best_score]) for c, s in res.cv_scores]
-        return spark.createDataFrame(rows, "family string, candidate string, scored boolean, best_chosen boolean")
+        rows = [(family, _text(c), float(s), c == res.best_params) for c, s in res.cv_scores]
+        return spark.createDataFrame(rows, "family string, candidate string, cv_score double, chosen boolean")
     fn.__doc__ = doc
-    query(name, sql=sql)(fn)
+    query(name)(fn)
 
 
 _register_search("search_gbt_regression", "gbt_reg",
@@ -122,34 +120,20 @@ _register_search("search_svm_regression", "svr",
 _register_search("search_svm_classification", "svc",
                  "M11+M12: SVC (linear/rbf), all 6 grid points x 3 folds, Platt probabilities.")
 
-_TASKS = [("regression", REG_FAMILIES), ("classification", CLF_FAMILIES)]
 
-
-@query("model_metrics", sql="SELECT * FROM (VALUES " + ", ".join(
-    f"('{t}', '{f}', true)" for t, fams in _TASKS for f in fams) + ") AS t(task, family, plausible)")
+@query("model_metrics")
 def model_metrics(spark, sf_dir):
-    """M24 (A15, A16): one row per family; errors are non-negative and ordered, rates lie in their range."""
-    out = []
-    for m in metrics_rows(spark, sf_dir):
-        if m["task"] == "regression":
-            ok = m["r2"] is not None and m["r2"] <= 1 and 0 <= m["mae"] <= m["rmse"] + 1e-9
-        else:
-            ok = 0 <= m["accuracy"] <= 100 and all(0 <= m[k] <= 1 for k in ("f1", "precision", "recall")) \
-                and min(m["precision"], m["recall"]) - 1e-9 <= m["f1"] <= max(m["precision"], m["recall"]) + 1e-9
-        out.append((m["task"], m["family"], bool(ok)))
-    return spark.createDataFrame(out, "task string, family string, plausible boolean")
+    """M24 (A15, A16): the metric table of the six tuned families on the test students."""
+    return M.metric_table(spark, metrics_rows(spark, sf_dir))
 
 
-@query("best_models", sql="SELECT * FROM (VALUES ('regression', true), ('classification', true)) AS t(task, is_best)")
+@query("best_models")
 def best_models(spark, sf_dir):
-    """The chosen family of each task has the best score of the metric table."""
+    """The chosen family of each task and its score."""
     rows = metrics_rows(spark, sf_dir)
-    best, table = choose_best(rows), M.metric_table(spark, rows).collect()
-    out = []
-    for task, key in (("regression", "r2"), ("classification", "accuracy")):
-        scores = {m["family"]: m[key] for m in rows if m["task"] == task}
-        out.append((task, len(table) == len(rows) and scores[best[task]] == max(scores.values())))
-    return spark.createDataFrame(out, "task string, is_best boolean")
+    out = [(task, f, next(float(m[key]) for m in rows if m["family"] == f))
+           for task, key in (("regression", "r2"), ("classification", "accuracy")) for f in [choose_best(rows)[task]]]
+    return spark.createDataFrame(out, "task string, family string, score double")
 
 
 _SLOT_NUM = ["interet_maths", "heures_jeux_video", "heures_reseaux_sociaux", "heures_streaming", "heures_etude_soir",
@@ -162,44 +146,46 @@ _TRAIN = ("CAST(CAST(('0x' || substr(md5('42:' || CAST(id AS VARCHAR)), 1, 8)) "
           f"AS BIGINT) AS DOUBLE) >= {0.2 * 2 ** 32!r}")
 
 
-@query("selected_features", sql=f"""{PREP}, tr AS (SELECT * FROM feat WHERE {_TRAIN}),
+@query("feature_slots", sql=f"""{PREP}, tr AS (SELECT * FROM feat WHERE {_TRAIN}),
 slots AS ({' UNION ALL '.join(f"SELECT {i} AS k, 0 AS u, '' AS v, '{c}' AS feature" for i, c in enumerate(_SLOT_NUM))}
   UNION ALL {' UNION ALL '.join(f"SELECT DISTINCT {len(_SLOT_NUM) + i}, 0, CAST({c} AS VARCHAR), '{c}_' || CAST({c} AS VARCHAR) FROM tr WHERE {c} IS NOT NULL UNION ALL SELECT {len(_SLOT_NUM) + i}, 1, '', '{c}___unknown'" for i, c in enumerate(_SLOT_TXT))})
-SELECT CAST(row_number() OVER (ORDER BY k, u, v) - 1 AS INTEGER) AS position, feature, true AS some_kept FROM slots""")
+SELECT CAST(row_number() OVER (ORDER BY k, u, v) - 1 AS INTEGER) AS position, feature FROM slots""")
+def feature_slots(spark, sf_dir):
+    """M4 (M3): the slots of the assembled matrix in order."""
+    return _selection(spark, sf_dir).select("position", "feature")
+
+
+@query("selected_features")
 def selected_features_q(spark, sf_dir):
-    """M20 (M4, M5): the assembled slots in order, fitted without a search; the selector keeps some of them."""
+    """M20 (M5): every slot of the matrix, and whether the selector keeps it."""
+    return _selection(spark, sf_dir)
+
+
+def _selection(spark, sf_dir):
     fr = frame(spark, sf_dir)
-    model = fit_selector(fr.where(~F.col("is_test")), K.TARGET_REG, [c for c in excluded_columns(fr) if c != K.TARGET_REG])
-    sel = selected_features(model, fr.limit(1))
-    return sel.select("position", "feature", F.lit(sel.where("kept").count() > 0).alias("some_kept"))
+    model = _once(spark, sf_dir, "selector", make=lambda: fit_selector(
+        fr.where(~F.col("is_test")), K.TARGET_REG, [c for c in excluded_columns(fr) if c != K.TARGET_REG]))
+    return selected_features(model, fr.limit(1))
 
 
-@query("predict_all", sql=f"{PREP} SELECT id, nom, note_moyenne, {len(COHORT_GRADES)} AS n_subjects, true AS gap_fits FROM feat",
-       doubles=["note_moyenne"])
+@query("predict_all")
 def predict_all_q(spark, sf_dir):
-    """M17 (M13, M15): every student's identity and actual mean next to the predictions of the regressor and
-    of every subject model; the gap is prediction less actual."""
+    """M17 (M13, M15): every student's identity and actual mean, the predictions of the best regressor and
+    of every subject model, and the gap."""
     subj = {s: r.model for s, r in subjects(spark, sf_dir).items()}
-    out = SC.predict_all(frame(spark, sf_dir), fitted(spark, sf_dir, "gbt_reg").model, subj)
-    mean, gap = F.col("`Note Prédite (Moy)`"), F.col("Écart")
-    known = sum((F.col(f"Prédit_{s.replace('note_', '')}").isNotNull().cast("int") for s in subj), F.lit(0))
-    return out.select("id", "nom", K.TARGET_REG, known.alias("n_subjects"),
-                      F.coalesce(F.abs(gap - (mean - F.col(K.TARGET_REG))) < 1e-9, mean.isNotNull() & F.col(K.TARGET_REG).isNull()).alias("gap_fits"))
+    return SC.predict_all(frame(spark, sf_dir), best_model(spark, sf_dir, "regression").model, subj)
 
 
-@query("pass_probability", sql=f"{PREP} SELECT id, reussite, true AS in_range FROM feat WHERE NOT ({_TRAIN})")
+@query("pass_probability")
 def pass_probability_q(spark, sf_dir):
-    """Pass probability (x100) of a balanced forest for every test student, within 0 and 100."""
+    """Pass probability (x100) by the best classifier for every test student."""
     test = frame(spark, sf_dir).where("is_test")
-    out = SC.pass_probability(fitted(spark, sf_dir, "rf_clf").model, test)
-    return out.select("id", K.TARGET_CLF, F.col("proba_reussite").between(0, 100).alias("in_range"))
+    return SC.pass_probability(best_model(spark, sf_dir, "classification").model, test).select("id", K.TARGET_CLF, "proba_reussite")
 
 
-@query("what_if_models", sql=f"{PREP} SELECT id, scenario, true AS band_fits, true AS risk_fits "
-                             "FROM feat, (VALUES ('sleep_8h'), ('no_games')) AS s(scenario)")
+@query("what_if_models")
 def what_if_models(spark, sf_dir):
-    """M18 (P5, X13, X20): per student, 'sleep 8 h' and 'no games' scenarios scored by fitted models; band
-    and risk flag fit the predicted grade and probability."""
+    """M18 (P5, X13, X20): per student, 'sleep 8 h' and 'no games' scenarios scored by the best models."""
     fr = frame(spark, sf_dir)
     none = F.lit(None).cast("double")
     scen = fr.select("id", F.explode(F.array(
@@ -207,13 +193,10 @@ def what_if_models(spark, sf_dir):
                  none.alias("heures_jeux_video")),
         F.struct(F.lit("no_games").alias("scenario"), none.alias("heures_sommeil"),
                  F.lit(0.0).alias("heures_jeux_video")))).alias("s")).select("id", "s.*")
-    reg, clf = fitted(spark, sf_dir, "gbt_reg"), fitted(spark, sf_dir, "rf_clf")
+    reg, clf = best_model(spark, sf_dir, "regression"), best_model(spark, sf_dir, "classification")
     feats = list(reg.feature_cols[0]) + list(reg.feature_cols[1])
     out = SC.what_if_predict(fr, scen, reg.model, clf.model, feature_cols=feats)
-    note, proba = F.col("note_predite"), F.col("proba_reussite")
-    band = F.when(note >= 14, "green").when(note >= 10, "orange").when(note.isNotNull(), "red")
-    return out.select("id", "scenario", F.col("band").eqNullSafe(band).alias("band_fits"),
-                      F.col("at_risk").cast("boolean").eqNullSafe((proba < 60) | (note < 10)).alias("risk_fits"))
+    return out.select("id", "scenario", "note_predite", "proba_reussite", "band", "at_risk")
 
 
 _DEF_NUM = ["interet_maths", "heures_jeux_video", "heures_reseaux_sociaux", "heures_streaming",
@@ -236,41 +219,38 @@ def numeric_defaults_q(spark, sf_dir):
     return SC.numeric_defaults(fr, num + cat)
 
 
-def _shap(spark, sf_dir, how):
-    res = fitted(spark, sf_dir, "gbt_reg")
+def _shap(spark, sf_dir, how, **kw):
+    """``how`` of the best regressor, the test students, the training students and the model's inputs."""
+    res = best_model(spark, sf_dir, "regression")
     fr = frame(spark, sf_dir)
     feats = list(res.feature_cols[0]) + list(res.feature_cols[1])
-    return how(res.model, fr.where("is_test"), fr.where("not is_test"), feats)
-
-
-def _impact_sql(cond: str) -> str:
-    return " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, {sql_str(K.TRANSLATIONS.get(c, c))} AS label, true AS known "
-        f"WHERE EXISTS (SELECT 1 FROM feat WHERE {cond})" for c in _SLOT_NUM + _SLOT_TXT)
-
+    return how(res.model, fr.where("is_test"), fr.where("not is_test"), feats, **kw)
 
-def _known(impact):
-    return impact.select("feature", "label", (F.col("mean_abs_impact") >= 0).alias("known"))
 
-
-@query("shapley_impact", sql=f"{PREP} {_impact_sql(f'NOT ({_TRAIN})')}")
+@query("shapley_impact")
 def shapley_impact(spark, sf_dir):
     """Permutation-sampled Shapley importance over all test students, background rows drawn from all
-    training students; every model input has one."""
-    return _known(_shap(spark, sf_dir, E.feature_impact))
+    training students."""
+    return _shap(spark, sf_dir, E.feature_impact)
 
 
-@query("shapley_failing", sql=f"{PREP} {_impact_sql(f'NOT ({_TRAIN}) AND note_moyenne < 10')}")
+@query("shapley_failing")
 def shapley_failing(spark, sf_dir):
     """The same over the failing test students only (no row when none fail)."""
-    return _known(_shap(spark, sf_dir, E.failure_impact))
+    return _shap(spark, sf_dir, E.failure_impact)
+
+
+@query("shapley_kernel")
+def shapley_kernel(spark, sf_dir):
+    """M21 by kernel-weighted regression over feature coalitions, all test students."""
+    return E.global_impact(_shap(spark, sf_dir, E.kernel_shapley, n_coalitions=128))
 
 
 @query("shapley_sum_rule", sql=f"{PREP} SELECT id, {len(_SLOT_NUM) + len(_SLOT_TXT)} AS n_features, true AS adds_up FROM feat WHERE NOT ({_TRAIN})")
 def shapley_sum_rule(spark, sf_dir):
     """M21 per row: a test student's contributions add up to its prediction less the mean prediction of the
     background rows it met, which lies within the range of all training predictions."""
-    res = fitted(spark, sf_dir, "gbt_reg")
+    res = best_model(spark, sf_dir, "regression")
     fr = frame(spark, sf_dir)
     spread = SC.predict(res.model, fr.where("not is_test"), "p").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).first()
     sums = _shap(spark, sf_dir, E.shapley_values).groupBy("id").agg(F.sum("phi").alias("s"), F.count("*").cast("int").alias("n_features"))
@@ -279,24 +259,43 @@ def shapley_sum_rule(spark, sf_dir):
     return own.join(sums, "id").select("id", "n_features", base.between(spread["lo"] - 1e-6, spread["hi"] + 1e-6).alias("adds_up"))
 
 
-_REPORT_LINES = ["# Student performance report", "## 1. Cohort", "## 2. Preprocessing and feature selection", "## 3. Models"]
+def _report(spark, sf_dir):
+    def make():
+        rows = metrics_rows(spark, sf_dir)
+        kept = [r["feature"] for r in _selection(spark, sf_dir).where("kept").orderBy("position").collect()]
+        impact = [(r["label"], r["mean_abs_impact"]) for r in _shap(spark, sf_dir, E.feature_impact).collect()]
+        scored = SC.pass_probability(best_model(spark, sf_dir, "classification").model, frame(spark, sf_dir).where("is_test"))
+        scored = SC.predict(best_model(spark, sf_dir, "regression").model, scored, "note_predite")
+        return rows, kept, choose_best(rows), impact, scored.where(X.at_risk("proba_reussite", "note_predite")).count()
+    rows, kept, best, impact, risk = _once(spark, sf_dir, "report", make=make)
+    return report_rows(frame(spark, sf_dir), rows, kept, best, grade_cols=COHORT_GRADES, impact=impact, n_at_risk=risk)
 
 
-@query("report_markdown", sql=f"""{PREP}, n AS (SELECT count(*) AS n, count(*) FILTER (WHERE note_moyenne >= 10) AS p FROM feat)
-SELECT text FROM (VALUES {', '.join(f"({sql_str(x)})" for x in _REPORT_LINES)}) AS t(text)
-UNION ALL SELECT 'Students analysed: **' || n || '**' FROM n
-UNION ALL SELECT '- Students at or above the threshold: ' || p FROM n
-UNION ALL SELECT '- Students below the threshold: ' || (n - p) FROM n""")
+_STATS = [("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")]
+_NUMBERS = [("students", "n"), ("mean", "m"), ("passed", "p"), ("failed", "n - p"), ("pass rate", "100.0 * p / n")]
+
+
+@query("report_cohort", sql=f"""{PREP}, c AS (SELECT count(*) AS n, avg(note_moyenne) AS m, count(*) FILTER (WHERE note_moyenne >= 10) AS p FROM feat)
+""" + " UNION ALL ".join(
+    [f"SELECT 'cohort' AS section, {i} AS position, '{k}' AS key, CAST({x} AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS note FROM c" for i, (k, x) in enumerate(_NUMBERS)]
+    + [f"SELECT 'subjects', {4 * j + i}, '{k}', CAST({f}({g}) AS DOUBLE), upper(substr('{g[5:]}', 1, 1)) || substr('{g[5:]}', 2) FROM feat"
+       for j, g in enumerate(COHORT_GRADES) for i, (k, f) in enumerate(_STATS)]), doubles=["value"])
+def report_cohort(spark, sf_dir):
+    """M23 (A12, A13): the report's rows on the cohort and its subjects."""
+    return cohort_rows(frame(spark, sf_dir), grade_cols=COHORT_GRADES)
+
+
+@query("report_rows")
+def report_rows_q(spark, sf_dir):
+    """All rows of the report: cohort, subjects, kept features, scores of all models, choice, impact, risk."""
+    return _report(spark, sf_dir)
+
+
+@query("report_markdown")
 def report_markdown(spark, sf_dir):
-    """The Markdown report (cohort, subjects, model tables, choice); its headings and counts, one row per line."""
-    rows = metrics_rows(spark, sf_dir)
-    best = choose_best(rows)
-    sel = selected_features(fitted(spark, sf_dir, "gbt_reg").model, frame(spark, sf_dir).limit(1))
-    kept = [r["feature"] for r in sel.where("kept").orderBy("position").collect()]
-    names = [K.FAMILY_NAMES.get(best.get(k), str(best.get(k))) for k in ("regression", "classification")]
-    text = build_report(frame(spark, sf_dir), rows, kept, " / ".join(names))
-    wanted = (*_REPORT_LINES, "Students analysed", "- Students at or above", "- Students below")
-    return spark.createDataFrame([(line,) for line in text.split("\n") if line.startswith(wanted)], "text string")
+    """The report's text, one row per line (undated)."""
+    text = report_text(_report(spark, sf_dir), date=datetime.date(2000, 1, 1))
+    return spark.createDataFrame([(i, line) for i, line in enumerate(text.rstrip().split("\n")[:-2])], "line int, text string")
 
 
 _CSV_COLS = ", ".join("CAST(interet_maths AS BIGINT) AS interet_maths" if c == "interet_maths" else c
@@ -319,11 +318,11 @@ _TEST_IDS = ("SELECT id FROM feat WHERE CAST(CAST(('0x' || substr(md5('42:' || C
        sql=f"{PREP}, t AS ({_TEST_IDS}) SELECT m.model, (SELECT count(*) FROM t) AS n, (SELECT count(*) FROM t) AS n_equal "
            "FROM (VALUES ('nn_reg'), ('svm_reg'), ('reg')) AS m(model)")
 def model_bundle_round_trip(spark, sf_dir):
-    """Save fitted models of three kinds and reload them; predictions must agree on the test rows."""
+    """Save tuned models of three kinds and reload them; predictions must agree on the test rows."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bundle_{uuid.uuid4().hex}"
     # Both pipelines mix Java stages (scaler, encoders, slicer) with a Python model stage.
-    models = {n: fitted(spark, sf_dir, f).model for n, f in (("nn_reg", "mlp_reg"), ("svm_reg", "svr"), ("reg", "gbt_reg"))}
-    num, cat = fitted(spark, sf_dir, "mlp_reg").feature_cols
+    models = {n: searched(spark, sf_dir, f).model for n, f in (("nn_reg", "mlp_reg"), ("svm_reg", "svr"), ("reg", "gbt_reg"))}
+    num, cat = searched(spark, sf_dir, "mlp_reg").feature_cols
     save_models(spark, path, models, {"feature_columns": list(num) + list(cat), "target": K.TARGET_REG})
     loaded = load_models(spark, path)
     test = frame(spark, sf_dir).where("is_test")

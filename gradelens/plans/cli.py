@@ -77,9 +77,8 @@ def run(spark, out: str, sf_dir: str | None = None, csv: str | None = None, targ
         risk = predict(reg.model, pass_probability(clf, t.test), "note_predite").where(X.at_risk("proba_reussite", "note_predite")).count()
     save_models(spark, f"{out}/models", bundle, {"feature_columns": feats, "target": target, "threshold": threshold, "metrics": t.metrics})
     kept = [r["feature"] for r in selected_features(reg.model, t.frame.limit(1)).where("kept").collect()]
-    chosen = [K.FAMILY_NAMES.get(t.best[k], t.best[k]) for k in ("regression", "classification") if k in t.best]
     ranks = [(r["label"], r["mean_abs_impact"]) for r in impact.orderBy(F.desc("mean_abs_impact"), "feature").limit(5).collect()]
-    text = build_report(df, t.metrics, kept, " / ".join(chosen), target, threshold, impact=ranks, n_at_risk=risk)
+    text = build_report(df, t.metrics, kept, t.best, target, threshold, impact=ranks, n_at_risk=risk)
     return write_report(spark, text, f"{out}/report")
 
 
