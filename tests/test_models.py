@@ -116,13 +116,14 @@ def test_subject_models_learn_observed_grades(spark):
 
 
 def test_tree_searches_equal_the_plain_cross_validation(spark, frame):
-    train = frame.where("not is_test")
+    # the forests draw their rows by partition: with one partition both ways draw the same
+    train = frame.where("not is_test").coalesce(1).sortWithinPartitions("id").cache()
     for search, family, label, grid in ((gbt_search, "gbt_reg", "note_moyenne", {"maxIter": [2, 4], "maxDepth": [2], "stepSize": [0.1]}),
                                         (rf_search, "rf_clf", "reussite", {"numTrees": [3], "maxDepth": [2, 3], "minSamplesSplit": [2]})):
         excl = [c for c in excluded_columns(frame) if c != label]
         a, b = search(train, label, excl, grid=grid), spark_search(train, label, family, excl, grid=grid)
         assert [c for c, _ in a.cv_scores] == [c for c, _ in b.cv_scores]
-        assert [s for _, s in a.cv_scores] == pytest.approx([s for _, s in b.cv_scores], abs=0.05)
+        assert [s for _, s in a.cv_scores] == pytest.approx([s for _, s in b.cv_scores], abs=0.01)
 
 
 def test_shapley_sum_rule_on_trees_with_a_large_background(spark, frame):
