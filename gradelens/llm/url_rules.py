@@ -2,40 +2,40 @@
 
 A url becomes a set of tokens: its host's suffixes, its path segments and its query
 keys.  Urls with a label (by default the verdict of a fixed rule that fits) are
-transactions of their tokens and their label; the frequent combinations are mined
-level by level, and rules ``tokens -> block`` or ``tokens -> allow`` are kept that reach
-the confidence and the support and that no rule on fewer tokens already gives as
-surely.  Rules match by an inverted index: each is posted under its rarest token, a
-url meets only the rules posted under its own tokens, and of these the ones whose
-other tokens it has too apply.  The surest rule decides, then the one of more
-support, then block; a url that no rule meets gets ``DEFAULT``.
+baskets of their tokens and their label.  Tokens that occur in exactly the same
+labelled urls are one item: what holds with one of them holds with each, so a long
+path or host costs one item and not a power of its length.  Spark's FP-growth mines the
+frequent sets of items and labels from whole baskets; rules ``items -> block`` or
+``items -> allow`` are kept that reach the confidence and the support and that no rule on
+fewer items already gives as surely.
+
+Rules match by an inverted index: each is posted under its rarest item, a
+url meets only the rules posted under its own items, and of these the ones whose
+other items it has too apply (an item is there if any of its tokens is).  The index also
+counts every kept rule anew over all labelled urls.  The surest rule decides, then the
+one of more support, then block; a url that no rule meets gets ``DEFAULT``.
 
 Only distinct urls are matched, so a url that a third of the rows share is matched
 once; the verdicts go back to the rows by an equi-join whose hot keys Spark may split.
-Fitting counts every candidate over all frequent tokens of all labelled urls.  Only
-combinations are grown that can end in a rule that is kept: every token must narrow
-the urls (else fewer tokens give the same), and a combination whose urls all have one
-label needs no more tokens.  So long paths and hosts, whose tokens come together,
-cost no more than short ones; tokens that come independently of one another still
-multiply.  The driver holds the frequent combinations of one length.
+The frequent sets stay in Spark.  Items that come independently of one another and are
+frequent in each other's company multiply, as in any frequent-set mining: their number
+is bounded by the support, not by the rows.
 
 Defined cases: a null url or one without ``://`` has empty host and path, no tokens
-and the default verdict; without labelled urls nothing is mined; repeated rows get
-equal verdicts; other columns are not read.
+and the default verdict; without labelled urls nothing is mined; a url of any length has all
+its tokens; equal confidence and support on both sides decide for block; repeated rows get
+equal verdicts; an empty table gives no rows; other columns are not read.
 """
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.fpm import FPGrowth
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradelens.session import cut_lineage
 
-from .textops import prepare
-
 #: (verdict, host, path); written ``host + path``.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 SUPPORT = 0.002
@@ -77,103 +77,70 @@ def tokens() -> Column:
     return F.when(F.size(labels) > 0, F.array_distinct(F.concat(suffixes, segments, keys))).otherwise(F.array().cast("array<string>"))
 
 
-def _counted(baskets: DataFrame, candidates: list[tuple[int, ...]]) -> dict[tuple[int, ...], Counter]:
-    """Urls of each label that hold a candidate (all of one length, sorted), from rows ``items, label, n``."""
-    tree: dict = {}
-    for i, c in enumerate(candidates):
-        at = tree
-        for x in c[:-1]:
-            at = at.setdefault(x, {})
-        at[c[-1]] = i
-    held = baskets.sparkSession.sparkContext.broadcast((tree, len(candidates[0])))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, size = held.value
-        found: Counter = Counter()
-
-        def walk(items: list[int], begin: int, at: dict, left: int, label: str, n: int) -> None:
-            for i in range(begin, len(items) - left + 1):
-                below = at.get(items[i])
-                if below is not None:
-                    if left == 1:
-                        found[below, label] += n
-                    else:
-                        walk(items, i + 1, below, left - 1, label, n)
-
-        for batch in batches:
-            for items, label, n in zip(*(c.to_pylist() for c in batch.columns)):
-                walk(items, 0, top, size, label, n)
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in keys], pa.int64()),
-                                          pa.array([x for _, x in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], ["i", "label", "n"])
-
-    out: dict[tuple[int, ...], Counter] = {}
-    for r in baskets.mapInArrow(run, "i long, label string, n long").groupBy("i", "label").agg(F.sum("n").alias("n")).collect():
-        out.setdefault(candidates[r["i"]], Counter())[r["label"]] = r["n"]
-    held.unpersist()
-    return out
+@dataclass
+class Mined:
+    """``rules``: items, verdict, confidence, support; ``items``: the item of every frequent token."""
+    rules: DataFrame
+    items: DataFrame
+
 
+def token_classes(said: DataFrame, least: int) -> DataFrame:
+    """``tok, item`` for the tokens of at least ``least`` rows (``row, tok``): tokens of exactly the same rows share an item.
 
-def _longer(kept: set[tuple[int, ...]]) -> list[tuple[int, ...]]:
-    """Combinations of one token more, all of whose parts of one token less are in ``kept``."""
-    heads: dict[tuple[int, ...], list[int]] = {}
-    for c in sorted(kept):
-        heads.setdefault(c[:-1], []).append(c[-1])
-    return [(*head, a, b) for head, last in heads.items() for i, a in enumerate(last) for b in last[i + 1:]
-            if all((*head[:k], *head[k + 1:], a, b) in kept for k in range(len(head)))]
+    A set of rows is known by its size and two exclusive ors of 64-bit hashes of its rows.
+    """
+    sets = said.groupBy("tok").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("a"), F.bit_xor(F.xxhash64("row", F.lit("b"))).alias("b"))
+    same = Window.partitionBy("n", "a", "b")              # tokens of one url at most
+    return sets.where(F.col("n") >= least).select("tok", F.min("tok").over(same).alias("item"))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """Rules ``tokens, verdict, confidence, support`` from rows ``toks, label``; none imply another as sure on fewer tokens."""
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> Mined:
+    """Rules from rows ``toks, label``; none implies another that is as sure on fewer items."""
+    spark = labelled.sparkSession
     n = labelled.count()
-    spark = prepare(labelled.sparkSession)
-    schema = "toks array<string>, verdict string, confidence double, support double"
-    if not n:
-        return spark.createDataFrame([], schema)
     least = max(2, int(support * n))
-    number = labelled.withColumn("row", F.monotonically_increasing_id())
-    number = cut_lineage(number)
-    common = number.select(F.explode("toks").alias("tok")).groupBy("tok").count().where(F.col("count") >= least)
-    names = sorted(r["tok"] for r in common.select("tok").collect())        # at most tokens of a url / support
-    if not names:
-        return spark.createDataFrame([], schema)
-    ids = spark.createDataFrame(list(enumerate(names)), "id int, tok string")
-    kept = number.select("row", "label", F.explode("toks").alias("tok")).join(F.broadcast(ids), "tok") \
-        .groupBy("row", "label").agg(F.sort_array(F.collect_set("id")).alias("items"))
-    baskets = cut_lineage(kept.groupBy("items", "label").agg(F.count("*").alias("n")))
-    found: list[tuple[list[str], str, float, float]] = []
-    total = {(): n}
-    candidates = [(i,) for i in range(len(names))]
-    while candidates:
-        grown, sizes = set(), {}
-        for c, by_label in _counted(baskets, candidates).items():
-            size = sum(by_label.values())
-            if max(by_label.values()) < least or (len(c) > 1 and any(total[c[:k] + c[k + 1:]] == size for k in range(len(c)))):
-                continue
-            found += [([names[i] for i in c], v, m / size, m / n) for v, m in by_label.items() if m >= least and m / size >= confidence]
-            if len(by_label) > 1:
-                grown.add(c)
-                sizes[c] = size
-        total = sizes
-        candidates = _longer(grown)
-    rules = cut_lineage(spark.createDataFrame(found, schema))
-    # a rule goes when dropping one or more of its tokens leaves a rule of the same verdict that is as sure
-    single = rules.select(F.explode("toks").alias("tok"), "toks", "verdict", "confidence")
-    shorter = rules.select(F.col("toks")[0].alias("tok"), F.col("toks").alias("less"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
-    beaten = single.join(shorter, "tok").where(
-        (F.col("v") == F.col("verdict")) & (F.col("c") >= F.col("confidence")) & (F.size("less") < F.size("toks"))
-        & (F.size(F.array_except("less", "toks")) == 0)).select("toks", "verdict").distinct()
-    return cut_lineage(rules.join(beaten, ["toks", "verdict"], "left_anti"))
-
-
-def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    rows = cut_lineage(labelled.withColumn("row", F.monotonically_increasing_id()))
+    said = rows.select("row", "label", F.explode(F.array_distinct("toks")).alias("tok"))
+    items = cut_lineage(token_classes(said, least))
+    baskets = cut_lineage(said.join(items, "tok").groupBy("row", "label").agg(F.collect_set("item").alias("items")))
+    if baskets.isEmpty():
+        return Mined(spark.createDataFrame([], "items array<string>, verdict string, confidence double, support double"), items)
+    whole = baskets.select(F.concat("items", F.array(F.concat(F.lit("="), F.col("label")))).alias("items"))
+    sets = cut_lineage(FPGrowth(itemsCol="items", minSupport=(least - 0.5) / baskets.count(), minConfidence=confidence).fit(whole).freqItemsets)
+    label = F.filter("items", lambda x: x.startswith("="))
+    rest = F.sort_array(F.filter("items", lambda x: ~x.startswith("=")))
+    sets = sets.select(rest.alias("items"), F.get(label, F.lit(0)).alias("label"), "freq").where(F.size("items") > 0)
+    alone = sets.where("label IS NULL").select("items", F.col("freq").alias("of"))
+    rules = sets.where("label IS NOT NULL").join(alone, "items").where(F.col("freq") >= confidence * F.col("of"))
+    rules = cut_lineage(rules.select("items", F.expr("substring(label, 2)").alias("verdict"), (F.col("freq") / F.col("of")).alias("confidence")))
+    # a rule goes when dropping one or more of its items leaves a rule of the same verdict that is as sure
+    single = rules.select(F.explode("items").alias("item"), "items", "verdict", "confidence")
+    shorter = rules.select(F.get("items", F.lit(0)).alias("item"), F.col("items").alias("less"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
+    beaten = single.join(shorter, "item").where(
+        (F.col("v") == F.col("verdict")) & (F.col("c") >= F.col("confidence")) & (F.size("less") < F.size("items"))
+        & (F.size(F.array_except("less", "items")) == 0)).select("items", "verdict").distinct()
+    kept = cut_lineage(rules.join(beaten, ["items", "verdict"], "left_anti").drop("confidence"))
+    met = meets(baskets.select("row", "label", "items"), kept)
+    counted = met.groupBy("need", "verdict").agg(F.count("*").alias("of"), F.count_if(F.col("label") == F.col("verdict")).alias("both"))
+    counted = counted.where((F.col("both") >= least) & (F.col("both") >= confidence * F.col("of")))
+    return Mined(cut_lineage(counted.select(F.col("need").alias("items"), "verdict", (F.col("both") / F.col("of")).alias("confidence"),
+                                            (F.col("both") / n).alias("support"))), items)
+
+
+def meets(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rows`` (with ``items``) and each rule that applies to them (its items as ``need``), by an inverted index of the rules."""
+    used = rows.select(F.explode("items").alias("item")).groupBy("item").count()
+    named = rules.withColumnRenamed("items", "need").select("*", F.explode("need").alias("item"))
+    other = [c for c in rules.columns if c != "items"]
+    posted = named.join(used, "item", "left").groupBy("need", *other).agg(F.min_by("item", F.struct(F.coalesce("count", F.lit(0)), "item")).alias("item"))
+    said = rows.withColumn("item", F.explode("items"))
+    return said.join(posted, "item").where(F.size(F.array_except("need", "items")) == 0).drop("item")
+
+
+def match(urls: DataFrame, mined: Mined) -> DataFrame:
     """``url, mined``: the verdict of the surest rule, for rows ``url, toks``."""
-    used = urls.select(F.explode("toks").alias("tok")).groupBy("tok").count()
-    posted = rules.withColumn("rid", F.xxhash64(F.concat_ws("\u0001", "toks"), "verdict")).select("*", F.explode("toks").alias("tok")) \
-        .join(used, "tok").groupBy("rid").agg(F.min_by("tok", F.struct("count", "tok")).alias("tok"), F.first("toks").alias("need"),
-                                              F.first("verdict").alias("verdict"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
-    met = urls.select("url", "toks", F.explode("toks").alias("tok")).join(posted, "tok").where(F.size(F.array_except("need", "toks")) == 0)
-    return met.groupBy("url").agg(F.max_by("verdict", F.struct("confidence", "support", "verdict")).alias("mined"))
+    known = urls.select("url", F.explode("toks").alias("tok")).join(mined.items, "tok").groupBy("url").agg(F.collect_set("item").alias("items"))
+    return meets(cut_lineage(known), mined.rules).groupBy("url").agg(F.max_by("verdict", F.struct("confidence", "support", "verdict")).alias("mined"))
 
 
 def judge(pages: DataFrame, labels: Column | None = None) -> DataFrame:
