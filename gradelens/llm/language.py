@@ -1,8 +1,9 @@
 """Language identification: script ranges, per-word scores, and Viterbi over the words.
 
 Characters are numbers in one array per slice of text.  A word is a run of
-letters; its script comes from fixed code point ranges, and only languages seen
-in that script are candidates for it.  A word's score for a language is the sum of
+letters; its script comes from fixed code point ranges, and only languages with a
+share of their letters in that script are candidates for it; for a script that no
+language uses all are.  A word's score for a language is the sum of
 the log probabilities of its letter triples (with the marks of its ends), learned
 as hashed counts from all labelled documents.  Viterbi with a penalty for every
 switch labels the words, so a text of several languages falls into spans; the
@@ -15,13 +16,13 @@ from the forward and backward scores at the block's ends.  It is exact.
 
 Learning is one pass that counts triples per task, adds them up in Spark and
 brings one table of ``languages x BUCKETS`` numbers to the driver; prediction is one
-pass without a shuffle.
+pass without a shuffle.  The table grows with the number of languages (128 KB each),
+not with the documents; with many of them a task takes its text in smaller slices.
 
-Defined cases: null text or text without a letter is ``und`` with score 0; letters
-of a script no language was seen in support none; without labelled rows all texts
-with letters are ``und``; ties go to the first language by name; only the
-``MAX_LANGUAGES`` languages of most documents are learned; repeated rows are
-predicted alike; other columns are not read.
+Defined cases: null text or text without a letter is ``und`` with score 0, any other
+gets a learned language; without labelled rows nothing is learned and all texts are ``und``;
+ties go to the first language by name; very long texts are read whole; an empty table gives
+no rows; repeated rows are predicted alike; other columns are not read.
 """
 from __future__ import annotations
 
@@ -36,10 +37,11 @@ from pyspark.sql import functions as F
 from .textops import prepare, text_slices
 
 BUCKETS = 1 << 15
-MAX_LANGUAGES = 200
 SWITCH = 12.0
 BLOCK = 32
 SLICE = 1 << 20
+#: Languages up to which a task's slices have ``SLICE`` bytes.
+FEW_LANGUAGES = 64
 #: A language is a candidate for a script that holds this share of its letters.
 SCRIPT_SHARE = 0.01
 
@@ -117,7 +119,8 @@ class LanguageModel:
         total = counts.sum(1, keepdims=True)
         self.log = np.ascontiguousarray(np.log((counts + 0.5) / (total + 0.5 * BUCKETS)).T.astype(np.float32))
         share = scripts / np.maximum(scripts.sum(1, keepdims=True), 1)
-        self.allowed = np.ascontiguousarray((share >= SCRIPT_SHARE).T)         # script x language
+        allowed = (share >= SCRIPT_SHARE).T                                    # script x language
+        self.allowed = np.ascontiguousarray(allowed | ~allowed.any(1, keepdims=True))
 
     def labels(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Viterbi labels of all words of several texts (``first``: each text's first word, and the end)."""
@@ -137,13 +140,12 @@ class LanguageModel:
         letters = np.diff(np.append(word, len(at)))
         scores = np.add.reduceat(self.log[bucket], word, axis=0)
         allowed = self.allowed[tables()[2][cps[at[word]]]]
-        known = allowed.any(1)
-        scores = np.where(allowed, scores, scores.min(1, keepdims=True) - 50) * known[:, None]
+        scores = np.where(allowed, scores, scores.min(1, keepdims=True) - 50)
         own = owner[word]
         starts = np.searchsorted(own, np.arange(n + 1))
         label = self.labels(scores, starts)
         weight = np.zeros((n, len(self.languages)))
-        np.add.at(weight, (own, label), letters * known)
+        np.add.at(weight, (own, label), letters)
         total = np.bincount(own, letters, n)
         best = weight.argmax(1)
         top = weight[np.arange(n), best]
@@ -159,7 +161,7 @@ class LanguageModel:
         word = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1))
         scores = np.add.reduceat(self.log[bucket], word, axis=0)
         allowed = self.allowed[tables()[2][cps[at[word]]]]
-        scores = np.where(allowed, scores, scores.min(1, keepdims=True) - 50) * allowed.any(1)[:, None]
+        scores = np.where(allowed, scores, scores.min(1, keepdims=True) - 50)
         label = self.labels(scores, np.array([0, len(word)]))
         last = np.append(word[1:], len(at)) - 1
         out: list[tuple[int, int, str]] = []
@@ -236,29 +238,37 @@ def fit(docs: DataFrame, usable: Column | None = None) -> LanguageModel:
     prepare(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.where(usable) if usable is not None else rows
-    common = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    languages = sorted(common)
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     if not languages:
         return LanguageModel([], np.zeros((0, BUCKETS)), np.zeros((0, N_SCRIPTS)))
     number = {x: i for i, x in enumerate(languages)}
     width = BUCKETS + N_SCRIPTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages), width), np.int64)
+        counts: dict[int, np.ndarray] = {}                                     # languages that the task has met
         for batch in batches:
             lang = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
             for i, j, off, data in text_slices(batch, most=SLICE):
                 raw = data.tobytes()
                 cps, first = code_points(raw, off)
                 at, bucket = triples(cps, first)
-                of = lang[i:j][np.searchsorted(first, at, "right") - 1]
-                counts += np.bincount(of * width + bucket, minlength=counts.size).reshape(counts.shape)
-                counts += np.bincount(of * width + BUCKETS + tables()[2][cps[at]], minlength=counts.size).reshape(counts.shape)
-        for k in range(len(languages)):
-            used = np.flatnonzero(counts[k])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k), pa.int32()), pa.array(used, pa.int32()), pa.array(counts[k][used])], ["lang", "bucket", "n"])
-
-    learn = rows.where(F.col("lang").isin(languages)).select("lang", F.col("text").cast("binary").alias("text"))
+                met, of = np.unique(lang[i:j], return_inverse=True)
+                of = of[np.searchsorted(first, at, "right") - 1]
+                found = np.bincount(of * width + bucket, minlength=len(met) * width)
+                found += np.bincount(of * width + BUCKETS + tables()[2][cps[at]], minlength=len(met) * width)
+                for k, row in zip(met.tolist(), found.reshape(len(met), width)):
+                    counts[k] = counts[k] + row if k in counts else row
+            if len(counts) > FEW_LANGUAGES:                                    # a task holds the counts of some languages
+                yield from sent(counts)
+                counts = {}
+        yield from sent(counts)
+
+    def sent(counts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for k, row in counts.items():
+            used = np.flatnonzero(row)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k), pa.int32()), pa.array(used, pa.int32()), pa.array(row[used])], ["lang", "bucket", "n"])
+
+    learn = rows.select("lang", F.col("text").cast("binary").alias("text"))
     summed = learn.mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(languages), width))
     counts[summed["lang"], summed["bucket"]] = summed["n"]
@@ -268,10 +278,11 @@ def fit(docs: DataFrame, usable: Column | None = None) -> LanguageModel:
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Per row: ``doc_id, lang_pred, score``."""
     held = prepare(docs.sparkSession).sparkContext.broadcast(model)      # languages x BUCKETS numbers
+    most = SLICE * FEW_LANGUAGES // max(FEW_LANGUAGES, len(model.languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, off, data in text_slices(batch, most=SLICE):
+            for i, j, off, data in text_slices(batch, most=most):
                 lang, score = zip(*held.value.predict(data.tobytes(), off))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 

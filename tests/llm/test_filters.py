@@ -82,35 +82,70 @@ def test_url_parts_and_fixed_rules(spark):
     assert url_rules.judge(_pages(spark, []).where("false")).count() == 0
 
 
-def test_mined_rules_equal_brute_force(spark):
+def _brute_rules(labelled, support, confidence):
+    """All rules on at most one token of each class that no rule on fewer tokens beats: ``{(tokens, verdict): (confidence, support)}``."""
+    n, least = len(labelled), max(2, int(support * len(labelled)))
+    where = {}
+    for i, (toks, _) in enumerate(labelled):
+        for t in toks:
+            where.setdefault(t, set()).add(i)
+    classes = {}
+    for t, rows in where.items():
+        if len(rows) >= least:
+            classes.setdefault(frozenset(rows), []).append(t)
+    found, level = {}, [((), frozenset(range(n)))]
+    order = sorted(classes, key=lambda c: min(classes[c]))
+    while level:
+        longer = []
+        for chosen, rows in level:
+            for k in range(chosen[-1] + 1 if chosen else 0, len(order)):
+                both = rows & order[k]
+                if len(both) >= least:
+                    longer.append(((*chosen, k), both))
+        for chosen, rows in longer:
+            for v in {v for _, v in labelled}:
+                m = sum(labelled[i][1] == v for i in rows)
+                if m >= least and m / len(rows) >= confidence:
+                    found[frozenset(chosen), v] = (m / len(rows), m / n)
+        level = longer
+    return {(frozenset(min(classes[order[k]]) for k in chosen), v): x for (chosen, v), x in found.items()
+            if not any(less < chosen and w == v and c >= x[0] for (less, w), (c, _) in found.items())}, {t: min(c) for c in classes.values() for t in c}
+
+
+def _rules_of(mined):
+    return {(frozenset(r["items"]), r["verdict"]): (r["confidence"], r["support"]) for r in mined.rules.collect()}
+
+
+@pytest.mark.parametrize("support,confidence", [(0.05, 0.8), (0.02, 0.6)])
+def test_mined_rules_equal_brute_force(spark, support, confidence):
     rng = random.Random(5)
     urls = [f"http://{rng.choice(['m', 'www'])}.{rng.choice(['a', 'b', 'ads'])}.example.{rng.choice(['net', 'org', 'com'])}/{rng.choice(['en', 'de', 'fr'])}/{rng.randrange(9)}?{rng.choice(['ref', 'page'])}=1" for _ in range(400)]
     urls += urls[:100]
     parsed = url_rules.parse(_pages(spark, urls).select("page_id", "url")).withColumn("r", url_rules.fixed_rule()).withColumn("toks", url_rules.tokens())
     labelled = [(frozenset(r["toks"]), r["r"]["verdict"]) for r in parsed.where("r is not null").select("url", "toks", "r").distinct().collect()]
-    rules = url_rules.mine(spark.createDataFrame([(sorted(t), v) for t, v in labelled], "toks array<string>, label string"), 0.05, 0.8)
-    mined = {(frozenset(r["toks"]), r["verdict"]): (r["confidence"], r["support"]) for r in rules.collect()}
-    assert mined
-    for (toks, verdict), (conf, sup) in mined.items():
-        both = sum(toks <= t and v == verdict for t, v in labelled)
-        assert abs(conf - both / sum(toks <= t for t, _ in labelled)) < 1e-9 and abs(sup - both / len(labelled)) < 1e-9 and conf >= 0.8
-        assert not any(less < toks and v == verdict and c >= conf for (less, v), (c, _) in mined.items())
+    mined = url_rules.mine(spark.createDataFrame([(sorted(t), v) for t, v in labelled], "toks array<string>, label string"), support, confidence)
+    got, (want, items) = _rules_of(mined), _brute_rules(labelled, support, confidence)
+    assert got.keys() == want.keys() and got                       # none lost, none too many
+    assert all(got[k] == pytest.approx(want[k]) for k in got)
+    assert {r["tok"]: r["item"] for r in mined.items.collect()} == items
     open_ = parsed.where("r is null").select("url", "toks").distinct()
-    got = {r["url"]: r["mined"] for r in url_rules.match(open_, rules).collect()}
+    verdicts = {r["url"]: r["mined"] for r in url_rules.match(open_, mined).collect()}
     for r in open_.collect():
-        fit = [(c, s, v) for (toks, v), (c, s) in mined.items() if toks <= set(r["toks"])]
-        assert got.get(r["url"]) == (max(fit)[2] if fit else None)
+        held = {items[t] for t in r["toks"] if t in items}
+        fit = [(c, s, v) for (need, v), (c, s) in got.items() if need <= held]
+        assert verdicts.get(r["url"]) == (max(fit)[2] if fit else None)
 
 
 def test_rules_on_urls_of_many_tokens(spark):
-    deep = [f"p:{i}" for i in range(25)]
+    deep = [f"p:{i:02d}" for i in range(25)]
     rows = [(deep + ["q:bad"], "block")] * 20 + [(deep + ["q:good"], "allow")] * 20 + [(deep, "allow")] * 60 + [(deep[:9] + ["q:bad", "p:x"], "allow")] * 2
-    rules = url_rules.mine(spark.createDataFrame(rows, "toks array<string>, label string"), 0.05, 0.8)
-    mined = {(frozenset(r["toks"]), r["verdict"]): (r["confidence"], r["support"]) for r in rules.collect()}
-    assert mined[frozenset(["q:bad"]), "block"] == (20 / 22, 20 / 102) and mined[frozenset(["q:good"]), "allow"] == (1.0, 20 / 102)
-    assert {t for t, v in mined if v == "block"} == {frozenset(["q:bad"]), *(frozenset(["q:bad", x]) for x in deep[9:])}
-    urls = spark.createDataFrame([("u", deep + ["q:bad"])], "url string, toks array<string>")
-    assert [r["mined"] for r in url_rules.match(urls, rules).collect()] == ["block"]
+    mined = url_rules.mine(spark.createDataFrame(rows, "toks array<string>, label string"), 0.05, 0.8)
+    rules, items = _rules_of(mined), {r["tok"]: r["item"] for r in mined.items.collect()}
+    assert rules[frozenset(["q:bad"]), "block"] == (20 / 22, 20 / 102) and rules[frozenset(["q:good"]), "allow"] == (1.0, 20 / 102)
+    assert {items[t] for t in deep[:9]} == {deep[0]} and {items[t] for t in deep[9:]} == {deep[9]}
+    assert {t for t, v in rules if v == "block"} == {frozenset(["q:bad"]), frozenset(["q:bad", deep[9]])}
+    urls = spark.createDataFrame([("u", deep + ["q:bad"]), ("v", ["q:bad", deep[20]]), ("w", ["p:none"])], "url string, toks array<string>")
+    assert {r["url"]: r["mined"] for r in url_rules.match(urls, mined).collect()} == {"u": "block", "v": "block"}
 
 
 def test_viterbi_is_exact():
@@ -144,11 +179,24 @@ def test_languages_scripts_and_spans(make, spark):
     spans = model.spans(mixed)
     assert [k for _, _, k in spans] == ["aa", "bb", "cc"] and mixed[spans[2][0]:spans[2][1]] == _tongue(3, "абвгде", 20)
     odd = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(make(ODD + ["中文", mixed]), model).collect()}
-    assert all(odd[i] == ("und", 0.0) for i in (0, 1, 2, 3, len(ODD))) and odd[len(ODD) + 1][0] == "bb"
+    assert all(odd[i] == ("und", 0.0) for i in (0, 1, 2, 3)) and odd[len(ODD) + 1][0] == "bb"
+    assert odd[len(ODD)][0] in model.languages                  # letters of a script that no language uses
+    assert all(k in model.languages for _, (k, _) in odd.items() if k != "und")
     empty = language.fit(make([]))
     assert empty.languages == [] and {r["lang_pred"] for r in language.predict(make(ODD), empty).collect()} == {"und"}
 
 
+def test_many_languages_are_all_learned(spark, monkeypatch):
+    """Letters of their own for every language: each must be learned, however many there are."""
+    monkeypatch.setattr(language, "FEW_LANGUAGES", 8)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 250 * 3)]
+    rows = [(i, " ".join("".join(random.Random(i + 1000 * k).choices(letters[3 * i:3 * i + 3], k=6)) for k in range(8)), f"l{i:03d}") for i in range(250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language.fit(docs)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, model).collect()}
+    assert len(model.languages) == 250 and all(got[i] == lang for i, _, lang in rows)
+
+
 BAD = ["vilefool", "grossnit", "dumbclod"]
 
 
