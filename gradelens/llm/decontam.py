@@ -99,15 +99,19 @@ def _shards(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> list
 
 def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: str = "text", item_col: str = "item_id",
          item_text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The documents with a struct ``_hit``: word count, hit words, items with hits, and byte spans of hit words."""
+    """The documents with a struct ``_hit`` (see ``_named``): word count, hit words, items with hits."""
     spark = prepare(docs.sparkSession)
-    out = docs
-    names = []
-    for k, shard in enumerate(_shards(benchmark, item_col, item_text, shard_bytes)):
-        held = spark.sparkContext.broadcast(shard)
-        out = out.withColumn(f"_hit{k}", _scan(held, n)(F.col(text_col).cast("binary")))
-        names.append(F.col(f"_hit{k}"))
-    return out.withColumn("_hit", names[0] if len(names) == 1 else _merge(names)).drop(*[f"_hit{k}" for k in range(len(names))])
+    text = F.col(text_col).cast("binary")
+    found = [_scan(spark.sparkContext.broadcast(shard), n)(text) for shard in _shards(benchmark, item_col, item_text, shard_bytes)]
+    return docs.withColumn(_named(docs), found[0] if len(found) == 1 else _merge(found))
+
+
+def _named(docs: DataFrame) -> str:
+    """The name of the struct that ``find`` adds: ``_hit``, longer if the documents have a column of that name."""
+    name, taken = "_hit", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 _HIT = "struct<n_words: bigint, hit: array<int>, items: array<string>>"
@@ -162,17 +166,18 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
 
 def remove(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, spans: bool = False, most: float = 0.0) -> DataFrame:
     """Drop documents with hits, or with ``spans`` cut the hit words out and drop documents that lose over ``most`` of their words."""
-    hit = find(docs, benchmark, n)
+    hit, name = find(docs, benchmark, n), _named(docs)
+    at, n_words = F.col(f"{name}.hit"), F.col(f"{name}.n_words")
     if not spans:
-        return hit.where(F.size("_hit.hit") <= most * F.col("_hit.n_words")).drop("_hit")
+        return hit.where(F.size(at) <= most * n_words).drop(name)
 
     @F.pandas_udf("string")
     def cut(text, at):
         return pd.Series([None if t is None else cut_words(t, a) for t, a in zip(text, at)], dtype=object)
 
-    kept = hit.where((F.size("_hit.hit") == 0) | (F.size("_hit.hit") <= most * F.col("_hit.n_words")))
-    text = F.when(F.size("_hit.hit") > 0, cut(F.col("text"), F.col("_hit.hit"))).otherwise(F.col("text"))
-    return kept.withColumn("text", text).drop("_hit")
+    kept = hit.where((F.size(at) == 0) | (F.size(at) <= most * n_words))
+    text = F.when(F.size(at) > 0, cut(F.col("text"), at)).otherwise(F.col("text"))
+    return kept.withColumn("text", text).drop(name)
 
 
 def cut_words(text: str, at) -> str:
