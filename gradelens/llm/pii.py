@@ -2,15 +2,21 @@
 
 Base spans follow fixed patterns with checks (address parts, digit counts, Luhn);
 they are scanned in linear time.  The network is trained on labelled spans: the base
-spans of a bounded sample of documents (about ``SAMPLE`` of them, chosen by hash; at most
-``SAMPLE_WINDOWS`` windows of ``WINDOW`` characters around their digits and ``@``).  Whole texts are tagged in
+spans of a bounded sample of documents (about ``SAMPLE`` of them, chosen by hash) in
+``SAMPLE_WINDOWS`` windows of ``WINDOW`` characters around their digits and ``@``, chosen by
+hash over all windows of the sample, half of them in equal shares from those that hold
+each kind.  Whole texts are tagged in
 overlapping windows; a character's scores are the mean over the windows that hold
 it, and one Viterbi pass over each covered stretch reconciles them.  A span without
 a digit or ``@`` is never kept, so windows without either are not run.  A tagged
-span is added when it touches no base span and has enough characters.
+span loses the blanks at its ends and what base spans hold of it; each part that is left
+is added when it has enough characters.
 
 Defined cases: null and empty texts have no spans; a sample without any base span
-adds nothing; repeated rows have equal spans; only the id and the text are read.
+adds nothing; of spans of one kind that begin together the longer is listed last; a very long
+text is tagged whole, its digit-rich stretches take some 100 bytes a character; an empty
+table gives no rows; repeated rows have equal spans; ``report`` reads only the id and the
+text, ``mask`` changes only the text, whatever the other columns are called.
 """
 from __future__ import annotations
 
@@ -103,21 +109,56 @@ def _windows(codes: np.ndarray, starts: list[int]) -> np.ndarray:
     return padded[np.array(starts, np.int64)[:, None] + np.arange(WINDOW)]
 
 
+def _chosen(places: list[tuple[int, int]], tagged: list[np.ndarray], texts: list[str], most: int = SAMPLE_WINDOWS) -> list[tuple[int, int]]:
+    """Training windows in hash order: equal shares of each kind's for half of them, then any."""
+    seed = [zlib.crc32(t.encode("utf-8", "replace")) for t in texts]
+    order = sorted(places, key=lambda p: (zlib.crc32(b"%d:%d" % (seed[p[0]], p[1])), p))
+    taken: dict[tuple[int, int], None] = {}
+    for kind in range(1, len(KINDS) + 1):
+        holding = [p for p in order if (tagged[p[0]][p[1]:p[1] + WINDOW] == kind).any()]
+        taken |= dict.fromkeys(holding[:most // (2 * len(KINDS))])
+    for p in order:
+        if len(taken) >= most:
+            break
+        taken.setdefault(p)
+    return [p for p in order if p in taken]
+
+
+def outside(span: tuple[str, int, int], known: list[tuple[str, int, int]], text: str) -> list[tuple[str, int, int]]:
+    """The parts of ``span`` that no known span holds, without blanks at their ends, that are long enough for its kind."""
+    kind, a, b = span
+    parts, at = [], a
+    for _, s, e in sorted(known, key=lambda x: x[1]):
+        if s < b and e > at:
+            parts.append((at, s))
+            at = e
+    parts.append((at, b))
+    out = []
+    for s, e in parts:
+        piece = text[s:e]
+        s, e = s + len(piece) - len(piece.lstrip()), e - (len(piece) - len(piece.rstrip()))
+        piece = text[s:e] if s < e else ""
+        size = len(piece) if kind == "email" else sum(c.isdigit() for c in piece)
+        if size >= LEAST[kind] and (kind != "email" or "@" in piece):
+            out.append((kind, s, e))
+    return out
+
+
 class PiiModel:
     """The trained network, or none when the sample held no base span."""
 
     def __init__(self, texts: list[str]):
-        xs, ys = [], []
-        for text in texts:
-            tags = np.zeros(len(text) + WINDOW, np.int64)
+        tagged, places = [], []
+        for d, text in enumerate(texts):
+            tags = np.zeros(len(text) + WINDOW, np.int8)
             for kind, a, b in reversed(base_spans(text)):
                 tags[a:b] = KINDS.index(kind) + 1
-            starts = starts_of(text)
-            if starts:
-                xs.append(_windows(classes_of(text), starts))
-                ys.append(tags[np.array(starts)[:, None] + np.arange(WINDOW)])
-            if sum(map(len, xs)) >= SAMPLE_WINDOWS:
-                break
+            tagged.append(tags)
+            places += [(d, s) for s in starts_of(text)]
+        xs, ys = [], []
+        for d, s in _chosen(places, tagged, texts):
+            xs.append(_windows(classes_of(texts[d][s:s + WINDOW]), [0]))
+            ys.append(tagged[d][None, s:s + WINDOW].astype(np.int64))
         self.net = None
         if ys and np.concatenate(ys).any():
             self.net = BiLstmCrf(_CLASSES + 1, len(KINDS) + 1)
@@ -128,11 +169,11 @@ class PiiModel:
         base = [base_spans(t) for t in texts]
         added = self._tagged(texts) if self.net is not None else [[] for _ in texts]
         out = []
-        for known, more in zip(base, added):
-            for kind, a, b in more:
-                if not any(a < e and s < b for _, s, e in known):
-                    known = [*known, (kind, a, b)]
-            out.append(sorted(known, key=lambda x: (KINDS.index(x[0]), x[1])))
+        for text, known, more in zip(texts, base, added):
+            for span in more:
+                near = [k for k in known if k[1] < span[2] and k[2] > span[1]]
+                known = [*known, *outside(span, near, text)]
+            out.append(sorted(known, key=lambda x: (KINDS.index(x[0]), x[1], x[2])))
         return out
 
     def _tagged(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
@@ -167,21 +208,15 @@ class PiiModel:
             for row, s in zip(padded, part):
                 row[:len(s[2])] = s[2]
             for (d, begin, _), tags, n in zip(part, self.net.decode(padded, lengths), lengths):
-                out[d] += _runs(texts[d], begin, tags[:n])
+                out[d] += _runs(begin, tags[:n])
             i = j
         return out
 
 
-def _runs(text: str, begin: int, tags: np.ndarray) -> list[tuple[str, int, int]]:
+def _runs(begin: int, tags: np.ndarray) -> list[tuple[str, int, int]]:
+    """The runs of one kind among the tags."""
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(tags)) + 1, [len(tags)]])
-    out = []
-    for a, b in zip(cuts, cuts[1:]):
-        if tags[a]:
-            kind, s = KINDS[tags[a] - 1], text[begin + a:begin + b]
-            size = len(s) if kind == "email" else sum(c.isdigit() for c in s)
-            if size >= LEAST[kind] and (kind != "email" or "@" in s) and s == s.strip():
-                out.append((kind, int(begin + a), int(begin + b)))
-    return out
+    return [(KINDS[tags[a] - 1], int(begin + a), int(begin + b)) for a, b in zip(cuts, cuts[1:]) if tags[a]]
 
 
 def fit(docs: DataFrame) -> PiiModel:

@@ -341,3 +341,40 @@ def test_network_learns_the_labelled_spans_and_masks(make):
 
 def test_masking_joins_overlapping_spans():
     assert pii.masked("call +1 555 now", [("phone", 5, 11), ("card", 6, 11)]) == "call [PHONE] now"
+
+
+def test_tagged_spans_are_trimmed_to_what_is_new():
+    text = "call  +1 555 010 9999  or 192.168.10.1234567890 x"
+    assert pii.outside(("phone", 4, 23), [], text) == [("phone", 6, 21)]                       # blanks at the ends
+    assert pii.outside(("phone", 6, 30), [("phone", 6, 21)], text) == []                       # what is left is too short
+    assert pii.outside(("phone", 0, len(text)), [("phone", 6, 21)], text) == [("phone", 23, len(text))]
+    assert pii.outside(("card", 0, 5), [], text) == [] and pii.outside(("email", 0, 0), [], text) == []
+    both = pii.outside(("phone", 0, 30), [("x", 10, 15)], "0123456789     0123456789abcde")
+    assert both == [("phone", 0, 10), ("phone", 15, 30)]
+
+
+def test_training_windows_hold_every_kind():
+    plenty = ["reach me at someone@example.com or " + "1 2 3 4 " * 300 for _ in range(40)]
+    rare = ["my card 4111 1111 1111 1111 is", "server 10.0.0.1 here", "ring +44 20 7946 0958 now"]
+    texts = plenty + rare
+    tagged = []
+    for t in texts:
+        tags = np.zeros(len(t) + pii.WINDOW, np.int8)
+        for kind, a, b in pii.base_spans(t):
+            tags[a:b] = pii.KINDS.index(kind) + 1
+        tagged.append(tags)
+    places = [(d, s) for d, t in enumerate(texts) for s in pii.starts_of(t)]
+    got = pii._chosen(places, tagged, texts, most=200)
+    assert len(got) == len(set(got)) == 200 < len(places)
+    assert {int(k) for d, s in got for k in tagged[d][s:s + pii.WINDOW]} == {0, 1, 2, 3, 4}
+    assert pii._chosen(places, tagged, texts, most=10 ** 6) and set(pii._chosen(places, tagged, texts, most=10 ** 6)) == set(places)
+
+
+def test_benchmark_columns_of_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a clean text", 5, 6, 7), (2, " ".join(f"w{i}" for i in range(12)), 8, 9, 10)], "doc_id long, text string, _hit0 int, _hit int, _HIT_ int")
+    items = _benchmark(spark, [(1, " ".join(f"w{i}" for i in range(10)))])
+    for spans in (False, True):
+        got = decontam.remove(docs, items, spans=spans)
+        assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [tuple(docs.first())]
+    many = decontam.find(docs, items.unionByName(_benchmark(spark, [(2, "other words here")])), shard_bytes=5)
+    assert many.columns[:-1] == docs.columns and many.where("doc_id = 2").first()[-1]["items"] == ["1"]
