@@ -59,6 +59,62 @@ def test_blocks_lose_no_link(make, monkeypatch):
     assert got == _brute_classes(texts)
 
 
+def test_signatures_that_match_share_a_prefix():
+    rng = np.random.default_rng(3)
+    for matches in (84, 92, 128):
+        for _ in range(200):
+            a = rng.integers(0, 2**32, near_dup.COORDS, dtype=np.uint32)
+            b = a.copy()
+            off = rng.permutation(near_dup.COORDS)[matches:]
+            b[off] = rng.integers(0, 2**32, len(off), dtype=np.uint32)
+            counts = rng.choice(np.array([0, 1, 5, 2**32 - 1], np.uint32), near_dup.SLOTS)      # any counts, many ties
+            x, y = (near_dup.prefixes(t[None, :], counts, matches)[0] for t in (a, b))
+            assert len(x) == near_dup.COORDS - matches + 1 and set(x.tolist()) & set(y.tolist())
+
+
+def test_a_common_passage_stays_out_of_the_prefixes(make, spark):
+    passage = long_text(80, 1)
+    docs = make([f"{long_text(80, 100 + i)} {passage}" for i in range(200)])
+    texts = near_dup._signed(docs.select("doc_id", "text", F.lit(0).cast("long").alias("rk")).withColumn("text", F.col("text").cast("binary")), 5)
+    lists = near_dup._posted(texts, 92).groupBy("key").count()
+    assert lists.agg(F.sum("count")).first()[0] == 200 * 37 and lists.agg(F.max("count")).first()[0] < 100
+    sig = near_dup._unpacked(texts.select("sig").toArrow().column("sig").combine_chunks())
+    assert max(np.unique(sig[:, c], return_counts=True)[1].max() for c in range(near_dup.COORDS)) > 150
+
+
+def _at_similarity(rng, percent, size=200):
+    """Two texts of ``size`` words whose shingle sets have at least, and nearly, that similarity."""
+    a = [f"w{rng.randrange(10**9)}" for _ in range(size)]
+    tail = 1                                            # words of the end that differ: shingles lost are as many
+    while 100 * (size - 4 - tail - 1) >= percent * (size - 4 + tail + 1):
+        tail += 1
+    return " ".join(a), " ".join(a[:-tail] + [f"z{rng.randrange(10**9)}" for _ in range(tail)])
+
+
+def test_recall_by_similarity(make):
+    rng = random.Random(11)
+    texts, bands = [], []
+    for percent in (85, 87, 90, 95):
+        for _ in range(120):
+            texts += _at_similarity(rng, percent)
+            bands.append(percent)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.classes(make(texts), 85).collect()}
+    missed = [band for i, band in enumerate(bands) if got[2 * i + 1] != 2 * i]
+    assert not missed and all(got[2 * i] == 2 * i for i in range(len(bands)))
+
+
+def test_hot_template_in_parts(make, monkeypatch):
+    """Two templates' variants, and chains of texts each like the one before: lists and families of many blocks."""
+    monkeypatch.setattr(near_dup, "LIST_BLOCK", 16)
+    monkeypatch.setattr(near_dup, "FAMILY_BLOCK", 16)
+    words = long_text(400, 3).split()
+    chain = [" ".join(words[4 * i:4 * i + 100]) for i in range(70)]
+    texts = _variants(150, long_text(100, 4), 5) + _variants(150, long_text(100, 6), 7) + chain
+    random.Random(1).shuffle(texts)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dup.classes(make(texts)).collect())
+    assert got == _brute_classes(texts)
+
+
 def test_deduplicate_keeps_one_of_each_class_with_its_columns(make, spark):
     a, b = long_text(100, 1), long_text(100, 2)
     docs = make([(5, a), (3, a + " more"), (3, a + " more"), (9, b), (None, b), (7, None), (8, ""), (8, "")]).withColumn("root", F.lit("x"))
