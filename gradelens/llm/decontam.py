@@ -1,36 +1,45 @@
 """Benchmark decontamination: a broadcast hash set of test n-grams against every training window.
 
 Benchmark texts are normalised to words; every run of ``n`` words (or the whole
-item, when it is shorter) is a window.  Windows travel to the tasks as 64-bit
-hashes in a broadcast; a task hashes all word windows of its documents, looks
-them up, and verifies each hit against the window's words.  Nothing of the
-documents is shuffled.
+item, when it is shorter) is a window.  Spark tasks normalise the items and cut long
+ones into pieces that overlap by ``n - 1`` words, so that every window lies in one
+piece.  Pieces are dealt to shards of about ``SHARD_BYTES`` and the driver holds
+one shard at a time: it sorts the hashes of the shard's windows and broadcasts them
+with the pieces.  A task hashes all word windows of its documents, looks them up, and
+verifies each hit against the window's words.  Nothing of the documents is shuffled.
 
-The benchmark is given to the tasks in shards of at most ``SHARD_BYTES`` of
-text, so a broadcast has that bound however large the benchmark is; with one
-shard (the usual case) the documents are scanned once, with more each shard is
-one more scan and the hits are put together by row.
+With one shard (the usual case) the documents are scanned once.  With more, every
+shard scans them in tasks of its own, so no task holds two shards, and the texts with
+hits, which are few, are joined to the documents by two hashes of the text.
 
 Defined cases: null text and text without words have no windows; an item without
-words matches nothing; an empty benchmark hits nothing; repeated items are one
-item (by id), repeated documents are judged row by row; other columns of the
-documents pass through untouched, whatever they are called.
+words or without an id matches nothing; an empty benchmark hits nothing; repeated items
+are one item (by id), items that share a window are all found by it; repeated
+documents are judged row by row; an empty table of documents has no rows; a very long
+item is several pieces, a very long document is one text that its task holds whole;
+other columns of the documents pass through untouched, whatever they are called.
 """
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import ALNUM_WORDS, LOWER, Words, prepare, text_slices, window_hash
+from gradelens.session import cut_lineage
+
+from .textops import ALNUM_WORDS, LOWER, SLICE_BYTES, Words, prepare, text_slices, window_hash
 
 WINDOW = 10
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
+#: Words of a piece of a long item.
+PIECE = 4096
 
 _TO_WORDS = bytes(LOWER[b] if ALNUM_WORDS[LOWER[b]] else 32 for b in range(256))
 
@@ -41,74 +50,111 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class WindowSet:
-    """Hashes of a benchmark shard's windows, by length, with their words and items."""
-
-    def __init__(self, items: list[tuple[str, bytes]], n: int):
-        found: dict[tuple[bytes, ...], set[str]] = {}
-        for item, text in items:
-            w = words_of(text)
-            for i in range(max(1, len(w) - n + 1) if w else 0):
-                found.setdefault(tuple(w[i:i + n]), set()).add(item)
-        self.words = list(found)
-        self.items = [sorted(found[w]) for w in self.words]
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        sizes = np.array([len(w) for w in self.words], np.int64)
-        for size in sorted(set(sizes.tolist())):
-            at = np.flatnonzero(sizes == size)
-            h = self._hash([self.words[i] for i in at], size)
-            order = np.argsort(h, kind="stable")
-            self.by_size[size] = (h[order], at[order])
-
-    @staticmethod
-    def _hash(windows: list[tuple[bytes, ...]], size: int) -> np.ndarray:
-        texts = [b" ".join(w) for w in windows]
-        off = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-        words = Words(off, np.frombuffer(b" ".join(texts) + b" ", np.uint8), ALNUM_WORDS, False)
-        return window_hash(words.hash, words.first[:-1], words.first[:-1] + size)
-
-    def hits(self, words: Words) -> list[tuple[int, int, int]]:
-        """``(word index, size, window)`` of every verified occurrence."""
-        out = []
-        for size, (hashes, at) in self.by_size.items():
+    """Sorted hashes of the windows of a shard's pieces, by length, with their words and items."""
+
+    def __init__(self, pieces: list[tuple[str, bytes]], n: int):
+        """``pieces``: items and their words, one blank between two."""
+        self.names = sorted({item for item, _ in pieces})
+        self.text = b" ".join([t for _, t in pieces] + [b""])
+        number = {item: i for i, item in enumerate(self.names)}
+        item_of = np.array([number[item] for item, _ in pieces], np.int32)
+        off = np.concatenate([[0], np.cumsum([len(t) + 1 for _, t in pieces])]).astype(np.int64)
+        rows, i = [], 0
+        while i < len(pieces):
+            j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE_BYTES, "right")) - 1)
+            rows.append(self._windows(off[i:j + 1], item_of[i:j], n))
+            i = j
+        hashes, size, start, end, item = (np.concatenate(x) for x in zip(*rows)) if rows else [np.zeros(0, np.int32)] * 5
+        #: window length: hashes, sorted, and of each the bytes it takes and the item
+        self.by_size: dict[int, tuple[np.ndarray, ...]] = {}
+        for s in np.unique(size).tolist():
+            at = np.flatnonzero(size == s)
+            at = at[np.lexsort((item[at], hashes[at]))]
+            self.by_size[s] = (hashes[at], start[at], end[at], item[at])
+
+    def _windows(self, off: np.ndarray, item_of: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+        """Hash, length, bytes and item of the windows of some consecutive pieces."""
+        base = int(off[0])
+        words = Words(off - base, np.frombuffer(self.text, np.uint8, int(off[-1]) - base, base), ALNUM_WORDS, False)
+        owner, at = words.owner(), np.arange(len(words.start))
+        left = words.first[1:][owner] - at
+        at = at[(left >= n) | (words.count[owner] < n) & (at == words.first[:-1][owner])]
+        size = np.minimum(left[at], n)
+        return (window_hash(words.hash, at, at + size), size.astype(np.int32), (words.start[at] + base).astype(np.int32),
+                (words.end[at + size - 1] + base).astype(np.int32), item_of[owner[at]])
+
+    def hits(self, words: Words) -> list[tuple[int, int, tuple[int, ...]]]:
+        """``(word index, size, items)`` of every verified occurrence."""
+        out, known = [], {}
+        for size, (hashes, start, end, item) in self.by_size.items():
             got, inside = words.windows(size)
             if not len(got):
                 continue
-            place = np.minimum(np.searchsorted(hashes, got), len(hashes) - 1)
-            for i in np.flatnonzero((hashes[place] == got) & inside):
-                seq = tuple(words.data[a:b].tobytes() for a, b in zip(words.start[i:i + size], words.end[i:i + size]))
-                for k in range(int(place[i]), len(hashes)):
-                    if hashes[k] != got[i]:
-                        break
-                    if self.words[at[k]] == seq:
-                        out.append((int(i), size, int(at[k])))
+            lo = np.searchsorted(hashes, got, "left")
+            found = np.flatnonzero((hashes[np.minimum(lo, len(hashes) - 1)] == got) & inside)
+            hi = np.searchsorted(hashes, got[found], "right")
+            for i, a, b in zip(found.tolist(), lo[found].tolist(), hi.tolist()):
+                seq = b" ".join([words.data[x:y].tobytes() for x, y in zip(words.start[i:i + size], words.end[i:i + size])])
+                if (size, seq) not in known:
+                    same = [k for k in range(a, b) if self.text[start[k]:end[k]] == seq]
+                    known[size, seq] = tuple(np.unique(item[same]).tolist())
+                if known[size, seq]:
+                    out.append((i, size, known[size, seq]))
         return out
 
 
-def _shards(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> list[list[tuple[str, bytes]]]:
-    """The benchmark's items in shards of bounded text (an item's windows are cut by words, so one item fits one shard)."""
-    rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("binary")).where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    shards, held = [[]], 0
-    for item, text in rows.toLocalIterator():
-        if shards[-1] and held + len(text) > most:
-            shards.append([])
-            held = 0
-        shards[-1].append((item, bytes(text)))
-        held += len(text)
-    return shards
+def _pieces(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """``item, words, size``: the items' words, long items in pieces that overlap by ``n - 1`` words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                w = words_of(text.as_py())
+                cut = [b" ".join(w[i:i + PIECE + n - 1]) for i in range(0, max(1, len(w) - n + 1), PIECE)] if w else []
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([item] * len(cut), pa.string()), pa.array(cut, pa.binary()), pa.array([len(t) + 1 for t in cut], pa.int64())],
+                    ["item", "words", "size"])
+
+    rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text"))
+    return rows.dropna().mapInArrow(run, "item string, words binary, size long").distinct()
+
+
+def _shards(benchmark: DataFrame, id_col: str, text_col: str, n: int, most: int) -> Iterator[Broadcast]:
+    """Broadcast window sets of about ``most`` bytes of pieces each, built one after another."""
+    pieces = cut_lineage(_pieces(benchmark, id_col, text_col, n))
+    count = max(1, -(-(pieces.agg(F.sum("size")).first()[0] or 0) // most))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("item", "words"), F.lit(count)))
+    for shard in range(count):
+        rows = dealt.where(F.col("shard") == shard).select("item", "words").toArrow()
+        windows = WindowSet(list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())), n)
+        if windows.by_size or not shard:
+            yield benchmark.sparkSession.sparkContext.broadcast(windows)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: str = "text", item_col: str = "item_id",
          item_text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The documents with a struct ``_hit`` (see ``_named``): word count, hit words, items with hits."""
-    spark = prepare(docs.sparkSession)
-    text = F.col(text_col).cast("binary")
-    found = [_scan(spark.sparkContext.broadcast(shard), n)(text) for shard in _shards(benchmark, item_col, item_text, shard_bytes)]
-    return docs.withColumn(_named(docs), found[0] if len(found) == 1 else _merge(found))
-
-
-def _named(docs: DataFrame) -> str:
+    prepare(docs.sparkSession)
+    shards = list(_shards(benchmark, item_col, item_text, n, shard_bytes))
+    text, name = F.col(text_col).cast("binary"), _named(docs)
+    hit = docs.withColumn(name, _scan(shards[0])(text))
+    if len(shards) == 1:
+        return hit
+    key = F.struct(F.xxhash64(text), F.xxhash64(F.lit(1), text))
+    scans = [docs.select(key.alias("key"), _scan(shard)(text).alias("h")).where(F.size("h.hit") > 0) for shard in shards[1:]]
+    more, found = _named(docs, "_more"), _named(docs, "_key")
+    others = reduce(DataFrame.union, scans).groupBy("key").agg(F.collect_set("h").alias(more)).withColumnRenamed("key", found)
+
+    def joined(field: str):
+        rest = F.flatten(F.coalesce(F.col(f"{more}.{field}"), F.array()))
+        return F.array_sort(F.array_distinct(F.concat(F.col(f"{name}.{field}"), rest))).alias(field)
+
+    merged = F.struct(F.col(f"{name}.n_words").alias("n_words"), joined("hit"), joined("items"))
+    return hit.withColumn(found, key).join(others, found, "left").select(*[F.col(f"`{c}`") for c in docs.columns], merged.alias(name))
+
+
+def _named(docs: DataFrame, name: str = "_hit") -> str:
     """The name of the struct that ``find`` adds: ``_hit``, longer if the documents have a column of that name."""
-    name, taken = "_hit", {c.lower() for c in docs.columns}
+    taken = {c.lower() for c in docs.columns}
     while name in taken:
         name += "_"
     return name
@@ -117,11 +163,11 @@ def _named(docs: DataFrame) -> str:
 _HIT = "struct<n_words: bigint, hit: array<int>, items: array<string>>"
 
 
-def _scan(held, n: int):
+def _scan(held: Broadcast):
     """Arrow UDF over text bytes: words, indices of hit words, items."""
 
     def scan(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        windows = WindowSet(held.value, n)
+        windows = held.value
         for col in it:
             batch = pa.RecordBatch.from_arrays([col], ["text"])
             counts, hit, items = [], [], []
@@ -132,14 +178,14 @@ def _scan(held, n: int):
                 hits = windows.hits(words)
                 if hits:
                     owners = np.searchsorted(words.first, [h[0] for h in hits], "right") - 1
-                    for (i, size, w), d in zip(hits, owners.tolist()):
-                        at, names = found.setdefault(d, (set(), set()))
+                    for (i, size, which), d in zip(hits, owners.tolist()):
+                        at, numbers = found.setdefault(d, (set(), set()))
                         at.update(range(i - int(words.first[d]), i - int(words.first[d]) + size))
-                        names.update(windows.items[w])
+                        numbers.update(which)
                 for d in range(len(words.count)):
-                    at, names = found.get(d, ((), ()))
+                    at, numbers = found.get(d, ((), ()))
                     hit.append(sorted(at))
-                    items.append(sorted(names))
+                    items.append([windows.names[k] for k in sorted(numbers)])
             yield pa.StructArray.from_arrays(
                 [pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
                 ["n_words", "hit", "items"])
@@ -149,12 +195,6 @@ def _scan(held, n: int):
     return arrow_udf(scan, _HIT)
 
 
-def _merge(hits: list[Column]) -> Column:
-    def joined(field: str) -> Column:
-        return F.array_sort(F.array_distinct(F.concat(*[h.getField(field) for h in hits])))
-    return F.struct(hits[0].getField("n_words").alias("n_words"), joined("hit").alias("hit"), joined("items").alias("items"))
-
-
 def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """Per document: words, hit words, items with hits, a digest of the items, and whether it is contaminated."""
     hit = find(docs.select("doc_id", "text"), benchmark, n)

@@ -50,6 +50,19 @@ def test_hits_equal_brute_force(make, spark, shard):
     assert got == _brute_hits(texts, items)
 
 
+@pytest.mark.parametrize("shard", [1 << 20, 200])
+def test_long_items_in_pieces_and_shared_windows(make, spark, monkeypatch, shard):
+    monkeypatch.setattr(decontam, "PIECE", 7)
+    monkeypatch.setattr(decontam, "SLICE_BYTES", 50)
+    common = long_text(11, 40)
+    items = [(1, long_text(95, 41)), (2, long_text(20, 42) + " " + common), (3, common), (10, common), (4, None), (None, long_text(30, 43)), (5, "")]
+    a = items[0][1].split()
+    texts = [" ".join(a[i:i + k]) for i in range(0, 90, 5) for k in (9, 10, 13)] + [items[1][1], f"x {common} y {common}", long_text(30, 43), " ".join(a), " ".join(a), None]
+    hit = decontam.find(make(texts).select("doc_id", "text"), _benchmark(spark, items), shard_bytes=shard)
+    got = sorted((r["doc_id"], r["_hit"]["n_words"], len(r["_hit"]["hit"]), len(r["_hit"]["items"]), decontam.items_digest(r["_hit"]["items"]), bool(r["_hit"]["hit"])) for r in hit.collect())
+    assert got == _brute_hits(texts, [x for x in items if x[0] is not None])
+
+
 def test_empty_tables_and_removal(make, spark):
     none = _benchmark(spark, [])
     assert {r["contaminated"] for r in decontam.report(make(["a b"]), none).collect()} == {False}
