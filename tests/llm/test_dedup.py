@@ -195,3 +195,24 @@ def test_texts_of_one_id_with_equal_short_hashes_stay_apart(make, spark):
     begin = " ".join(a.split()[:25])
     got = substrings.deduplicate(make([(1, begin), (None, a), (None, b)]), with_text=True).collect()
     assert sorted((r["n_removed"], r["text"]) for r in got) == sorted([(0, begin), (25, " ".join(a.split()[25:])), (0, b)])
+
+
+def test_thinned_edges_connect_the_same_nodes(spark):
+    from gradelens.llm.components import components, thinned
+    rng = random.Random(5)
+    forests = [(min(g), x) for g in ([rng.randrange(k * 100, k * 100 + 100) for _ in range(30)] for k in range(4) for _ in range(40)) for x in g]
+    edges = spark.createDataFrame(forests + [(b, a) for a, b in forests[:50]], "a long, b long")
+    root = {x: x for e in forests for x in e}
+
+    def up(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in forests:
+        x, y = sorted((up(a), up(b)))
+        root[y] = x
+    linked = {x for a, b in forests if a != b for x in (a, b)}
+    assert {r["node"]: r["root"] for r in components(edges).collect()} == {x: up(x) for x in linked}
+    assert thinned(edges).count() < edges.distinct().count() / 2
+    assert components(edges.where("a = b")).count() == 0
