@@ -1,22 +1,24 @@
 """Exact token counts of whole texts; huge documents by overlapping chunks that are spliced.
 
-``word_bpe_49k`` drops white space, and no piece of it spans white space: a blank
-or line feed before an ASCII letter or digit is a boundary of the normalised text
-whatever stands around it (a *stable* boundary).
+``word_bpe_49k`` cuts a text into runs of letters, single digits and runs of other
+characters, and drops white space.  No run goes on over a blank or line feed, and one of
+letters or a digit ends before a mark such as a comma or a full stop, in any script; no
+normalisation joins characters there.  These places are *stable*, whatever stands around them.
 
 * A document of more than ``HUGE`` code points is encoded in chunks that overlap,
   with offsets.  Two neighbouring chunks are spliced at a stable boundary inside
   their overlap where both have a token boundary and from which their tokens
-  agree to the end of the overlap; when there is none (one word longer than the
-  overlap, say) the overlap is doubled and the chunk encoded anew.  The encoder
-  so never holds more than a chunk, however long the text.
+  agree to the end of the overlap; when there is none the overlap is doubled and
+  the chunk encoded anew.  The encoder so holds a chunk, however long the text; only
+  a run that has no stable place inside is encoded whole, since its tokens
+  depend on all of it.
 * A shorter document is counted part by part between blanks and line feeds; as
   words repeat, each distinct part is encoded by the library once and its count
   kept, up to a bounded number of parts.
 
 Defined cases: a null or empty text has no tokens; the strings of special tokens
-are handled as the library does; repeated rows count alike; only the id and the
-text are read.
+are handled as the library does; a very long text is counted chunk by chunk; repeated rows
+count alike; an empty table has no rows; only the id and the text are read.
 """
 from __future__ import annotations
 
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .textops import as_bytes, prepare, text_slices
 
-HUGE = 1 << 15
-CHUNK = 1 << 14
+HUGE = 1 << 13
+CHUNK = 1 << 12
 OVERLAP = 256
 KEEP_PARTS = 400_000
 KEEP_CHARS = 64
@@ -40,7 +42,7 @@ KEEP_CHARS = 64
 JOINED = 256
 LIMIT = 2048
 
-_STABLE = re.compile(r"(?<=[!-~])[ \n](?=[0-9A-Za-z])")
+_STABLE = re.compile(r"[ \n]|(?<=[^\W_])[.,;:!?()、。，；：！？「」『』（）]")
 
 
 class TokenCounter:

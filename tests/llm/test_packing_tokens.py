@@ -6,7 +6,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from gradelens.llm import packing
+from gradelens.llm import packing, token_count
 from gradelens.llm.packing import differencing, windows_of
 from gradelens.llm.token_count import TokenCounter, count
 from gradelens.llm.token_pieces import TokenEncoder
@@ -96,6 +96,30 @@ def test_every_id_lies_in_one_piece(make, capacity):
     assert packing.pack(make([]), path).count() == 0
 
 
+SCRIPTS = {
+    "cyrillic": "Съешь же ещё этих мягких французских булок, да выпей чаю. ",
+    "chinese": "天地玄黄，宇宙洪荒。日月盈昃，辰宿列张！寒来暑往；秋收冬藏？",
+    "marks": "Ἄνδρα μοι ἔννεπε, μοῦσα, cafe\u0301 it's o'clock 'tis 12.5 <|endoftext|> \u0301x e\u0301. ",
+    "no places": "永和九年岁在癸丑",
+}
+
+
+@pytest.mark.parametrize("name", SCRIPTS)
+def test_chunks_of_any_script_stay_small(name):
+    path = P.path("word_bpe_49k.json")
+    text = SCRIPTS[name] * (6000 // len(SCRIPTS[name]))
+    counter = token_count.TokenCounter(path, huge=400, chunk=200, overlap=80)
+    taken, own = [], counter._offsets
+
+    def seen(t, at, end):
+        taken.append(end - at)
+        return own(t, at, end)
+
+    counter._offsets = seen
+    assert counter.counts([text]) == [len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)]
+    assert len(taken) > 1 and (name == "no places" or max(taken) <= 2 * (200 + 80))
+
+
 def test_little_padding_and_repeated_rows(make):
     path = P.path("byte_bpe_50k.json")
     docs = make([long_text(300 + i, i) for i in range(400)] + [(7, long_text(307, 7))] * 3).coalesce(1)
