@@ -13,7 +13,10 @@ short digest and length.  ``likeness`` compares two of them by the characters of
 the sentences they share; ``edits`` lists the differing paragraphs.
 
 Defined cases: null and empty texts have the tree of one empty sentence; repeated
-rows have equal fingerprints; a lone document is its own next one.
+rows have equal fingerprints; rows of one id follow each other by the hashes of their
+texts; a lone document is its own next one; an empty table has no rows; a very long text is
+one tree that its task holds whole, about 30 characters a sentence; of the documents' columns
+only the id and the text are read, ``fingerprints`` replaces a column of that name.
 """
 from __future__ import annotations
 
@@ -51,7 +54,7 @@ def tree(text: str | None, known: dict[str, bytes] | None = None) -> str:
             if d is None:
                 d = known[s] = hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
             leaves.append(d)
-            shown.append(f"{d[:4].hex()}.{len(s)}")
+            shown.append(f"{d[:8].hex()}.{len(s)}")
         p = _digest(leaves)
         digests.append(p)
         paras.append(p[:4].hex() + "," + ",".join(shown))
@@ -117,42 +120,63 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.withColumn("fingerprint", of(F.col(text_col)))
 
 
-def _bounds(ids: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Upper id bounds of ``parts`` ranges of about equal counts, and the largest id of each (both of that bounded length)."""
-    probs = [i / parts for i in range(1, parts)]
-    cuts = ids.agg(F.percentile_approx("k", F.array(*[F.lit(p) for p in probs]), 10 * parts).alias("c")).first()["c"] if probs else []
-    cuts = np.unique(np.asarray(cuts if cuts is not None else [], np.int64))
+class Ranges:
+    """Ranges of about equal counts over rows ``(k, n)``: by ``k``, and by ``n`` where one ``k`` fills several."""
+
+    def __init__(self, rows: DataFrame, parts: int):
+        probs = [i / parts for i in range(1, parts)]
+        cuts = rows.agg(F.percentile_approx("k", F.array(*[F.lit(p) for p in probs]), 10 * parts).alias("c")).first()["c"] if probs else []
+        #: upper bounds, ``m`` equal ones of ``k`` parted evenly in ``n``, which is a hash
+        self.k, times = np.unique(np.asarray(cuts if cuts is not None else [], np.int64), return_counts=True)
+        self.first = np.concatenate([[0], np.cumsum(times)])
+        self.n = [np.array([(i << 64) // m - (1 << 63) for i in range(1, m)], np.int64) for m in times.tolist()]
+
+    def place(self, k: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The range of each row."""
+        own = np.searchsorted(self.k, k, "left")
+        out = self.first[own]
+        for i in np.unique(own[own < len(self.k)]).tolist():
+            if len(self.n[i]):
+                at = np.flatnonzero((own == i) & (k == self.k[i]))
+                out[at] += np.searchsorted(self.n[i], n[at], "right")
+        return out
+
+
+def _targets(rows: DataFrame, parts: int):
+    """Arrow UDF of ``k, n``: the row's range, and for a range's largest row also the range above."""
+    ranges = Ranges(rows, parts)
 
     @F.arrow_udf("int")
-    def place(k: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(cuts, k.to_numpy(), "left"), pa.int32())
+    def place(k: pa.Array, n: pa.Array) -> pa.Array:
+        return pa.array(ranges.place(k.to_numpy(), n.to_numpy()), pa.int32())
+
+    tops = rows.groupBy(place("k", "n").alias("p")).agg(F.max(F.struct("k", "n")).alias("top")).orderBy("p").collect()
+    above = {(r["top"]["k"], r["top"]["n"]): tops[(i + 1) % len(tops)]["p"] for i, r in enumerate(tops)}
 
-    tops = ids.groupBy(place("k").alias("p")).agg(F.max("k").alias("top")).orderBy("p").collect()
-    return cuts, np.array([(r["p"], r["top"]) for r in tops], np.int64).reshape(-1, 2)
+    @F.arrow_udf("array<int>")
+    def targets(k: pa.Array, n: pa.Array) -> pa.Array:
+        own = ranges.place(k.to_numpy(), n.to_numpy()).tolist()
+        return pa.array([[p, above[row]] if row in above else [p] for p, row in zip(own, zip(k.to_pylist(), n.to_pylist()))], pa.list_(pa.int32()))
+
+    return targets("k", "n")
 
 
 def with_next(docs: DataFrame, fn, schema: str) -> DataFrame:
     """Rows ``fn(doc_id, text, next text)`` over documents by falling id; the last one's next is the first.
 
-    Ids are cut into ranges; every range is one run of rows sorted in its task and
-    streamed.  A range's largest row also goes to the range above, whose last row
-    it follows, so one shuffle of the texts is enough.  Rows of the same id stand
-    in the order of their texts' hashes; null ids come last.
+    Rows are cut into ranges of ids, and inside an id that many rows have (or the
+    null id) into ranges of the texts' hashes; every range is one run of rows sorted in
+    its task and streamed.  A range's largest row also goes to the range above, whose
+    last row it follows, so one shuffle of the texts is enough.  Rows of the same id
+    stand in the order of their texts' hashes; null ids come last.  Only rows equal in
+    both id and text always share a range.
     """
     spark = prepare(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")) \
-        .withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63))))
+        .withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("n", F.bitwise_not(F.xxhash64("text")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts, tops = _bounds(keyed.select("k"), parts)
-    above = {int(t): int(tops[(i + 1) % len(tops)][0]) for i, (_, t) in enumerate(tops)}
-
-    @F.arrow_udf("array<int>")
-    def targets(k: pa.Array) -> pa.Array:
-        ids = k.to_numpy()
-        return pa.array([[p, above[i]] if i in above else [p] for i, p in zip(ids.tolist(), np.searchsorted(cuts, ids, "left").tolist())], pa.list_(pa.int32()))
-
-    dealt = keyed.select("k", "doc_id", "text", F.posexplode(targets("k")).alias("ghost", "target")) \
-        .repartition(parts, "target").sortWithinPartitions("target", "ghost", F.desc("k"), F.xxhash64("text")) \
+    dealt = keyed.select("k", "n", "doc_id", "text", F.posexplode(_targets(keyed.select("k", "n"), parts)).alias("ghost", "target")) \
+        .repartition(parts, "target").sortWithinPartitions("target", "ghost", F.desc("k"), F.desc("n")) \
         .select("target", "ghost", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

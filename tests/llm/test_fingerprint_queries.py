@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 import corpus_pipeline
-from gradelens.llm import fingerprint as fp
+from gradelens.llm import fingerprint, fingerprint as fp
 from gradelens.llm.queries import ORACLES, QUERIES
 from gradelens.sources.tables import TABLES
 from llm.conftest import ODD, long_text
@@ -131,3 +131,16 @@ def test_stages_stand_odd_and_no_rows(spark, make, k):
     out = stage(spark, docs, SF)
     assert k == 4 or out.columns == docs.columns
     assert out.count() > 0 and stage(spark, make([]), SF).count() == 0
+
+
+def test_rows_of_one_id_are_split_and_keep_their_order(make, spark):
+    rows = [(7, f"seven {i}") for i in range(300)] + [(None, f"none {i}") for i in range(200)] + [(7, "seven 1")] * 3 + [(9, "nine"), (-(1 << 63), "least"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = fingerprint.with_next(docs, lambda d, a, b: (d, a, b), "doc_id long, a string, b string")
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    order = [(r[0], r[1] or "") for r in docs.orderBy(F.desc(F.coalesce("doc_id", F.lit(-(1 << 63)))), F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
+    want = [(d, a, order[(i + 1) % len(order)][1]) for i, (d, a) in enumerate(order)]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    assert max(sizes) <= len(rows) / 2
+    assert fingerprint.with_next(docs.where("false"), lambda d, a, b: (d, a, b), "doc_id long, a string, b string").count() == 0
