@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .textops import as_bytes, prepare, text_slices
 
-HUGE = 1 << 13
-CHUNK = 1 << 12
+HUGE = 1 << 15
+CHUNK = 1 << 14
 OVERLAP = 256
 KEEP_PARTS = 400_000
 KEEP_CHARS = 64
