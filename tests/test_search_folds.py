@@ -111,3 +111,15 @@ def test_platt_scaling_on_held_out_margins(spark):
 
     own = model.getOrDefault(model.plattA), model.getOrDefault(model.plattB)
     assert 0 < own[0] < on_training[0] and loss(*own) < loss(*on_training)
+
+
+def test_forests_fit_in_several_tasks_and_keep_their_rows_nodes(spark, monkeypatch):
+    monkeypatch.setattr(S, "TASK_ROWS", 50)
+    rows = spark.range(220).select(F.array(F.col("id").cast("double")).alias("selected")).coalesce(1)
+    small = S.compact(rows)
+    assert small.rdd.getNumPartitions() == 4 and small.count() == 220
+    spread = S.spread(rows)
+    assert spread.rdd.getNumPartitions() == 4 and spread.count() == 220
+    assert S.task_count(40) == 1 and S.task_count(10 ** 9) == 10 ** 9 // S.LARGE_BLOCK_ROWS
+    forest = S.spark_model("rf_clf", {"numTrees": 3, "maxDepth": None, "minSamplesSplit": 5}, "y", "w")
+    assert forest.getCacheNodeIds() and forest.getMaxDepth() == 30 and forest.getMinInstancesPerNode() == 2
