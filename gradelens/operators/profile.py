@@ -97,6 +97,12 @@ def bucket_expr(c, lo: float, hi: float, bins: int):
     return F.least(F.lit(bins - 1), b).cast("int")
 
 
+def _with_empty(counts: DataFrame, grid: DataFrame, first: int, last: int) -> DataFrame:
+    """``counts`` of the buckets from ``first`` to ``last``, 0 for those of ``grid`` without rows."""
+    return (counts.where(F.col("bucket").between(first, last)).unionByName(grid.withColumn("count", F.lit(0).cast("bigint")))
+                  .groupBy("bucket").agg(F.sum("count").alias("count")))
+
+
 def histogram(df: DataFrame, col: str, bins: int = 25) -> DataFrame:
     """Exactly ``bins`` equal-width buckets (empty ones included)."""
     lo, hi = _min_max(df, [col])[col]
@@ -106,8 +112,7 @@ def histogram(df: DataFrame, col: str, bins: int = 25) -> DataFrame:
     counts = (df.where(F.col(col).isNotNull()).groupBy(bucket_expr(col, lo, hi, bins).alias("bucket"))
                 .agg(F.count(F.lit(1)).alias("count")))
     width = (F.lit(hi) - F.lit(lo)) / F.lit(bins)
-    grid = spark.range(bins).select(F.col("id").cast("int").alias("bucket"))
-    return (grid.join(counts, "bucket", "left")
+    return (_with_empty(counts, spark.range(bins).select(F.col("id").cast("int").alias("bucket")), 0, bins - 1)
                 .select("bucket", (F.lit(lo) + F.col("bucket") * width).alias("lower"),
                         (F.lit(lo) + (F.col("bucket") + 1) * width).alias("upper"),
                         F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
@@ -143,7 +148,7 @@ def auto_histogram(df: DataFrame, col: str, most: int = 25) -> DataFrame:
     first, last = math.floor(lo / width), math.floor(hi / width)
     bucket = F.floor(F.col(col).cast("double") / F.lit(width))
     counts = df.where(F.col(col).isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
-    return spark.range(first, last + 1).withColumnRenamed("id", "bucket").join(counts, "bucket", "left").select(
+    return _with_empty(counts, spark.range(first, last + 1).withColumnRenamed("id", "bucket"), first, last).select(
         "bucket", (F.col("bucket") * F.lit(width)).alias("lower"), ((F.col("bucket") + 1) * F.lit(width)).alias("upper"),
         F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"))
 

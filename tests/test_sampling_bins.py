@@ -131,3 +131,10 @@ def test_kernel_shapley_edge_cases(spark, fitted):
     assert len(got) == 3 and all(r["feature"] == "c0" for r in got)
     masks, weights = E.coalitions(2)
     assert sorted(map(tuple, masks.tolist())) == [(0.0, 1.0), (1.0, 0.0)] and np.allclose(weights, weights[0])
+
+
+def test_histograms_of_one_bucket_need_no_join(spark):
+    df = spark.createDataFrame([(3.0,), (3.0,), (None,), (4.0,)], "v double")
+    for h, want in ((P.auto_histogram(df.where("v = 3 or v is null"), "v"), [2]), (P.histogram(df, "v", 1), [3]), (P.histogram(df, "v", 3), [2, 0, 1])):
+        assert "Join" not in h._jdf.queryExecution().executedPlan().toString()
+        assert [r["count"] for r in h.orderBy("bucket").collect()] == want
