@@ -123,3 +123,57 @@ def test_forests_fit_in_several_tasks_and_keep_their_rows_nodes(spark, monkeypat
     assert S.task_count(40) == 1 and S.task_count(10 ** 9) == 10 ** 9 // S.LARGE_BLOCK_ROWS
     forest = S.spark_model("rf_clf", {"numTrees": 3, "maxDepth": None, "minSamplesSplit": 5}, "y", "w")
     assert forest.getCacheNodeIds() and forest.getMaxDepth() == 30 and forest.getMinInstancesPerNode() == 2
+
+
+@pytest.mark.parametrize("shard_rows", [1000, 100])
+def test_a_perceptron_passes_over_all_rows_in_turn(spark, monkeypatch, shard_rows):
+    """An epoch is one sequential pass over all rows, shard after shard; nothing is averaged."""
+    monkeypatch.setattr(G, "VISITED_ROWS", shard_rows)
+    x, data = _rows(spark, 500, 3, seed=4)
+    specs = [G.Spec("mlp_reg", hidden=(5,), activation=a) for a in ("relu", "tanh")]
+    space = G.find_spaces(data, {"x": None}, True)[None]
+    jobs = G.train_many(data, specs, [None, 1], steps=9, patience=3, tol=0.05, spaces={None: space, 1: space})
+    shards = max(1, -(-500 // shard_rows))
+    rows = data.withColumn("shard", F.pmod(F.xxhash64("key", F.lit("shard")), F.lit(shards))).orderBy("key", "y").collect()
+    assert len({r["shard"] for r in rows}) == shards
+    each, groups = 5 if shards == 1 else 1, max(1, -(-G.MODEL_GROUPS // shards))
+    slots = G._dealt(jobs, shards * groups)
+    for job, slot in zip(jobs, slots):
+        theta, t = G.init_params(job.spec, space), 0
+        m, v, best, stall, done, epoch = np.zeros_like(theta), np.zeros_like(theta), float("inf"), 0, False, 0
+        while epoch < 9 and not done:
+            losses = []
+            for e in range(epoch, min(9, epoch + each)):
+                total = 0.0
+                for hop in range(shards):
+                    s = (slot % shards + hop) % shards
+                    own = [r for r in rows if r["shard"] == s and r["fold"] != job.held_out]
+                    xs = np.array([r["x"] for r in own], np.float32)
+                    ys = ((np.array([r["y"] for r in own]) - space.y_mean) / space.y_std).astype(np.float32)
+                    theta, m, v, k, loss = G._local_epoch(job.spec, theta, m, v, t, xs, ys, space, job.n, (job.spec.seed, e, s, job.candidate))
+                    t, total = t + k, total + loss
+                losses.append(total / job.n)
+            epoch += len(losses)
+            best, stall, done = G._stopped(best, stall, losses, 0.05, 3)
+        assert job.t == t and job.done == done and job.theta == pytest.approx(theta, abs=1e-9)
+
+
+def test_the_kept_arrays_give_the_plain_gradient():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(230, 4)).astype(np.float32), (rng.random(230) < 0.4).astype(np.float32)
+    for family in ("mlp_reg", "mlp_clf"):
+        for activation in ("relu", "tanh"):
+            spec = G.Spec(family, hidden=(7, 3), activation=activation)
+            theta = G.init_params(spec, 4).astype(np.float32)
+            kept = G._MlpGradient(spec, G._shapes(spec, 4))
+            for rows in (slice(0, 200), slice(200, 230)):         # the last batch is smaller
+                loss, g = kept(theta, x[rows], y[rows])
+                want, grad = G.loss_grad(spec, theta, x[rows], y[rows], 4)
+                assert loss == pytest.approx(want) and g == pytest.approx(grad, abs=1e-6)
+
+
+def test_monomials_of_the_cubic_kernel():
+    x = np.random.default_rng(1).normal(size=(1203, 4))
+    phi, width = G._feature_map("poly", G.Space(4, 0.3))
+    assert phi(x).shape == (1203, width) and phi(x[:0]).shape == (0, width)
+    assert phi(x) @ phi(x[:50]).T == pytest.approx((0.3 * x @ x[:50].T) ** 3, abs=1e-8)
