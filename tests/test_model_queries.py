@@ -164,3 +164,34 @@ def test_classifiers_have_stratified_folds(spark):
         sizes.setdefault((r[0], r[1]), []).append(r["count"])
     assert all(max(s) - min(s) <= 1 and len(s) == 3 for s in sizes.values())
     assert set(SMALL_GRIDS) == set(C.FAMILIES)
+
+
+def test_families_of_short_jobs_are_not_searched_beside_others(monkeypatch):
+    """Their many short jobs would wait for the perceptrons' long tasks."""
+    import threading
+    import time
+    running, beside, lock = set(), {}, threading.Lock()
+
+    def search(spark, sf_dir, family):
+        with lock:
+            running.add(family)
+            for f in running:
+                beside.setdefault(f, set()).update(running)
+        time.sleep(0.1)
+        with lock:
+            running.discard(family)
+        return family
+
+    class Frame:
+        def where(self, _):
+            return self
+
+    monkeypatch.setattr(C, "frame", lambda spark, sf_dir: Frame())
+    monkeypatch.setattr(C, "searched", search)
+    monkeypatch.setattr(C, "test_metrics", lambda result, test, label: {"family": result})
+    monkeypatch.setattr(C, "_once", lambda spark, sf_dir, *rest, make: make())
+    families = C.REG_FAMILIES + C.CLF_FAMILIES
+    assert [m["family"] for m in C.metrics_rows(None, "")] == families
+    assert all(beside[f] == {f} for f in families if not f.startswith("mlp"))
+    assert beside["mlp_reg"] == beside["mlp_clf"] == {"mlp_reg", "mlp_clf"}
+    assert [m["family"] for m in C.metrics_rows(None, "", C.CLF_FAMILIES)] == C.CLF_FAMILIES

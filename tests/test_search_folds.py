@@ -172,6 +172,29 @@ def test_the_kept_arrays_give_the_plain_gradient():
                 assert loss == pytest.approx(want) and g == pytest.approx(grad, abs=1e-6)
 
 
+def test_an_epoch_of_a_perceptron_is_that_of_adam():
+    """Against a plain loop in double precision over ``loss_grad``; moments in single precision, the last batch smaller."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(430, 4)).astype(np.float32), rng.normal(size=430).astype(np.float32)
+    for activation in ("relu", "tanh"):
+        spec, space = G.Spec("mlp_reg", hidden=(7, 3), activation=activation), G.Space(4)
+        start = G.init_params(spec, space)
+        mask = np.concatenate([np.r_[np.ones(a * b), np.zeros(b)] for a, b in G._shapes(spec, space)])
+        theta, m, v, t, total = start.copy(), 0 * start, 0 * start, 0, 0.0
+        order = np.random.default_rng(5).permutation(430)
+        for at in range(0, 430, 200):
+            rows = order[at:at + 200]
+            loss, g = G.loss_grad(spec, theta, x[rows].astype(float), y[rows].astype(float), space)
+            total += loss + 0.5 * G.L2_ALPHA * (theta * mask) @ theta
+            g, t = (g + G.L2_ALPHA * theta * mask) / len(rows), t + 1
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            theta = theta - spec.lr * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+        got = G._local_epoch(spec, start, 0 * start, 0 * start, 0, x, y, space, 430, 5)
+        assert got[3] == t and got[4] == pytest.approx(total, rel=1e-5)
+        assert got[1].dtype == float and got[1] == pytest.approx(m, abs=1e-5) and got[2] == pytest.approx(v, abs=1e-6)
+        assert got[0] == pytest.approx(theta, abs=1e-4)
+
+
 def test_monomials_of_the_cubic_kernel():
     x = np.random.default_rng(1).normal(size=(1203, 4))
     phi, width = G._feature_map("poly", G.Space(4, 0.3))
