@@ -26,6 +26,7 @@ columns are not read.
 """
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -57,8 +58,12 @@ KEEP_ORDINARY = 0.9
 
 def windows(text: str) -> list[str]:
     """The distinct words, in lower case and without marks around; long words in pieces."""
+    return _windows(text.lower().split())
+
+
+def _windows(words: list[str]) -> list[str]:
     out = []
-    for w in dict.fromkeys(text.lower().split()):
+    for w in dict.fromkeys(words):
         w = w.strip(MARKS)
         if len(w) <= WINDOW_CHARS:
             if w:
@@ -78,7 +83,11 @@ def _pieces(docs: list[list[str]]) -> Counter:
 
 def passages(text: str) -> list[str]:
     """The distinct runs of ``PASSAGE`` words in lower case, each half over the one before; long ones in pieces."""
-    words, half = text.lower().split(), PASSAGE // 2
+    return _passages(text.lower().split())
+
+
+def _passages(words: list[str]) -> list[str]:
+    half = PASSAGE // 2
     runs = (" ".join(words[i:i + PASSAGE]) for i in range(0, max(1, len(words) - half), half)) if words else ()
     return list(dict.fromkeys(r[i:i + PASSAGE_CHARS] for r in runs for i in range(0, len(r), PASSAGE_CHARS)))
 
@@ -164,27 +173,32 @@ class ToxicModel:
         held.precompute_compress(level=3)
         return zs.ZstdCompressor(dict_data=held, level=3, write_content_size=False, write_dict_id=False, write_checksum=False).compress
 
-    def far(self, text: str) -> list[int]:
+    def far(self, words: list[str]) -> list[int]:
         """By how much shorter each passage is under the dictionary trained on toxic text, greatest first."""
         if not hasattr(self, "_pair"):
             self._pair = self._fast(self.trained_ordinary), self._fast(self.trained_toxic)
         ordinary, toxic = self._pair
-        parts = [x.encode("utf-8", "replace") for x in passages(text)]
+        parts = [x.encode("utf-8", "replace") for x in _passages(words)]
         return sorted((len(ordinary(x)) - len(toxic(x)) for x in parts), reverse=True)
 
     def distances(self, words: list[str]) -> list[tuple[int, float]]:
         """By how much shorter each window is under the toxic dictionary, and that as a share of its own ordinary length."""
         if not hasattr(self, "_both"):
-            self._both, self._kept = (self._compressor(self.ordinary), self._compressor(self.toxic)), {}
+            self._both, self._kept, self._older = (self._compressor(self.ordinary), self._compressor(self.toxic)), {}, {}
             self._bare = len(self._both[0](self.lead.encode("utf-16-le", "replace")))
         ordinary, toxic = self._both
         kept = self._kept
         out = list(map(kept.get, words))
         if None in out:
-            if len(kept) > KEEP_WINDOWS:
-                kept.clear()
+            if len(kept) > KEEP_WINDOWS // 2:             # words not met again until the next time are forgotten
+                self._older, self._kept = kept, {}
+                kept = self._kept
+            older = self._older
             for i, x in enumerate(out):
                 if x is None:
+                    if (x := older.get(words[i])) is not None:
+                        out[i] = kept[words[i]] = x
+                        continue
                     framed = f"{self.lead}{words[i]} ".encode("utf-16-le", "replace")
                     plain = len(ordinary(framed))
                     d = plain - len(toxic(framed))
@@ -192,10 +206,11 @@ class ToxicModel:
         return out
 
     def features(self, text: str) -> list[float]:
-        got = self.distances(windows(text))
+        words = text.lower().split()
+        got = self.distances(_windows(words))
         d = sorted([x for x, _ in got], reverse=True)[:TOP[-1]]
         r = sorted([x for _, x in got], reverse=True)[:TOP[-1]]
-        far = self.far(text)
+        far = self.far(words)
         return [*(sum(d[:m]) / m for m in TOP), *(4 * sum(r[:m]) / m for m in TOP), *(sum(far[:m]) / m / 4 for m in FAR),
                 sum(far) / max(1, len(far)), float(np.log1p(len(got))), 1.0]
 
@@ -262,18 +277,32 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
     return model
 
 
+_LOADED: dict[bytes, ToxicModel] = {}
+
+
+def _loaded(model: ToxicModel, key: bytes) -> ToxicModel:
+    """The model of this ``key`` that an earlier task of this Python worker used, with the distances it knows; else ``model``."""
+    if key not in _LOADED:
+        _LOADED.clear()                                   # one model at a time
+        _LOADED[key] = model
+    return _LOADED[key]
+
+
 def score(docs: DataFrame, model: ToxicModel | float, text_col: str = "text") -> Column:
     """A column with the score of ``text_col``, from 0 to 1."""
     prepare(docs.sparkSession)
     if not isinstance(model, ToxicModel):
         return F.lit(float(model))
 
+    key = uuid.uuid4().bytes
+
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = _loaded(model, key)
         for col in it:
             out: list[float] = []
             for _, _, off, data in text_slices(pa.RecordBatch.from_arrays([col], ["text"])):
                 raw = data.tobytes()
-                out += [model.score(raw[a:b].decode("utf-8", "replace")) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+                out += [own.score(raw[a:b].decode("utf-8", "replace")) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
             yield pa.array(out, pa.float64())
 
     run.__annotations__ = {"it": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -391,3 +391,17 @@ def test_benchmark_columns_of_clashing_names_stay(spark):
         assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [tuple(docs.first())]
     many = decontam.find(docs, items.unionByName(_benchmark(spark, [(2, "other words here")])), shard_bytes=5)
     assert many.columns[:-1] == docs.columns and many.where("doc_id = 2").first()[-1]["items"] == ["1"]
+
+
+def test_toxicity_keeps_what_a_worker_knows_of_words(monkeypatch):
+    """Tasks of one worker share the distances of words; when there are many, those not met again are forgotten."""
+    import pickle
+    model = toxicity.ToxicModel(["bad words here"] * 9, ["good words there"] * 9)
+    one, two = pickle.loads(pickle.dumps(model)), pickle.loads(pickle.dumps(model))
+    assert toxicity._loaded(one, b"a") is one and toxicity._loaded(two, b"a") is one
+    assert toxicity._loaded(two, b"b") is two and toxicity._loaded(one, b"a") is one
+    texts = [" ".join(f"w{i * j}x" for j in range(1, 9)) + " bad" for i in range(1, 30)]
+    want = [model.features(t) for t in texts]
+    monkeypatch.setattr(toxicity, "KEEP_WINDOWS", 20)
+    assert [two.features(t) for t in texts * 2] == want * 2
+    assert "bad" in two._kept and len(two._kept) + len(two._older) <= 40
