@@ -133,6 +133,30 @@ def test_kernel_shapley_edge_cases(spark, fitted):
     assert sorted(map(tuple, masks.tolist())) == [(0.0, 1.0), (1.0, 0.0)] and np.allclose(weights, weights[0])
 
 
+class _Recorder:
+    """A model that predicts 1.0 and keeps what it was asked to score."""
+
+    def __init__(self):
+        self.asked = []
+
+    def transform(self, df):
+        self.asked.append(df)
+        return df.withColumn("prediction", F.lit(1.0))
+
+
+def test_hybrids_of_one_partition_are_scored_in_many(spark):
+    names = [f"c{i}" for i in range(8)]
+    df = spark.range(400).select("id", *[(F.col("id") * (i + 3) % 17).cast("double").alias(c) for i, c in enumerate(names)]).coalesce(1)
+    model = _Recorder()
+    phi = E.kernel_shapley(model, df, df, names)
+    sizes = model.asked[-1].select("__rid").rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
+    assert sum(sizes) == 400 * 254 * 20 and max(sizes) < 400_000
+    plan = model.asked[-1]._jdf.queryExecution().executedPlan().toString()
+    # the exploded rows are neither broadcast nor dealt by a coalition or a background row
+    assert "BuildLeft" not in plan and "SortMergeJoin" not in plan and "hashpartitioning(__c" not in plan and "hashpartitioning(__b" not in plan
+    assert phi.count() == 400 * 8
+
+
 def test_histograms_of_one_bucket_need_no_join(spark):
     df = spark.createDataFrame([(3.0,), (3.0,), (None,), (4.0,)], "v double")
     for h, want in ((P.auto_histogram(df.where("v = 3 or v is null"), "v"), [2]), (P.histogram(df, "v", 1), [3]), (P.histogram(df, "v", 3), [2, 0, 1])):
