@@ -134,3 +134,25 @@ def test_searches_use_whole_models_beyond_few_rows(spark, data, monkeypatch):
     res = S.rf_search(train.drop("value"), "class", ["id"], grid={"numTrees": [12], "maxDepth": [3, None], "minSamplesSplit": [2]})
     assert len(res.cv_scores) == 2 and all(0.8 < s <= 1 for _, s in res.cv_scores)
     assert res.model.transform(train).agg(F.avg((F.col("prediction") == F.col("class")).cast("int"))).first()[0] > 0.85
+
+
+def test_a_family_is_scored_once_for_all_choices(monkeypatch):
+    from gradelens.plans import catalogue_models as C
+    scored, kept = [], {}
+
+    class Frame:
+        def where(self, _):
+            return self
+
+    def once(spark, sf_dir, *rest, make):
+        if rest not in kept:
+            kept[rest] = make()
+        return kept[rest]
+
+    monkeypatch.setattr(C, "frame", lambda spark, sf_dir: Frame())
+    monkeypatch.setattr(C, "searched", lambda spark, sf_dir, family: family)
+    monkeypatch.setattr(C, "test_metrics", lambda result, test, label: scored.append(result) or {"family": result})
+    monkeypatch.setattr(C, "_once", once)
+    for families in (None, C.REG_FAMILIES, C.CLF_FAMILIES):
+        assert [m["family"] for m in C.metrics_rows(None, "", families)] == (families or C.REG_FAMILIES + C.CLF_FAMILIES)
+    assert sorted(scored) == sorted(C.FAMILIES)
